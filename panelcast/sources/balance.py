@@ -1,0 +1,48 @@
+"""Parallelism guard for small, un-splittable inputs.
+
+A Parquet file with one row group is read by one task, and every narrow
+step stacked on the scan (text cleaning, date parsing, the index) then runs
+in that task. A plain ``repartition`` does not help: Catalyst pushes the
+later filters, with the parsing they need, below it into the scan task.
+
+``spread_small_input`` writes such an input once, spread round-robin over
+the cluster's cores, through a reliable checkpoint (a barrier for pushdown).
+It only acts on small local inputs with fewer files than cores; inputs on a
+distributed file system are laid out in many files/row groups and are left
+to the scan's own splitting.
+"""
+
+from __future__ import annotations
+
+import os
+from urllib.parse import urlparse
+
+from pyspark.sql import DataFrame
+
+from panelcast.session import checkpoint_dir
+
+SMALL_INPUT_BYTES_PER_CORE = 64 << 20
+
+
+def _local_sizes(files: list[str]) -> list[int] | None:
+    sizes = []
+    for f in files:
+        u = urlparse(f)
+        if u.scheme not in ("", "file"):
+            return None
+        sizes.append(os.path.getsize(u.path))
+    return sizes
+
+
+def spread_small_input(df: DataFrame, min_partitions: int | None = None,
+                       max_bytes_per_core: int = SMALL_INPUT_BYTES_PER_CORE) -> DataFrame:
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= want:
+        return df
+    sizes = _local_sizes(files)
+    if sizes is None or sum(sizes) > want * max_bytes_per_core:
+        return df
+    checkpoint_dir(spark)
+    return df.repartition(want).checkpoint(eager=True)
