@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.breakpoints import BREAKPOINTS, INDEX_CAP, segment_slope
 from panelcast.operators.audit import row_drop_audit
+from panelcast.operators.calendar import calendar_target, daily_panel
 from panelcast.operators.clean import (
     COLUMN_RENAMES,
     ENTITY_RENAME,
@@ -48,6 +49,7 @@ from panelcast.operators.sequences import fit_label_scaler, positional_split, se
 from panelcast.operators.split import (
     assign_split,
     cumulative_share,
+    entity_date_split,
     fit_split,
     split_summary,
     year_counts,
@@ -220,6 +222,18 @@ def q_chrono_split_date(spark, d):
     return _split_report(assign_split(df, fit_split(df, 0.8, 2)))
 
 
+def q_calendar_target(spark, d):
+    daily = daily_panel(_readings_panel(spark, d), "city", "date_parsed", ["AQI"], "avg")
+    out = calendar_target(daily, "city", "date_parsed", "AQI", days=1)
+    return out.select("city", "date_parsed", _r6("AQI").alias("AQI"), "readings",
+                      _r6("AQI_target_1d").alias("AQI_target_1d"))
+
+
+def q_entity_date_split(spark, d):
+    out = entity_date_split(_events_dated(spark, d), "user_id", 0.8)
+    return out.groupBy("user_id", "split").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def q_top_entities(spark, d):
     return top_entities(_clean(spark, d, drop_unparsed=True), "city", 3)
 
@@ -319,7 +333,8 @@ def q_feature_importance(spark, d):
 def q_cross_entity_validation(spark, d):
     from panelcast.plans.crossval import cross_entity_validation
     from panelcast.plans.models import fit_features
-    feats = _feature_rows(spark, d, iqr=True)
+    from panelcast.session import cut_lineage
+    feats = cut_lineage(_feature_rows(spark, d, iqr=True))
     vec = fit_features(feats, FEATURE_COLUMNS, True).transform(feats)
     return cross_entity_validation(vec, "city", 3)
 
@@ -367,6 +382,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cumulative_share": q_cumulative_share,
     "chrono_split_years": q_chrono_split_years,
     "chrono_split_date": q_chrono_split_date,
+    "calendar_target": q_calendar_target,
+    "entity_date_split": q_entity_date_split,
     "top_entities": q_top_entities,
     "leave_one_out_counts": q_leave_one_out_counts,
     "label_stats": q_label_stats,
@@ -568,6 +585,16 @@ S AS (SELECT D.*, CASE WHEN year <= last_train_year THEN 'train' ELSE 'test' END
 Q AS (SELECT quantile_disc(date_parsed, 0.8) AS split_date FROM E),
 S AS (SELECT E.*, CASE WHEN date_parsed <= split_date THEN 'train' ELSE 'test' END AS split FROM E, Q)
 """ + _SPLIT_SQL,
+    "calendar_target": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_P) + """,
+DY AS (SELECT city, date_parsed, avg(AQI) AS AQI, count(*) AS readings FROM P GROUP BY city, date_parsed),
+DL AS (SELECT *, lead(AQI) OVER w AS v1, lead(date_parsed) OVER w AS d1 FROM DY
+       WINDOW w AS (PARTITION BY city ORDER BY date_parsed))
+SELECT city, date_parsed, round(AQI, 6) AS AQI, readings, round(v1, 6) AS AQI_target_1d
+FROM DL WHERE date_diff('day', date_parsed, d1) = 1""",
+    "entity_date_split": """WITH E AS (SELECT *, CAST(ts AS DATE) AS date_parsed FROM events),
+Q AS (SELECT user_id, quantile_disc(date_parsed, 0.8) AS cut FROM E GROUP BY user_id)
+SELECT user_id, CASE WHEN date_parsed <= cut THEN 'train' ELSE 'test' END AS split, count(*) AS rows
+FROM E JOIN Q USING (user_id) GROUP BY 1, 2""",
     "top_entities": _with(CTE_L, CTE_C) + "SELECT city, CAST(count(*) AS BIGINT) AS rows FROM D WHERE city IS NOT NULL GROUP BY city ORDER BY rows DESC, city LIMIT 3",
     "leave_one_out_counts": _with(CTE_L, CTE_C) + """,
 T AS (SELECT city, count(*) AS rows FROM D WHERE city IS NOT NULL GROUP BY city ORDER BY rows DESC, city LIMIT 3)

@@ -54,6 +54,15 @@ def load_profile(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)))
 
 
+def observe_profile(df: DataFrame, name: str = "load_profile"):
+    """Row count gathered while the DataFrame is consumed by its next action
+    (no extra pass). Returns ``(df, observation)``; read ``observation.get``
+    after the action: ``{"rows": n}``."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+
+
 def stage_dataset(df: DataFrame, dst: str, date_col: str = "date",
                   partition_col: str = "year") -> DataFrame:
     """Write raw readings as Parquet partitioned by year, then read them back.
