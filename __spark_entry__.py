@@ -85,8 +85,14 @@ def _indexed(spark: SparkSession, d: str, impute: bool = True) -> DataFrame:
 
 
 def _readings_panel(spark: SparkSession, d: str, iqr: bool = False) -> DataFrame:
-    """Imputed, indexed, (IQR-filtered,) dated rows of L."""
-    df = drop_missing(_indexed(spark, d), "AQI")
+    """Imputed, indexed, (IQR-filtered,) dated rows of L.
+
+    The indexed rows feed up to three more passes (IQR fit, entity-size check,
+    the window), so they are written once through a checkpoint instead of
+    being re-parsed and re-indexed for each.
+    """
+    from panelcast.session import cut_lineage
+    df = cut_lineage(drop_missing(_indexed(spark, d), "AQI"))
     if iqr:
         df = filter_iqr(df, fit_iqr_bounds(df, "AQI"), "AQI")
     return df.filter(F.col("date_parsed").isNotNull())
