@@ -212,10 +212,8 @@ def q_cumulative_share(spark, d):
 
 
 def _split_report(df):
-    s = split_summary(df)
-    bounds = df.filter(F.col("split").isNotNull()).groupBy("split").agg(
-        F.min("date_parsed").alias("first_date"), F.max("date_parsed").alias("last_date"))
-    return s.join(bounds, "split").select("split", "rows", _r6("share").alias("share"), "first_date", "last_date")
+    s = split_summary(df, "split", "date_parsed")
+    return s.select("split", "rows", _r6("share").alias("share"), "first_date", "last_date")
 
 
 def q_chrono_split_years(spark, d):

@@ -138,3 +138,17 @@ def test_stream_matches_batch(spark):
     batch = compute_aqi(fill_values(clean_readings(read_readings(spark, src)), medians))
     want = sorted((r["stn_code"], r["AQI"]) for r in batch.collect())
     assert got == want and len(got) == 2
+
+
+def test_staged_year_filter_prunes_partitions(spark):
+    from panelcast.session import scratch_path
+    from panelcast.sources.readings import stage_dataset
+    staged = stage_dataset(lineitem_readings(spark, SF001), scratch_path(spark, "staged_prune_test"))
+    q = staged.filter(F.col("year") <= 1997)
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        q.explain()
+    assert "PartitionFilters: [isnotnull(year" in buf.getvalue()
+    assert q.count() == staged.filter("year <= 1997").count() > 0
