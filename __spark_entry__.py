@@ -98,8 +98,8 @@ def _readings_panel(spark: SparkSession, d: str, iqr: bool = False) -> DataFrame
     return df.filter(F.col("date_parsed").isNotNull())
 
 
-def _feature_rows(spark: SparkSession, d: str, iqr: bool = True) -> DataFrame:
-    feats = panel_features(_readings_panel(spark, d, iqr), READINGS_SPEC, "AQI")
+def _feature_rows(spark: SparkSession, d: str, iqr: bool = True, **window_kw) -> DataFrame:
+    feats = panel_features(_readings_panel(spark, d, iqr), READINGS_SPEC, "AQI", **window_kw)
     return drop_incomplete(interactions(cyclic_encoding(feats, "month")))
 
 
@@ -200,6 +200,20 @@ def q_feature_table(spark, d):
     return df.select(*KEYS, "city", "date_parsed", *[_r6(c).alias(c) for c in (*FEATURE_COLUMNS, LABEL_COL)])
 
 
+def q_feature_table_chunked(spark, d):
+    """The feature table through the skew-safe plan: every entity is cut into
+    100-row chunks with a 24-row look-back / 1-row look-ahead halo."""
+    df = _feature_rows(spark, d, iqr=True, strategy="chunked", chunk_rows=100)
+    return df.select(*KEYS, "city", "date_parsed", *[_r6(c).alias(c) for c in (*FEATURE_COLUMNS, LABEL_COL)])
+
+
+def q_panel_features_chunked(spark, d):
+    """Lead, lags and rolling mean on events through 25-row chunks."""
+    df = panel_features(events_panel(spark, d), EVENTS_SPEC, "value", strategy="chunked", chunk_rows=25)
+    return df.select(*EKEYS, "value_target", "value_lag1", "value_lag24",
+                     _r6("value_rolling_24").alias("value_rolling_24"))
+
+
 def q_year_counts(spark, d):
     return year_counts(_clean(spark, d, drop_unparsed=True)).select("year", "rows")
 
@@ -382,6 +396,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cyclic_encoding": q_cyclic_encoding,
     "interactions": q_interactions,
     "feature_table": q_feature_table,
+    "feature_table_chunked": q_feature_table_chunked,
+    "panel_features_chunked": q_panel_features_chunked,
     "year_counts": q_year_counts,
     "cumulative_share": q_cumulative_share,
     "chrono_split_years": q_chrono_split_years,
@@ -577,6 +593,12 @@ SELECT * , rows_before - rows_after AS dropped FROM (
     "cyclic_encoding": _with(CTE_L, CTE_C) + "SELECT l_orderkey, l_linenumber, l_partkey, month, round(sin(2 * pi() * month / 12.0), 6) + 0.0 AS month_sin, round(cos(2 * pi() * month / 12.0), 6) + 0.0 AS month_cos FROM D",
     "interactions": _with(CTE_L, CTE_C, CTE_I) + "SELECT l_orderkey, l_linenumber, l_partkey, round(pm2_5 * so2, 6) AS pm25_x_so2, round(no2 * pm10, 6) AS no2_x_pm10 FROM I",
     "feature_table": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_B, CTE_F) + f"SELECT l_orderkey, l_linenumber, l_partkey, city, date_parsed, {_F} FROM FT",
+    "feature_table_chunked": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_B, CTE_F) + f"SELECT l_orderkey, l_linenumber, l_partkey, city, date_parsed, {_F} FROM FT",
+    "panel_features_chunked": f"""SELECT * FROM (
+  SELECT user_id, ts, event_id, lead(value, 1) OVER w AS value_target, lag(value, 1) OVER w AS value_lag1,
+         lag(value, 24) OVER w AS value_lag24,
+         round(avg(value) OVER ({_EV_ORDER} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 6) AS value_rolling_24
+  FROM events WINDOW w AS ({_EV_ORDER})) WHERE value_target IS NOT NULL""",
     "year_counts": _with(CTE_L, CTE_C) + "SELECT year, CAST(count(*) AS BIGINT) AS rows FROM D GROUP BY year",
     "cumulative_share": _with(CTE_L, CTE_C, _YEARS_SQL) + "SELECT year, rows, cum_rows, round(cum_share, 6) AS cum_share, year_idx, n_years FROM YS",
     "chrono_split_years": _with(CTE_L, CTE_C, _YEARS_SQL) + """,
