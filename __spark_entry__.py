@@ -148,6 +148,11 @@ def q_iqr_bounds(spark, d):
     return b.select(*[_r6(c).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")])
 
 
+def q_iqr_bounds_by_entity(spark, d):
+    b = iqr_bounds_frame(drop_missing(_indexed(spark, d), "AQI"), "AQI", 1.5, by="city")
+    return b.select("city", *[_r6(c).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")])
+
+
 def q_iqr_filter(spark, d):
     df = drop_missing(_indexed(spark, d), "AQI")
     return filter_iqr(df, fit_iqr_bounds(df, "AQI"), "AQI").select(*KEYS, _r6("AQI").alias("AQI"))
@@ -387,6 +392,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "aqi": q_aqi,
     "drop_missing_aqi": q_drop_missing_aqi,
     "iqr_bounds": q_iqr_bounds,
+    "iqr_bounds_by_entity": q_iqr_bounds_by_entity,
     "iqr_filter": q_iqr_filter,
     "row_drop_audit": q_row_drop_audit,
     "forecast_target_events": q_forecast_target_events,
@@ -575,6 +581,11 @@ _ORACLE: dict[str, str] = {
     "aqi": _with(CTE_L, CTE_C, CTE_I, CTE_A) + "SELECT l_orderkey, l_linenumber, l_partkey, round(AQI, 6) AS AQI FROM A",
     "drop_missing_aqi": _with(CTE_L, CTE_C, CTE_I, CTE_A) + "SELECT l_orderkey, l_linenumber, l_partkey, round(AQI, 6) AS AQI FROM A0 WHERE AQI IS NOT NULL",
     "iqr_bounds": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_B) + "SELECT " + ", ".join(_r(c) for c in ("q1", "q3", "iqr", "lower", "upper")) + " FROM B",
+    "iqr_bounds_by_entity": _with(CTE_L, CTE_C, CTE_I, CTE_A) + """
+SELECT city, """ + ", ".join(_r(c) for c in ("q1", "q3", "iqr", "lower", "upper")) + """ FROM (
+  SELECT city, q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper
+  FROM (SELECT city, quantile_disc(AQI, 0.25) AS q1, quantile_disc(AQI, 0.75) AS q3
+        FROM A WHERE AQI IS NOT NULL GROUP BY city))""",
     "iqr_filter": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_B) + "SELECT l_orderkey, l_linenumber, l_partkey, round(AQI, 6) AS AQI FROM A, B WHERE AQI IS NOT NULL AND AQI >= lower AND AQI <= upper",
     "row_drop_audit": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_B) + """,
 K AS (SELECT count(*) AS s0,
