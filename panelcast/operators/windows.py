@@ -31,10 +31,19 @@ chunked plan otherwise. The residual hot spot of the chunked plan is one
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    BooleanType,
+    DateType,
+    NumericType,
+    StringType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from panelcast.panel import PanelSpec
 
@@ -61,30 +70,57 @@ def choose_strategy(df: DataFrame, spec: PanelSpec, strategy: str, chunk_rows: i
     return "plain" if largest_entity_rows(df, spec) <= chunk_rows else "chunked"
 
 
+def _non_null_key(col: Column, dtype) -> Column | None:
+    """A never-null stand-in for ``col`` of the same type (paired with an
+    ``isnull`` flag it groups exactly like ``col``), or ``None`` if the type
+    has no natural default."""
+    if isinstance(dtype, StringType):
+        default = F.lit("")
+    elif isinstance(dtype, DateType):
+        default = F.lit(dt.date(1970, 1, 1))
+    elif isinstance(dtype, (TimestampType, TimestampNTZType)):
+        default = F.lit(dt.datetime(1970, 1, 1)).cast(dtype)
+    elif isinstance(dtype, BooleanType):
+        default = F.lit(False)
+    elif isinstance(dtype, NumericType):
+        default = F.lit(0).cast(dtype)
+    else:
+        return None
+    return F.coalesce(col, default)
+
+
 def with_positions(df: DataFrame, spec: PanelSpec, rn_col: str = _RN,
                    size_col: str | None = None) -> DataFrame:
     """Exact 0-based position of each row within its entity (and the entity size),
-    without gathering an entity into one task (steps 1-2 above)."""
-    bucket = spec.bucket_expr(df)
-    keyed = df.withColumn(_BUCKET, bucket)
-    e_key, b_key = "_pc_e", "_pc_b"
-    per_day = Window.partitionBy(e_key).orderBy(F.col(b_key).asc_nulls_first())
-    counts = (keyed.groupBy(F.col(spec.entity).alias(e_key), F.col(_BUCKET).alias(b_key))
-              .agg(F.count(F.lit(1)).alias("_pc_cnt")))
+    without gathering an entity into one task (steps 1-2 above).
+
+    Entity and day are replaced by never-null key columns plus null flags, so
+    the offset join is a plain equi-join: when the count table is too big to
+    broadcast, the join's hash exchange on (entity, day) also serves the
+    ``row_number`` window — one exchange of the data, not two.
+    """
+    keyed = df.withColumn(_BUCKET, spec.bucket_expr(df))
+    ke = _non_null_key(F.col(spec.entity), keyed.schema[spec.entity].dataType)
+    kb = _non_null_key(F.col(_BUCKET), keyed.schema[_BUCKET].dataType)
+    if ke is None or kb is None:
+        raise TypeError(f"unsupported entity/time type for chunked windows: {spec.entity}, {spec.time}")
+    keys = ["_pc_ke", "_pc_ne", "_pc_kb", "_pc_nb"]
+    keyed = keyed.withColumns({"_pc_ke": ke, "_pc_ne": F.col(spec.entity).isNull(),
+                               "_pc_kb": kb, "_pc_nb": F.col(_BUCKET).isNull()})
+    per_entity = Window.partitionBy("_pc_ke", "_pc_ne")
+    day_order = per_entity.orderBy(F.col("_pc_nb").desc(), F.col("_pc_kb").asc())  # null day first
+    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pc_cnt"))
     counts = counts.select(
-        e_key, b_key,
-        F.coalesce(F.sum("_pc_cnt").over(per_day.rowsBetween(Window.unboundedPreceding, -1)),
+        *keys,
+        F.coalesce(F.sum("_pc_cnt").over(day_order.rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias(_OFF),
-        F.sum("_pc_cnt").over(Window.partitionBy(e_key)).alias(_N))
-    joined = keyed.join(
-        counts,
-        F.col(spec.entity).eqNullSafe(F.col(e_key)) & F.col(_BUCKET).eqNullSafe(F.col(b_key)),
-        "inner")
-    within_day = Window.partitionBy(spec.entity, _BUCKET).orderBy(*spec.order_exprs())
+        F.sum("_pc_cnt").over(per_entity).alias(_N))
+    joined = keyed.join(counts, on=keys, how="inner")
+    within_day = Window.partitionBy(*keys).orderBy(*spec.order_exprs())
     out = joined.withColumn(rn_col, F.col(_OFF) + F.row_number().over(within_day) - 1)
     if size_col:
         out = out.withColumn(size_col, F.col(_N))
-    return out.drop(e_key, b_key, _BUCKET, _OFF, _N)
+    return out.drop(*keys, _BUCKET, _OFF, _N)
 
 
 def _plain(df: DataFrame, spec: PanelSpec, columns: Mapping[str, WindowColumn],

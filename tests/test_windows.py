@@ -116,3 +116,14 @@ def test_positional_split(spark, tiny, strategy):
     out = positional_split(tiny, SPEC, 0.8, strategy=strategy, chunk_rows=4)
     counts = {(r["city"], r["split"]): r["count"] for r in out.groupBy("city", "split").count().collect()}
     assert counts == {("A", "train"): 24, ("A", "test"): 6, ("B", "train"): 4, ("B", "test"): 1}
+
+
+def test_chunked_handles_null_entity_and_time(spark):
+    rows = [(c, t, k, float(k)) for k, (c, t) in enumerate(
+        [("A", 1), ("A", None), (None, 2), (None, 1), ("A", 3), (None, None), ("A", 1), ("", 0), ("", None)] * 4)]
+    df = spark.createDataFrame(rows, "city string, t int, k int, v double")
+    cols = {"lag2": lambda w: F.lag("v", 2).over(w), "lead1": lambda w: F.lead("v", 1).over(w)}
+    plain = add_window_columns(df, SPEC, cols, 2, 1, strategy="plain", rn_col="rn", size_col="n")
+    chunked = add_window_columns(df, SPEC, cols, 2, 1, strategy="chunked", chunk_rows=3, rn_col="rn", size_col="n")
+    pick = ["k", "lag2", "lead1", "rn", "n"]
+    assert sorted(plain.select(*pick).collect()) == sorted(chunked.select(*pick).collect())
