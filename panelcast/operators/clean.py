@@ -6,9 +6,8 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from panelcast.functions.dates import DATE_FORMATS, parse_date
+from panelcast.functions.dates import DATE_FORMATS, calendar_parts, parse_date
 from panelcast.functions.tokens import NULL_TOKENS, clean_double, null_if_token
 
 POLLUTANTS = ("so2", "no2", "pm10", "pm2_5")
@@ -52,9 +51,8 @@ def parse_dates(df: DataFrame, date_col: str = "date", out: str = "date_parsed",
     add ``year, month, day`` and (by default) drop rows that did not parse."""
     parsed = parse_date(date_col, formats, tokens)
     df = df.withColumns({date_col: null_if_token(date_col, tokens), out: parsed})
-    d = F.col(out)
-    df = df.withColumns({"year": F.year(d), "month": F.month(d), "day": F.dayofmonth(d)})
-    return df.filter(d.isNotNull()) if drop_unparsed else df
+    df = df.withColumns(calendar_parts(out))
+    return df.filter(F.col(out).isNotNull()) if drop_unparsed else df
 
 
 def clean_readings(df: DataFrame, drop_unparsed: bool = True) -> DataFrame:
@@ -72,7 +70,3 @@ def select_existing(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Project the requested columns that exist, in request order."""
     have = set(df.columns)
     return df.select(*[c for c in columns if c in have])
-
-
-def string_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
