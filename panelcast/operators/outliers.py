@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.impute import DEFAULT_ACCURACY
+from panelcast.operators.quantiles import exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -40,23 +41,33 @@ def _bound_columns(column: str, factor: float, accuracy: int) -> list[Column]:
 
 
 def iqr_bounds_frame(df: DataFrame, column: str = "AQI", factor: float = 1.5,
-                     by: str | None = None, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """q1, q3, iqr, lower, upper — one row, or one row per ``by`` group."""
-    grouped = df.groupBy(by) if by else df
-    base = grouped.agg(*_bound_columns(column, factor, accuracy))
+                     by: str | None = None, accuracy: int | None = None) -> DataFrame:
+    """q1, q3, iqr, lower, upper — one row (exact), or one row per ``by`` group
+    (one grouped sketch aggregate; exact for groups below ``accuracy`` rows)."""
+    if by is None:
+        b = fit_iqr_bounds(df, column, factor, accuracy)
+        vals = (b.q1, b.q3, b.iqr, b.lower, b.upper) if b else (None,) * 5
+        return df.sparkSession.createDataFrame(
+            [vals], "q1 double, q3 double, iqr double, lower double, upper double")
+    base = df.groupBy(by).agg(*_bound_columns(column, factor, accuracy or DEFAULT_ACCURACY))
     iqr = F.col("q3") - F.col("q1")
-    return base.select(*([by] if by else []), "q1", "q3", iqr.alias("iqr"),
+    return base.select(by, "q1", "q3", iqr.alias("iqr"),
                        (F.col("q1") - factor * iqr).alias("lower"),
                        (F.col("q3") + factor * iqr).alias("upper"))
 
 
 def fit_iqr_bounds(df: DataFrame, column: str = "AQI", factor: float = 1.5,
-                   accuracy: int = DEFAULT_ACCURACY) -> IQRBounds | None:
-    """Global bounds; ``None`` on empty input (filters then pass rows through)."""
-    row = df.agg(*_bound_columns(column, factor, accuracy)).first()
-    if row is None or row["q1"] is None:
+                   accuracy: int | None = None) -> IQRBounds | None:
+    """Global bounds (exact unless an ``accuracy`` is given); ``None`` on empty
+    input (filters then pass rows through)."""
+    if accuracy is None:
+        q1, q3 = exact_quantiles(df, [column], [0.25, 0.75])[column]
+    else:
+        row = df.agg(*_bound_columns(column, factor, accuracy)).first()
+        q1, q3 = (row["q1"], row["q3"]) if row is not None else (None, None)
+    if q1 is None:
         return None
-    return IQRBounds(float(row["q1"]), float(row["q3"]), factor)
+    return IQRBounds(float(q1), float(q3), factor)
 
 
 def within(column: str, bounds: IQRBounds) -> Column:
@@ -77,7 +88,7 @@ def flag_outliers(df: DataFrame, bounds: IQRBounds | None, column: str = "AQI",
 
 
 def remove_outliers_iqr(df: DataFrame, column: str = "AQI", factor: float = 1.5,
-                        accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                        accuracy: int | None = None) -> DataFrame:
     return filter_iqr(df, fit_iqr_bounds(df, column, factor, accuracy), column)
 
 
