@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -72,4 +73,6 @@ def cut_lineage(df, eager: bool = True, min_partitions: int | None = None):
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), name)
+    """A fresh folder under the shared checkpoint folder (unique per call, so
+    concurrent jobs never write into each other's output)."""
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")

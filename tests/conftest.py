@@ -18,8 +18,9 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="panelcast-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    if not s.conf.get("spark.checkpoint.dir", None):  # only where the deployment names none
+        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="panelcast-test-ckpt-"))
     yield s
     s.stop()
