@@ -152,3 +152,25 @@ def test_staged_year_filter_prunes_partitions(spark):
         q.explain()
     assert "PartitionFilters: [isnotnull(year" in buf.getvalue()
     assert q.count() == staged.filter("year <= 1997").count() > 0
+
+
+def test_spread_small_input_only_for_small_local_files(spark):
+    from panelcast.sources.balance import spread_small_input
+    single = spark.read.parquet(os.path.join(SF001, "events.parquet"))
+    spread = spread_small_input(single)
+    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(spread.collect()) == sorted(single.collect())
+    rng = spark.range(10)
+    assert spread_small_input(rng) is rng  # no input files: left alone
+    assert spread_small_input(single, max_bytes_per_core=1) is single  # too big: left alone
+
+
+def test_inferred_schema_mode(spark):
+    d = tempfile.mkdtemp()
+    path = os.path.join(d, "r.csv")
+    with open(path, "w") as fh:
+        fh.write("location,so2,date\nA,NA,2001-01-02\nB,3.5,2001-01-03\n")
+    df = read_readings(spark, path, schema=None, infer_schema=True)
+    assert dict(df.dtypes)["so2"] == "string"  # "NA" makes inference fall back to text
+    from panelcast.operators.clean import cast_numeric
+    assert [r["so2"] for r in cast_numeric(df).orderBy("location").collect()] == [None, 3.5]
