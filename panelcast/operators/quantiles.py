@@ -127,3 +127,77 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             vals.append(v)
         out[c] = vals
     return out
+
+
+def _join_group(left: DataFrame, right: DataFrame, *also: str) -> DataFrame:
+    """Equi-join on the group key ``_g`` (null-safe: a null group is a group) and ``also``."""
+    r = right.withColumnRenamed("_g", "_g_r")
+    for c in also:
+        r = r.withColumnRenamed(c, f"{c}_r")
+    cond = left["_g"].eqNullSafe(r["_g_r"])
+    for c in also:
+        cond = cond & (left[c] == r[f"{c}_r"])
+    return left.join(r, cond).drop("_g_r", *[f"{c}_r" for c in also])
+
+
+def exact_group_quantiles(df: DataFrame, group: str, column: str, probs: Sequence[float],
+                          small: int = 10_000, bins: int = 1_000) -> DataFrame:
+    """Per-group exact discrete quantiles: rows ``(group, prob_idx, value)``.
+
+    Groups of up to ``small`` rows pick the k-th value with a ``row_number``
+    inside (group, prob) — each window partition holds at most ``small`` rows.
+    Bigger groups first narrow their interval with grouped histogram passes
+    (join to the per-group interval, then a count over (group, prob, bin),
+    spread over reducers however big the group); a window over at most
+    ``bins`` rows per (group, prob) picks the bin holding rank k.
+    """
+    from pyspark.sql import Window
+
+    from panelcast.session import checkpoint_dir
+    spark = df.sparkSession
+    x, date = _numeric(df, column)
+    base = df.select(F.col(group).alias("_g"), x.alias("_x")).filter(
+        F.col("_x").isNotNull() & ~F.isnan("_x"))
+    stats = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
+                                   F.max("_x").alias("_hi"))
+    checkpoint_dir(spark)
+    pairs = F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(float(q)).alias("_p"))
+                      for j, q in enumerate(probs)])
+    k = F.least(F.greatest(F.ceil(F.col("_p") * F.col("_n")), F.lit(1)), F.col("_n")).cast("long")
+    iv = (stats.select("*", F.explode(pairs).alias("_jp")).select("*", "_jp._j", "_jp._p")
+          .select("_g", "_j", k.alias("_k"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"),
+                  F.col("_n").alias("_m"),
+                  F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("_v")))
+    done = []
+    for _ in range(MAX_PASSES):
+        iv = iv.checkpoint(eager=True)
+        big = iv.filter(F.col("_v").isNull() & (F.col("_m") > small))
+        done.append(iv.filter(F.col("_v").isNotNull() | (F.col("_m") <= small)))
+        if big.isEmpty():
+            break
+        width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
+        b = F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
+        hist = (_join_group(base, big.select("_g", "_j", "_lo", "_hi"))
+                .filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+                .groupBy("_g", "_j", b.alias("_b"))
+                .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx")))
+        w = Window.partitionBy("_g", "_j").orderBy("_b")
+        hist = hist.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        pick = (_join_group(hist, big.select("_g", "_j", "_k", "_below"), "_j")
+                .filter((F.col("_cum") - F.col("_c") < F.col("_k") - F.col("_below"))
+                        & (F.col("_k") - F.col("_below") <= F.col("_cum"))))
+        iv = pick.select("_g", "_j", "_k", F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"),
+                         (F.col("_below") + F.col("_cum") - F.col("_c")).alias("_below"),
+                         F.col("_c").alias("_m"),
+                         F.when(F.col("_mn") == F.col("_mx"), F.col("_mn")).alias("_v"))
+    settled = done[0]
+    for part in done[1:]:
+        settled = settled.unionByName(part)
+    open_ = settled.filter(F.col("_v").isNull())
+    ranked = (_join_group(base, open_.select("_g", "_j", "_lo", "_hi", "_k", "_below"))
+              .filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+              .withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_j").orderBy("_x"))))
+    chosen = ranked.filter(F.col("_r") == F.col("_k") - F.col("_below")).select("_g", "_j", F.col("_x").alias("_v"))
+    out = settled.filter(F.col("_v").isNotNull()).select("_g", "_j", "_v").unionByName(chosen)
+    value = F.date_add(F.lit(_EPOCH), F.col("_v").cast("int")) if date else F.col("_v")
+    return out.select(F.col("_g").alias(group), F.col("_j").alias("prob_idx"), value.alias("value"))

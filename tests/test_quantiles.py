@@ -39,3 +39,18 @@ def test_dates_and_empty(spark, exact_below):
     df = spark.createDataFrame([(d, None) for d in days], "d date, e double")
     got = exact_quantiles(df, ["d", "e"], [0.8], exact_below=exact_below, bins=4)
     assert got["d"] == [brute(days, 0.8)] and got["e"] == [None]
+
+
+@pytest.mark.parametrize("small,bins", [(10_000, 1_000), (3, 4), (1, 2)])
+def test_group_quantiles_match_brute_force(spark, small, bins):
+    from panelcast.operators.quantiles import exact_group_quantiles
+    rng = random.Random(3)
+    rows = [("hot", rng.choice([1.0, 2.0, 2.5, 9.0]) if i % 3 else rng.uniform(0, 50)) for i in range(300)]
+    rows += [("cold", float(i)) for i in range(7)] + [("one", 4.0), ("nan", float("nan")), (None, 3.0), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {(r["g"], r["prob_idx"]): r["value"] for r in exact_group_quantiles(df, "g", "x", PROBS, small, bins).collect()}
+    for g in ("hot", "cold", "one", None):
+        vals = [x for gg, x in rows if gg == g]
+        for j, p in enumerate(PROBS):
+            assert got[(g, j)] == brute(vals, p), (g, p)
+    assert not any(k[0] == "nan" for k in got)
