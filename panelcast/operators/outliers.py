@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.impute import DEFAULT_ACCURACY
-from panelcast.operators.quantiles import exact_quantiles
+from panelcast.operators.quantiles import exact_group_quantiles, exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -42,14 +42,20 @@ def _bound_columns(column: str, factor: float, accuracy: int) -> list[Column]:
 
 def iqr_bounds_frame(df: DataFrame, column: str = "AQI", factor: float = 1.5,
                      by: str | None = None, accuracy: int | None = None) -> DataFrame:
-    """q1, q3, iqr, lower, upper — one row (exact), or one row per ``by`` group
-    (one grouped sketch aggregate; exact for groups below ``accuracy`` rows)."""
+    """q1, q3, iqr, lower, upper — one row, or one row per ``by`` group. Exact
+    by default (per group: ``exact_group_quantiles``, no hot-group sketch merge);
+    with an ``accuracy``, one grouped ``percentile_approx`` aggregate."""
     if by is None:
         b = fit_iqr_bounds(df, column, factor, accuracy)
         vals = (b.q1, b.q3, b.iqr, b.lower, b.upper) if b else (None,) * 5
         return df.sparkSession.createDataFrame(
             [vals], "q1 double, q3 double, iqr double, lower double, upper double")
-    base = df.groupBy(by).agg(*_bound_columns(column, factor, accuracy or DEFAULT_ACCURACY))
+    if accuracy is None:
+        q = exact_group_quantiles(df, by, column, [0.25, 0.75])
+        base = q.groupBy(by).agg(F.max(F.when(F.col("prob_idx") == 0, F.col("value"))).alias("q1"),
+                                 F.max(F.when(F.col("prob_idx") == 1, F.col("value"))).alias("q3"))
+    else:
+        base = df.groupBy(by).agg(*_bound_columns(column, factor, accuracy))
     iqr = F.col("q3") - F.col("q1")
     return base.select(by, "q1", "q3", iqr.alias("iqr"),
                        (F.col("q1") - factor * iqr).alias("lower"),
