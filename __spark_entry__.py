@@ -440,8 +440,21 @@ def entry(spark: SparkSession) -> DataFrame:
     return res.metrics
 
 
+def _llm() -> tuple[dict, dict]:
+    """Queries and SQL of the optional subpackage and its pipeline, where they are installed."""
+    try:
+        import corpus_pipeline
+        from panelcast.llm.queries import ORACLE, QUERIES
+    except ModuleNotFoundError as e:
+        if not (e.name or "").startswith(("panelcast.llm", "corpus_pipeline")):
+            raise
+        return {}, {}
+    sql = dict(ORACLE) if corpus_pipeline.ORACLE_SQL is None else {**ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {**QUERIES, "pipeline": corpus_pipeline.run}, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_llm()[0]}
 
 
 # ---------------------------------------------------------------- SQL side
@@ -661,4 +674,4 @@ FROM events""",
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return {**_ORACLE, **_llm()[1]}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -36,20 +35,16 @@ def get_session(app_name: str = "panelcast", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the deployment (a shared file system).
-    Only when it is unset — local runs and tests — a fresh folder is made
-    under the local temp dir.
+    The setting is static: the deployment (or a test's session builder) names a
+    folder every executor can reach. Without one this fails, for any master.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a "
-                               "folder on shared storage that every executor can reach")
-        current = tempfile.mkdtemp(prefix="panelcast-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder on storage shared by "
+                           "all executors when the session is built")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(current)
     return current
 
 
