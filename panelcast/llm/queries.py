@@ -38,8 +38,27 @@ def op7_minhash_near_dedup(spark, d):
     return near_duplicates(table(spark, d, "documents"), width=2)
 
 
+def op4_kd_tree_sharding(spark, d):
+    from panelcast.llm.kd_sharding import kd_shards
+    return kd_shards(table(spark, d, "documents"))
+
+
+def op9_warc_merkle_audit(spark, d):
+    from panelcast.llm.warc_merkle import audit_pages
+    return audit_pages(table(spark, d, "pages"))
+
+
+def op10_mixing(spark, d):
+    from panelcast.llm.mixing import mix, quality_weights
+    docs = table(spark, d, "documents")
+    return mix(docs, quality=quality_weights(table(spark, d, "labels"))).drop("tie")
+
+
 QUERIES = {
+    "op4_kd_tree_sharding": op4_kd_tree_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op9_warc_merkle_audit": op9_warc_merkle_audit,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE: dict[str, str] = {}
