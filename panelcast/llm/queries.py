@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -38,6 +39,11 @@ def op7_minhash_near_dedup(spark, d):
     return near_duplicates(table(spark, d, "documents"), width=2)
 
 
+def op3_rotated_one_bit_codes(spark, d):
+    from panelcast.llm.rotated_codes import nearest
+    return nearest(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_kd_tree_sharding(spark, d):
     from panelcast.llm.kd_sharding import kd_shards
     return kd_shards(table(spark, d, "documents"))
@@ -55,6 +61,7 @@ def op10_mixing(spark, d):
 
 
 QUERIES = {
+    "op3_rotated_one_bit_codes": op3_rotated_one_bit_codes,
     "op4_kd_tree_sharding": op4_kd_tree_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_warc_merkle_audit": op9_warc_merkle_audit,
