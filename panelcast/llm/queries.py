@@ -49,6 +49,12 @@ def op4_kd_tree_sharding(spark, d):
     return kd_shards(table(spark, d, "documents"))
 
 
+def op8_separator_scan(spark, d):
+    import public_tokenizers
+    from panelcast.llm.separator_scan import VOCABULARY, token_counts
+    return token_counts(table(spark, d, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op9_warc_merkle_audit(spark, d):
     from panelcast.llm.warc_merkle import audit_pages
     return audit_pages(table(spark, d, "pages"))
@@ -64,6 +70,7 @@ QUERIES = {
     "op3_rotated_one_bit_codes": op3_rotated_one_bit_codes,
     "op4_kd_tree_sharding": op4_kd_tree_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_separator_scan": op8_separator_scan,
     "op9_warc_merkle_audit": op9_warc_merkle_audit,
     "op10_mixing": op10_mixing,
 }
