@@ -39,6 +39,12 @@ def op7_minhash_near_dedup(spark, d):
     return near_duplicates(table(spark, d, "documents"), width=2)
 
 
+def op2_repair_tokens(spark, d):
+    import public_tokenizers
+    from panelcast.llm.repair_tokens import VOCABULARY, token_file
+    return token_file(table(spark, d, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op3_rotated_one_bit_codes(spark, d):
     from panelcast.llm.rotated_codes import nearest
     return nearest(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -67,6 +73,7 @@ def op10_mixing(spark, d):
 
 
 QUERIES = {
+    "op2_repair_tokens": op2_repair_tokens,
     "op3_rotated_one_bit_codes": op3_rotated_one_bit_codes,
     "op4_kd_tree_sharding": op4_kd_tree_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
