@@ -39,6 +39,17 @@ def op7_minhash_near_dedup(spark, d):
     return near_duplicates(table(spark, d, "documents"), width=2)
 
 
+def op1_language_id(spark, d):
+    import public_tokenizers
+    from panelcast.llm.language_id import VOCABULARY, fit, predict
+    from panelcast.llm.words import crc_mod
+    docs = table(spark, d, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = fit(docs, public_tokenizers.path(VOCABULARY), ~held_out)
+    texts = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return predict(texts, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_repair_tokens(spark, d):
     import public_tokenizers
     from panelcast.llm.repair_tokens import VOCABULARY, token_file
@@ -73,6 +84,7 @@ def op10_mixing(spark, d):
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_repair_tokens": op2_repair_tokens,
     "op3_rotated_one_bit_codes": op3_rotated_one_bit_codes,
     "op4_kd_tree_sharding": op4_kd_tree_sharding,
