@@ -34,6 +34,20 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op5_bm25_decontamination(spark, d):
+    from panelcast.llm.decontaminate import contaminated
+    return contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op6_string_kernel_toxicity(spark, d):
+    from panelcast.llm.toxicity import fit, score
+    from panelcast.llm.words import crc_mod
+    docs = table(spark, d, "documents")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = fit(docs, table(spark, d, "labels"), ~held_out)
+    return score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op7_minhash_near_dedup(spark, d):
     from panelcast.llm.near_dup import near_duplicates
     return near_duplicates(table(spark, d, "documents"), width=2)
@@ -88,6 +102,8 @@ QUERIES = {
     "op2_repair_tokens": op2_repair_tokens,
     "op3_rotated_one_bit_codes": op3_rotated_one_bit_codes,
     "op4_kd_tree_sharding": op4_kd_tree_sharding,
+    "op5_bm25_decontamination": op5_bm25_decontamination,
+    "op6_string_kernel_toxicity": op6_string_kernel_toxicity,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_separator_scan": op8_separator_scan,
     "op9_warc_merkle_audit": op9_warc_merkle_audit,
