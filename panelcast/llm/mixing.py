@@ -117,3 +117,22 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     epochs = F.least((passes + extra), F.lit(int(cap))).cast("long")
     return placed.select("doc_id", "size", "source", "source_size", "target", (epochs * F.col("size")).alias("taken"),
                          epochs.alias("epochs"), "tie")
+
+
+def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+               quality: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it (documents of size 0 never), all columns kept.
+
+    A row's epochs are found by id, source and a hash of its text; equal rows are exchangeable, so
+    their epochs are added up and dealt to one of them each.
+    """
+    taken = mix(docs, doc_id, text, source, quality).filter("epochs > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("tie").alias("_t")).agg(F.sum("epochs").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    keyed = docs.withColumn("_tie", F.xxhash64(F.col(text)))
+    same = F.col(doc_id).eqNullSafe(F.col("_d")) & F.col(source).cast("string").eqNullSafe(F.col("_s")) & (F.col("_tie") == F.col("_t"))
+    joined = keyed.join(taken, same)
+    # of equal rows one carries all their epochs
+    first = F.row_number().over(Window.partitionBy("_d", "_s", "_t").orderBy(F.lit(0))) == 1
+    several = joined.filter("_rows > 1").withColumn("_first", first).filter("_first").drop("_first")
+    rows = joined.filter("_rows = 1").unionByName(several)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*[F.col(c) for c in docs.columns])
