@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 2 << 20
 LONG_WORD = 256
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -152,6 +152,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         stop = max(stop, start + 1)
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def with_columns(df: DataFrame, text: str, fields: Sequence[StructField],
