@@ -5,14 +5,14 @@ components by large-star/small-star.
    digest of the set and, per band, a hash of ``ROWS`` universal minima.
 2. Texts of equal sets are one class, stood for by its smallest id; from here
    on only class representatives are compared, so exact copies cost one row.
-3. Band buckets of two or more are stars: every member is compared with the
-   bucket's smallest member (an aggregate and a join; no bucket is gathered).
-   The best pivot by signature is confirmed on the full sets.
+3. Band buckets of two or more are stars: every member is compared with one
+   member, the bucket's pivot (an aggregate and a join; no bucket is gathered).
+   The best pivots by signature are confirmed on the full sets.
 4. After a components pass only buckets that still hold several components
-   are open. In each, the members outside its largest component meet all
-   members in blocks of bounded size; signatures of pairs across components
-   are compared in numpy and the close ones confirmed on the full sets. So
-   every pair of a bucket is in one component, or was compared.
+   are open. The largest component of each, with all that meet it in a bucket,
+   is a family; its members outside that component meet all others in blocks of bounded
+   size, by signature and, where any is close, by full set. So every
+   pair of a bucket is in one component, or was compared.
 5. Components of all confirmed links.
 
 Bands: 36 of 6 minima find a pair at similarity 0.8 with probability
@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -37,7 +37,9 @@ from panelcast.llm.words import as_strings, chunks, hash_words, mix64, split_wor
 BANDS, ROWS = 36, 6
 #: A signature estimate under the similarity by four standard errors rules a pair out.
 SLACK = 4.0
-MINOR_BLOCK, MEMBER_BLOCK = 256, 2048
+MINOR_BLOCK, MEMBER_BLOCK = 128, 1024
+#: Pivots each document is confirmed against before open buckets are compared in full.
+PIVOTS = 3
 
 _RNG = np.random.Generator(np.random.PCG64(7_700_417))
 _MUL = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -150,48 +152,57 @@ def _alike(sketch_a: str, sketch_b: str):
     return agree(F.col(sketch_a), F.col(sketch_b))
 
 
+def _are_linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """100 * |both| >= percent * |either| of two sorted sets."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y: digests) with 100 * |both| >= percent * |either| on the full sets."""
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.zeros(len(a), bool)
-        for i, (p, q) in enumerate(zip(a, b)):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                out[i] = 100 * both >= percent * (len(p) + len(q) - both)
-        return pd.Series(out)
+        return pd.Series([_are_linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(a, b)], dtype=bool)
 
     left = sets.select(F.col("digest").alias("x"), F.col("members").alias("_a"))
     right = sets.select(F.col("digest").alias("y"), F.col("members").alias("_b"))
     return pairs.join(left, "x").join(right, "y").filter(linked("_a", "_b")).select("x", "y")
 
 
-def _close_pairs(percent: int):
-    """Blocks of minor and member rows of one bucket -> close pairs across components."""
+def _blocks(digests: pd.Series, sketch: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sketch), np.uint8).reshape(len(digests), -1)
+
+
+def _unit(percent: int, full: bool):
+    """Minors and members of one block pair of a family. From sketches: the minors that are close to a
+    member of another component. From ``full`` sets: for each minor and other component one linked pair."""
     floor = _floor(percent)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         minors, members = rows[rows["minor"]], rows[~rows["minor"]]
         xs, ys = [], []
         if len(minors) and len(members):
-            a = np.frombuffer(b"".join(minors["sketch"]), np.uint8).reshape(len(minors), -1)
-            b = np.frombuffer(b"".join(members["sketch"]), np.uint8).reshape(len(members), -1)
-            band = int(minors["no"].iloc[0])
-            of, major = members["component"].to_numpy(), members["is_major"].to_numpy()
-            ids, other = minors["rep"].to_numpy(), members["rep"].to_numpy()
+            a, b = _blocks(minors["digest"], minors["sketch"]), _blocks(members["digest"], members["sketch"])
+            of, own = members["component"].to_numpy(), minors["component"].to_numpy()
+            if full:
+                sets = [np.frombuffer(m, np.uint64) for m in members["members"]]
             for i in range(len(minors)):
-                # minors among themselves once: by the smaller id
-                ok = np.flatnonzero((of != minors["component"].iloc[i]) & (major | (other > ids[i])))
-                same = b[ok] == a[i]
-                near = same.mean(axis=1) >= floor
-                ok, same = ok[near], same[near]
-                # a pair that meets in several bands is compared in the first
-                shared = same.reshape(len(ok), BANDS, ROWS).all(axis=2)
-                ok = ok[shared.argmax(axis=1) == band] if len(ok) else ok
-                xs += [minors["digest"].iloc[i]] * len(ok)
-                ys += [members["digest"].iloc[j] for j in ok]
+                other = np.flatnonzero(of != own[i])
+                close = other[(b[other] == a[i]).mean(axis=1) >= floor]
+                if not full:
+                    if len(close):
+                        xs.append(minors["digest"].iloc[i])
+                        ys.append(minors["digest"].iloc[i])
+                    continue
+                mine, met = np.frombuffer(minors["members"].iloc[i], np.uint64), set()
+                for j in close:
+                    if of[j] not in met and _are_linked(mine, sets[j], percent):
+                        met.add(of[j])
+                        xs.append(minors["digest"].iloc[i])
+                        ys.append(members["digest"].iloc[j])
         return pd.DataFrame({"x": xs, "y": ys})
 
     return run
@@ -217,23 +228,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # stars of the band buckets
     spread = classes.select("rep", F.posexplode("band").alias("no", "value"))
-    least = spread.groupBy("no", "value").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # a bucket's pivot is a member drawn by a hash that differs from band to band, so a large family's
+    # members meet many different pivots
+    drawn = F.min(F.struct(F.xxhash64("no", "rep").alias("h"), "rep")).alias("drawn")
+    least = (spread.groupBy("no", "value").agg(drawn, F.count(F.lit(1)).alias("n")).filter("n > 1")
+             .select("no", "value", F.col("drawn.rep").alias("pivot")))
     near = (spread.join(least, ["no", "value"]).filter("rep <> pivot").select("rep", "pivot").distinct())
     by_rep = classes.select("rep", "digest", "sketch")
     near = (near.join(by_rep, "rep").withColumnRenamed("digest", "x").withColumnRenamed("sketch", "sx")
             .join(by_rep.select(F.col("rep").alias("pivot"), F.col("digest").alias("y"), F.col("sketch").alias("sy")), "pivot"))
     scored = near.select("x", "y", "rep", "pivot", _alike("sx", "sy").alias("agree")).filter(F.col("agree") >= _floor(percent))
-    best = stored(scored.groupBy("x", "rep").agg(F.max_by(F.struct("y", "pivot"), F.struct("agree", F.col("pivot"))).alias("to"))
-                  .select("x", "rep", "to.y", "to.pivot"), "pivots")
+    order = Window.partitionBy("x").orderBy(F.desc("agree"), "pivot")
+    best = stored(scored.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PIVOTS)
+                  .select("x", "rep", "y", "pivot"), "pivots")
     wanted = best.select(F.col("rep").alias("id"), F.col("x").alias("digest")).union(best.select("pivot", "y")).distinct()
     links = stored(_confirmed(best.select("x", "y"), _full_sets(docs, wanted, doc_id, text, width), percent), "links")
 
     named = _class_components(live, classes, links)
-    rest = _open_pairs(classes, named, percent)
-    rest = stored(rest, "rest")
-    if not rest.isEmpty():
-        wanted = rest.select(F.col("rx").alias("id"), F.col("x").alias("digest")).union(rest.select("ry", "y")).distinct()
-        more = stored(_confirmed(rest.select("x", "y"), _full_sets(docs, wanted, doc_id, text, width), percent), "more")
+    more = _links_across(docs, classes, named, doc_id, text, width, percent)
+    if more is not None:
         named = _class_components(live, classes, links.union(more))
     # every row through its class
     out = scanned.join(named.select("digest", F.col("component").alias("_c")), "digest", "left")
@@ -256,27 +269,47 @@ def _class_components(live: DataFrame, classes: DataFrame, links: DataFrame) ->
                   .select("digest", "rep", F.coalesce("component_id", "rep").alias("component")), "components")
 
 
-def _open_pairs(classes: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """Close pairs (x, y, rx, ry) across components within the buckets that hold several."""
-    rows = (classes.select("digest", F.posexplode("band").alias("no", "value"))
-            .join(named, "digest").select("no", "value", "digest", "rep", "component"))
+def _links_across(docs: DataFrame, classes: DataFrame, named: DataFrame, doc_id: str, text: str, width: int,
+                  percent: int) -> DataFrame | None:
+    """Links (x, y) between components that still share a band bucket; None if no pair is close.
+
+    A family is the largest component of such a bucket, with all classes (minors) that meet it in any
+    bucket: every pair across components of a bucket is a pair of one family with a minor in it.
+    Families are compared in blocks, first by sketches; those with a close pair also by full sets.
+    """
+    rows = classes.select("digest", F.posexplode("band").alias("no", "value")).join(named.select("digest", "component"), "digest")
     parts = rows.groupBy("no", "value", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (parts.groupBy("no", "value").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"),
-                                              F.max(F.struct("n", "component")).alias("largest"))
-             .filter("parts > 1")
-             .select("no", "value", F.col("largest.component").alias("major"),
-                     F.ceil(F.col("n") / MEMBER_BLOCK).cast("int").alias("member_blocks"),
-                     F.greatest(F.ceil((F.col("n") - F.col("largest.n")) / MINOR_BLOCK), F.lit(1)).cast("int").alias("minor_blocks")))
-    rows = stored(rows.join(mixed, ["no", "value"]), "mixed")
-    sketches = classes.select("digest", "sketch")
-    rows = rows.join(sketches, "digest").withColumn("is_major", F.col("component") == F.col("major"))
-    block = lambda n: F.pmod(F.xxhash64("digest", "no"), F.col(n)).cast("int")
+    mixed = (parts.groupBy("no", "value").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("largest"))
+             .filter("parts > 1").select("no", "value", F.col("largest.component").alias("family")))
+    minors = stored(rows.join(mixed, ["no", "value"]).filter("component <> family").select("family", "digest", "component").distinct(), "minors")
+    families = minors.select("family").distinct()
+    core = named.join(families, F.col("component") == F.col("family")).select("family", "digest", "component")
+    members = stored(core.union(minors), "families")
+
+    close = stored(_in_blocks(minors, members, classes.select("digest", "sketch"), percent, False).select("family", F.col("x").alias("digest")).distinct(), "close")
+    if close.isEmpty():
+        return None
+    minors = minors.join(close, ["family", "digest"], "left_semi")
+    members = members.join(close.select("family").distinct(), "family", "left_semi")
+    wanted = members.select("digest").distinct().join(classes.select("digest", F.col("rep").alias("id")), "digest")
+    sets = _full_sets(docs, wanted, doc_id, text, width).select("digest", "members").join(classes.select("digest", "sketch"), "digest")
+    return stored(_in_blocks(minors, members, stored(sets, "family-sets"), percent, True).select("x", "y").distinct(), "more")
+
+
+def _in_blocks(minors: DataFrame, members: DataFrame, payload: DataFrame, percent: int, full: bool) -> DataFrame:
+    """(family, x, y) from every block of a family's minors against every block of its members."""
+    sizes = (members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / MEMBER_BLOCK).cast("int").alias("nj"))
+             .join(minors.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / MINOR_BLOCK).cast("int").alias("ni")), "family"))
+    block = lambda n: F.pmod(F.xxhash64("digest"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    fields = ["no", "value", "i", "j", "digest", "rep", "component", "is_major", "sketch"]
-    minors = rows.filter(~F.col("is_major")).withColumn("i", block("minor_blocks")).withColumn("j", every("member_blocks"))
-    members = rows.withColumn("j", block("member_blocks")).withColumn("i", every("minor_blocks"))
-    blocks = (minors.select(*fields, F.lit(True).alias("minor")).union(members.select(*fields, F.lit(False).alias("minor"))))
-    pairs = blocks.groupBy("no", "value", "i", "j").applyInPandas(_close_pairs(percent), "x binary, y binary")
-    ids = named.select("digest", "rep")
-    return (pairs.join(ids.select(F.col("digest").alias("x"), F.col("rep").alias("rx")), "x")
-            .join(ids.select(F.col("digest").alias("y"), F.col("rep").alias("ry")), "y"))
+    sides = []
+    for side, is_minor in ((minors, True), (members, False)):
+        side = side.join(sizes, "family").join(payload, "digest")
+        i, j = (block("ni"), every("nj")) if is_minor else (every("ni"), block("nj"))
+        sides.append(side.withColumn("i", i).withColumn("j", j).withColumn("minor", F.lit(is_minor)).drop("ni", "nj"))
+    run = _unit(percent, full)
+
+    def unit(key, rows):
+        return run(rows).assign(family=key[0])
+
+    return sides[0].unionByName(sides[1]).groupBy("family", "i", "j").applyInPandas(unit, "x binary, y binary, family long")
