@@ -17,7 +17,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.functions.breakpoints import BREAKPOINTS, INDEX_CAP, segment_slope
 from panelcast.operators.audit import row_drop_audit
 from panelcast.operators.calendar import calendar_target, daily_panel
 from panelcast.operators.clean import (
@@ -28,9 +27,10 @@ from panelcast.operators.clean import (
     drop_missing,
     parse_dates,
     rename_columns,
+    select_existing,
 )
 from panelcast.operators.entities import fold_sizes, top_entities
-from panelcast.operators.evaluate import label_stats, regression_metrics
+from panelcast.operators.evaluate import comparison_table, label_stats, regression_metrics
 from panelcast.operators.features import (
     FEATURE_COLUMNS,
     LABEL_COL,
@@ -44,7 +44,7 @@ from panelcast.operators.features import (
 )
 from panelcast.operators.impute import fill_values, fit_medians, medians_frame
 from panelcast.operators.index import add_sub_indices, compute_aqi
-from panelcast.operators.outliers import filter_iqr, fit_iqr_bounds, iqr_bounds_frame, within
+from panelcast.operators.outliers import filter_iqr, filter_iqr_by_group, fit_iqr_bounds, iqr_bounds_frame, within
 from panelcast.operators.sequences import fit_label_scaler, positional_split, sequence_windows
 from panelcast.operators.split import (
     assign_split,
@@ -54,9 +54,11 @@ from panelcast.operators.split import (
     split_summary,
     year_counts,
 )
+from panelcast.panel import PanelSpec
 from panelcast.sources.adapters import EVENTS_SPEC, READINGS_SPEC, events_panel, lineitem_readings
-from panelcast.sources.readings import load_profile, stage_dataset
-from panelcast.sources.sinks import write_metrics_csv
+from panelcast.plans.pipeline import build_feature_table, run_preprocessing
+from panelcast.sources.readings import RAW_COLUMNS, load_profile, read_readings, stage_dataset
+from panelcast.sources.sinks import IMPORTANCE_SCHEMA, METRICS_SCHEMA, preview, write_importance_csv, write_metrics_csv
 from panelcast.session import scratch_path
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -85,14 +87,8 @@ def _indexed(spark: SparkSession, d: str, impute: bool = True) -> DataFrame:
 
 
 def _readings_panel(spark: SparkSession, d: str, iqr: bool = False) -> DataFrame:
-    """Imputed, indexed, (IQR-filtered,) dated rows of L.
-
-    The indexed rows feed up to three more passes (IQR fit, entity-size check,
-    the window), so they are written once through a checkpoint instead of
-    being re-parsed and re-indexed for each.
-    """
-    from panelcast.session import cut_lineage
-    df = cut_lineage(drop_missing(_indexed(spark, d), "AQI"))
+    """Imputed, indexed, (IQR-filtered,) dated rows of L."""
+    df = drop_missing(_indexed(spark, d), "AQI")
     if iqr:
         df = filter_iqr(df, fit_iqr_bounds(df, "AQI"), "AQI")
     return df.filter(F.col("date_parsed").isNotNull())
@@ -132,7 +128,7 @@ def q_impute_median(spark, d):
 
 def q_sub_index_each(spark, d):
     df = add_sub_indices(_clean(spark, d))
-    return df.select(*KEYS, *[_r6(f"si_{k}").alias(f"si_{k}") for k in BREAKPOINTS])
+    return df.select(*KEYS, *[_r6(f"si_{k}").alias(f"si_{k}") for k in _SEGMENTS])
 
 
 def q_aqi(spark, d):
@@ -201,7 +197,7 @@ def q_interactions(spark, d):
 
 
 def q_feature_table(spark, d):
-    df = _feature_rows(spark, d, iqr=True)
+    df = build_feature_table(lineitem_readings(spark, d), READINGS_SPEC, compat=True)[0]
     return df.select(*KEYS, "city", "date_parsed", *[_r6(c).alias(c) for c in (*FEATURE_COLUMNS, LABEL_COL)])
 
 
@@ -354,12 +350,8 @@ def q_feature_importance(spark, d):
 
 
 def q_cross_entity_validation(spark, d):
-    from panelcast.plans.crossval import cross_entity_validation
-    from panelcast.plans.models import fit_features
-    from panelcast.session import cut_lineage
-    feats = cut_lineage(_feature_rows(spark, d, iqr=True))
-    vec = fit_features(feats, FEATURE_COLUMNS, True).transform(feats)
-    return cross_entity_validation(vec, "city", 3)
+    from panelcast.plans.crossval import cross_entity_forecast
+    return cross_entity_forecast(_clean(spark, d, drop_unparsed=True), READINGS_SPEC, 3)
 
 
 def q_sequence_regression(spark, d):
@@ -378,8 +370,164 @@ def q_metrics_roundtrip(spark, d):
                  F.lit(0.0).alias("training_time_sec"))
     path = scratch_path(spark, "metrics_csv")
     write_metrics_csv(m, path)
-    from panelcast.sources.sinks import METRICS_SCHEMA
-    return spark.read.schema(METRICS_SCHEMA).option("header", True).csv(path)
+    back = spark.read.schema(METRICS_SCHEMA).option("header", True).csv(path)
+    return back.select("model", *[_r6(c).alias(c) for c in ("RMSE", "MAE", "MAPE", "R2", "training_time_sec")])
+
+
+def q_metrics_by_entity_roundtrip(spark, d):
+    m = regression_metrics(_persistence(spark, d), "value_target", "prediction", by="user_id")
+    m = m.select(F.concat(F.lit("Persistence_"), "user_id").alias("model"), "RMSE", "MAE", "MAPE", "R2",
+                 F.lit(0.0).alias("training_time_sec"), F.col("user_id").cast("string").alias("user_id"))
+    path = scratch_path(spark, "entity_metrics_csv")
+    write_metrics_csv(m, path)
+    back = spark.read.schema(METRICS_SCHEMA.add("user_id", "string")).option("header", True).csv(path)
+    return back.select("model", "user_id", *[_r6(c).alias(c) for c in ("RMSE", "MAE", "MAPE", "R2")])
+
+
+def q_importance_roundtrip(spark, d):
+    """S5/K3 on the share of readings that have each concentration."""
+    shares = _clean(spark, d).agg(*[(F.count(c) / F.count(F.lit(1))).alias(c) for c in POLLUTANTS])
+    path = scratch_path(spark, "importance_csv")
+    write_importance_csv(shares.unpivot([], list(POLLUTANTS), "feature", "importance"), path)
+    return spark.read.schema(IMPORTANCE_SCHEMA).option("header", True).csv(path)
+
+
+def q_comparison_persistence(spark, d):
+    m = regression_metrics(_persistence(spark, d), "value_target", "prediction")
+    return comparison_table(m.withColumns({"model": F.lit("Persistence"), "training_time_sec": F.lit(0.0)}))
+
+
+def q_preview(spark, d):
+    df = _clean(spark, d, drop_unparsed=True).orderBy(*KEYS)
+    return preview(df, [*KEYS, "city", "date_parsed", "no_such_column"])
+
+
+def q_select_existing(spark, d):
+    return select_existing(_clean(spark, d), [*KEYS, "no_such_column", "spm", "city"])
+
+
+def q_csv_scan(spark, d):
+    """Readings written as CSV with the columns in reverse order, read back by name."""
+    df = lineitem_readings(spark, d)
+    df = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in reversed(RAW_COLUMNS)])
+    path = scratch_path(spark, "readings_csv")
+    (df.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return read_readings(spark, ["hdfs://no-such-host.invalid/readings.csv", path]).select("location", "so2", "no2", "rspm", "spm", "pm2_5", "date")
+
+
+def q_aqi_gap_round(spark, d):
+    df = _clean(spark, d)
+    df = compute_aqi(fill_values(df, fit_medians(df, POLLUTANTS)), gap_policy="round")
+    return df.select(*KEYS, _r6("AQI").alias("AQI"))
+
+
+def q_iqr_filter_by_entity(spark, d):
+    df = filter_iqr_by_group(drop_missing(_indexed(spark, d), "AQI"), "AQI", "city")
+    return df.select(*KEYS, _r6("AQI").alias("AQI"))
+
+
+def _hot(key: str):
+    return F.when(F.col(key) % 3 != 0, F.lit("hot")).when(F.col(key) % 6 == 0, F.lit("cold"))
+
+
+def q_iqr_bounds_hot_entity(spark, d):
+    """Three groups, one with two thirds of all rows, one of them null."""
+    df = drop_missing(_indexed(spark, d), "AQI").withColumn("part", _hot("l_orderkey"))
+    b = iqr_bounds_frame(df, "AQI", 1.5, by="part")
+    return b.select("part", *[_r6(c).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")])
+
+
+def q_entity_date_split_hot(spark, d):
+    df = _events_dated(spark, d).withColumn("part", _hot("event_id")).filter("part is not null")
+    return entity_date_split(df, "part", 0.8).groupBy("part", "split").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def q_sequence_windows_offset(spark, d):
+    """Windows that end with the current row."""
+    seq = sequence_windows(events_panel(spark, d), EVENTS_SPEC, ["value"], "value", 24, dtype="double", offset=0)
+    total = F.aggregate(F.col("seq"), F.lit(0.0), lambda acc, x: acc + x[0])
+    return seq.select(*EKEYS, F.col("seq")[0][0].alias("seq_first"), F.col("seq")[23][0].alias("seq_last"), _r6(total).alias("seq_sum"))
+
+
+def q_chunked_one_day(spark, d):
+    """One entity, one day: the order within the day is all there is."""
+    ev = events_panel(spark, d).withColumns({"one": F.lit("x"), "day": F.lit("2024-01-01").cast("date")})
+    spec = PanelSpec("one", "day", ("event_id",))
+    out = panel_features(ev, spec, "value", strategy="chunked", chunk_rows=500)
+    return out.select("event_id", "value_target", "value_lag1", "value_lag24", _r6("value_rolling_24").alias("value_rolling_24"))
+
+
+def q_preprocessed_table(spark, d):
+    df = run_preprocessing(lineitem_readings(spark, d))
+    return df.select(*KEYS, "city", "date_parsed", "year", "month", "day", "so2", "no2", "pm10", "pm2_5", _r6("AQI").alias("AQI"))
+
+
+def q_leak_free_features(spark, d):
+    df = build_feature_table(lineitem_readings(spark, d), READINGS_SPEC)[0]
+    return df.select(*KEYS, "city", "date_parsed", "split", "is_outlier", *[_r6(c).alias(c) for c in (*FEATURE_COLUMNS, LABEL_COL)])
+
+
+def q_assembled_features(spark, d):
+    """Assembled without scaling."""
+    from pyspark.ml.functions import vector_to_array
+
+    from panelcast.plans.models import fit_features
+    feats = _feature_rows(spark, d)
+    arr = vector_to_array("features")
+    out = fit_features(feats, FEATURE_COLUMNS, scale=False).transform(feats)
+    return out.select(*KEYS, *[_r6(arr[i]).alias(f"x_{c}") for i, c in enumerate(FEATURE_COLUMNS)])
+
+
+def _month_vectors(spark, d):
+    from panelcast.plans.models import fit_features
+    df = forecast_target(_readings_panel(spark, d), READINGS_SPEC, "AQI").select("month", LABEL_COL)
+    return fit_features(df, ["month"], scale=False).transform(df)
+
+
+def _stump(spark, d, name, **params):
+    """What a depth-1 tree predicts for each month: both leaves are means of the best split."""
+    from panelcast.plans.models import train_models
+    df = _month_vectors(spark, d)
+    model, _ = train_models(df, [name], params={name: params})[name]
+    months = df.select("month", "features").distinct()
+    return model.transform(months).select("month", _r6("prediction").alias("prediction"))
+
+
+def q_forest_one_split(spark, d):
+    return _stump(spark, d, "RandomForest", numTrees=1, maxDepth=1, bootstrap=False, featureSubsetStrategy="all", subsamplingRate=1.0)
+
+
+def q_gbt_one_split(spark, d):
+    return _stump(spark, d, "GBTRegressor", maxIter=1, maxDepth=1)
+
+
+def q_ols_two_features(spark, d):
+    from panelcast.plans.models import fit_features, linear_coefficients, train_models
+    cols = ["month", "day"]
+    df = forecast_target(_readings_panel(spark, d), READINGS_SPEC, "AQI").select(*cols, LABEL_COL)
+    df = fit_features(df, cols, scale=False).transform(df)
+    model, _ = train_models(df, ["LinearRegression"], params={"LinearRegression": {"regParam": 0.0, "solver": "normal"}})["LinearRegression"]
+    return linear_coefficients(spark, model, cols).select("feature", _r6("coefficient").alias("coefficient"))
+
+
+def q_sequence_ols(spark, d):
+    """Windows of one row that end with the current one: the sequence model is the plain regression."""
+    from panelcast.plans.models import fit_sequence_regression
+    df = forecast_target(_readings_panel(spark, d), READINGS_SPEC, "AQI")
+    seq = sequence_windows(df, READINGS_SPEC, ["AQI"], LABEL_COL, 1, dtype="double", offset=0)
+    scaler = fit_label_scaler(seq, LABEL_COL)
+    model, _ = fit_sequence_regression(seq.withColumn("_y", scaler.scale(LABEL_COL)), "_y", regParam=0.0, solver="normal")
+    row = [(float(model.coefficients[0]), float(model.intercept))]
+    out = spark.createDataFrame(row, "b double, a double")
+    return out.select(_r6(F.col("b") * scaler.std).alias("slope"), _r6(scaler.unscale("a")).alias("intercept"))
+
+
+def q_cross_entity_ols(spark, d):
+    """Folds of one-feature regressions; medians and outlier bounds are the training entities' own."""
+    from panelcast.plans.crossval import cross_entity_forecast
+    out = cross_entity_forecast(_clean(spark, d, drop_unparsed=True), READINGS_SPEC, 3, "LinearRegression", ["AQI_lag1"], scale=False,
+                                params={"regParam": 0.0, "solver": "normal"})
+    return out.select("city", *[_r6(c).alias(c) for c in ("RMSE", "MAE")], "n")
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -429,6 +577,26 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cross_entity_validation": q_cross_entity_validation,
     "sequence_regression": q_sequence_regression,
     "metrics_roundtrip": q_metrics_roundtrip,
+    "metrics_by_entity_roundtrip": q_metrics_by_entity_roundtrip,
+    "importance_roundtrip": q_importance_roundtrip,
+    "comparison_persistence": q_comparison_persistence,
+    "preview": q_preview,
+    "select_existing": q_select_existing,
+    "csv_scan": q_csv_scan,
+    "aqi_gap_round": q_aqi_gap_round,
+    "iqr_filter_by_entity": q_iqr_filter_by_entity,
+    "iqr_bounds_hot_entity": q_iqr_bounds_hot_entity,
+    "entity_date_split_hot": q_entity_date_split_hot,
+    "sequence_windows_offset": q_sequence_windows_offset,
+    "chunked_one_day": q_chunked_one_day,
+    "preprocessed_table": q_preprocessed_table,
+    "leak_free_features": q_leak_free_features,
+    "assembled_features": q_assembled_features,
+    "forest_one_split": q_forest_one_split,
+    "gbt_one_split": q_gbt_one_split,
+    "ols_two_features": q_ols_two_features,
+    "sequence_ols": q_sequence_ols,
+    "cross_entity_ols": q_cross_entity_ols,
 }
 
 
@@ -472,17 +640,30 @@ def _half(e: str) -> str:
     return f"CAST(floor({e} * 2) AS DOUBLE) / 2.0"
 
 
+# Fixed values, stated here apart from the package: published breakpoints as (BPlo, BPhi, Ilo, Ihi).
+_SEGMENTS = {
+    "pm2_5": [(0, 30, 0, 50), (31, 60, 51, 100), (61, 90, 101, 200), (91, 120, 201, 300), (121, 250, 301, 400), (250, 500, 401, 500)],
+    "pm10": [(0, 50, 0, 50), (51, 100, 51, 100), (101, 250, 101, 200), (251, 350, 201, 300), (351, 430, 301, 400), (430, 600, 401, 500)],
+    "so2": [(0, 40, 0, 50), (41, 80, 51, 100), (81, 380, 101, 200), (381, 800, 201, 300), (801, 1600, 301, 400), (1600, 2400, 401, 500)],
+    "no2": [(0, 40, 0, 50), (41, 80, 51, 100), (81, 180, 101, 200), (181, 280, 201, 300), (281, 400, 301, 400), (400, 600, 401, 500)],
+}
+# The model inputs and the label.
+_INPUTS = ("so2", "no2", "pm10", "pm2_5", "month", "day", "AQI_lag1", "AQI_lag24", "AQI_rolling_24",
+           "month_sin", "month_cos", "pm25_x_so2", "no2_x_pm10")
+_LABEL = "AQI_target"
+
+
 def _si_sql(x: str, table) -> str:
-    parts = [f"WHEN isnan({x}) THEN NULL", f"WHEN {x} > {table[-1][1]} THEN {INDEX_CAP!r}"]
-    for seg in table:
-        lo, hi, ilo, _ = seg
-        parts.append(f"WHEN {x} >= {lo} AND {x} <= {hi} THEN "
-                     f"CAST('{segment_slope(seg)!r}' AS DOUBLE) * ({x} - {float(lo)!r}) + {float(ilo)!r}")
+    parts = [f"WHEN isnan({x}) THEN NULL"]
+    for lo, hi, ilo, ihi in table:
+        parts.append(f"WHEN {x} >= {lo} AND {x} <= {hi} THEN {ilo}.0::DOUBLE + "
+                     f"(({x} - {lo}.0::DOUBLE) / {hi - lo}.0::DOUBLE) * {ihi - ilo}.0::DOUBLE")
+    parts.append(f"WHEN {x} > {table[-1][1]} THEN 500.0::DOUBLE")
     return "CASE " + " ".join(parts) + " ELSE NULL END"
 
 
-def _aqi_sql() -> str:
-    return "greatest(" + ", ".join(_si_sql(k, t) for k, t in BREAKPOINTS.items()) + ")"
+def _aqi_sql(x: str = "{}") -> str:
+    return "greatest(" + ", ".join(_si_sql(x.format(k), t) for k, t in _SEGMENTS.items()) + ")"
 
 
 _DATE_SQL = ("CAST(coalesce(" + ", ".join(
@@ -546,7 +727,7 @@ F0 AS (
          sin(2 * pi() * month / 12.0) AS month_sin, cos(2 * pi() * month / 12.0) AS month_cos,
          pm2_5 * so2 AS pm25_x_so2, no2 * pm10 AS no2_x_pm10
   FROM PI WINDOW w AS ({_READ_ORDER})),
-FT AS (SELECT * FROM F0 WHERE {' AND '.join(f'{c} IS NOT NULL AND NOT isnan({c})' for c in (*FEATURE_COLUMNS, LABEL_COL))})"""
+FT AS (SELECT * FROM F0 WHERE {' AND '.join(f'{c} IS NOT NULL AND NOT isnan({c})' for c in (*_INPUTS, _LABEL))})"""
 
 CTE_T = f"""ET AS (SELECT * FROM (SELECT *, lead(value, 1) OVER ({_EV_ORDER}) AS value_target FROM events)
        WHERE value_target IS NOT NULL)"""
@@ -581,7 +762,7 @@ YS AS (
          CAST(count(*) OVER () AS BIGINT) AS n_years
   FROM Y)"""
 
-_F = ", ".join(c if c in ("month", "day") else _r(c) for c in (*FEATURE_COLUMNS, LABEL_COL))
+_F = ", ".join(c if c in ("month", "day") else _r(c) for c in (*_INPUTS, _LABEL))
 
 _ORACLE: dict[str, str] = {
     "clean_tokens_cast": _with(CTE_L, CTE_C) + "SELECT l_orderkey, l_linenumber, l_partkey, city, so2, no2, pm10, pm2_5, spm FROM C",
@@ -590,7 +771,7 @@ _ORACLE: dict[str, str] = {
     "median_values": _with(CTE_L, CTE_C, CTE_I) + "SELECT m_so2 AS so2, m_no2 AS no2, m_pm10 AS pm10, m_pm2_5 AS pm2_5 FROM M",
     "impute_median": _with(CTE_L, CTE_C, CTE_I) + "SELECT l_orderkey, l_linenumber, l_partkey, so2, no2, pm10, pm2_5 FROM I",
     "sub_index_each": _with(CTE_L, CTE_C) + "SELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(
-        f"round({_si_sql(k, t)}, 6) AS si_{k}" for k, t in BREAKPOINTS.items()) + " FROM C2",
+        f"round({_si_sql(k, t)}, 6) AS si_{k}" for k, t in _SEGMENTS.items()) + " FROM C2",
     "aqi": _with(CTE_L, CTE_C, CTE_I, CTE_A) + "SELECT l_orderkey, l_linenumber, l_partkey, round(AQI, 6) AS AQI FROM A",
     "drop_missing_aqi": _with(CTE_L, CTE_C, CTE_I, CTE_A) + "SELECT l_orderkey, l_linenumber, l_partkey, round(AQI, 6) AS AQI FROM A0 WHERE AQI IS NOT NULL",
     "iqr_bounds": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_B) + "SELECT " + ", ".join(_r(c) for c in ("q1", "q3", "iqr", "lower", "upper")) + " FROM B",
@@ -654,7 +835,7 @@ SELECT city, CAST((SELECT count(city) FROM D) - rows AS BIGINT) AS train_rows, C
     "regression_metrics_by_entity": _with(CTE_T) + "SELECT user_id, " + _METRICS_SQL + " FROM ET GROUP BY user_id",
     "scaled_features": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_B, CTE_F) + "SELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(
         f"round(CASE WHEN stddev_samp({c}) OVER () = 0 THEN 0.0 ELSE ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () END, 6) + 0.0 AS z_{c}"
-        for c in FEATURE_COLUMNS) + " FROM FT",
+        for c in _INPUTS) + " FROM FT",
     "label_scaling": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_P) + """,
 Z AS (SELECT avg(AQI_target) AS m, stddev_pop(AQI_target) AS s FROM PT)
 SELECT l_orderkey, l_linenumber, l_partkey, round((AQI_target - m) / s, 6) AS y_scaled,
@@ -673,5 +854,109 @@ FROM events""",
 }
 
 
+def _leak_free_sql() -> str:
+    """Split on dated rows; medians and outlier bounds of the training years; windows over all readings."""
+    features = ", ".join(c if c in ("month", "day") else _r(c) for c in (*_INPUTS, _LABEL))
+    order = _READ_ORDER
+    return _with(CTE_L, CTE_C, _YEARS_SQL) + f""",
+H AS (SELECT n_years, least(coalesce(min(CASE WHEN cum_share >= 0.8 THEN year_idx END), n_years - 2), n_years - 2 - 1) AS split_idx
+      FROM YS GROUP BY n_years),
+YB AS (SELECT max(year) AS last_year FROM YS, H WHERE year_idx = split_idx),
+S AS (SELECT D.*, CASE WHEN year <= last_year THEN 'train' ELSE 'test' END AS split FROM D, YB),
+M AS (SELECT quantile_disc(so2, 0.5) AS m_so2, quantile_disc(no2, 0.5) AS m_no2, quantile_disc(pm10, 0.5) AS m_pm10,
+             quantile_disc(pm2_5, 0.5) AS m_pm2_5 FROM S WHERE split = 'train'),
+I AS (SELECT S.* REPLACE (coalesce(so2, m_so2) AS so2, coalesce(no2, m_no2) AS no2, coalesce(pm10, m_pm10) AS pm10,
+                          coalesce(pm2_5, m_pm2_5) AS pm2_5) FROM S CROSS JOIN M),
+A AS (SELECT * FROM (SELECT *, {_aqi_sql()} AS AQI FROM I) WHERE AQI IS NOT NULL),
+Q AS (SELECT quantile_disc(AQI, 0.25) AS q1, quantile_disc(AQI, 0.75) AS q3 FROM A WHERE split = 'train'),
+G AS (SELECT A.*, NOT (AQI >= q1 - 1.5 * (q3 - q1) AND AQI <= q3 + 1.5 * (q3 - q1)) AS is_outlier FROM A, Q),
+W AS (SELECT *, lead(AQI, 1) OVER w AS AQI_target, lead(year, 1) OVER w AS target_year, lag(AQI, 1) OVER w AS AQI_lag1,
+         lag(AQI, 24) OVER w AS AQI_lag24, avg(AQI) OVER (w ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS AQI_rolling_24,
+         sin(2 * pi() * month / 12.0) AS month_sin, cos(2 * pi() * month / 12.0) AS month_cos,
+         pm2_5 * so2 AS pm25_x_so2, no2 * pm10 AS no2_x_pm10
+      FROM G WINDOW w AS ({order}))
+SELECT l_orderkey, l_linenumber, l_partkey, city, date_parsed, split, is_outlier, {features} FROM W, YB
+WHERE AQI_target IS NOT NULL AND AQI_lag24 IS NOT NULL AND NOT (split = 'train' AND target_year > last_year)
+  AND NOT (split = 'train' AND is_outlier)"""
+
+
+def _stump_sql() -> str:
+    return _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_P) + """,
+MS AS (SELECT month, count(*) AS n, sum(AQI_target) AS s FROM PT GROUP BY month),
+CUT AS (SELECT a.month AS cut, sum(CASE WHEN b.month <= a.month THEN b.n END) AS nl, sum(CASE WHEN b.month <= a.month THEN b.s END) AS sl,
+               sum(CASE WHEN b.month > a.month THEN b.n END) AS nr, sum(CASE WHEN b.month > a.month THEN b.s END) AS sr
+        FROM MS a, MS b GROUP BY a.month),
+BEST AS (SELECT * FROM CUT WHERE nr IS NOT NULL ORDER BY sl * sl / nl + sr * sr / nr DESC, cut LIMIT 1)
+SELECT month, round(CASE WHEN month <= cut THEN sl / nl ELSE sr / nr END, 6) AS prediction FROM MS, BEST"""
+
+
+def _cross_entity_sql() -> str:
+    """The three folds in one statement: every statistic is grouped by the entity held out."""
+    return _with(CTE_L, CTE_C) + f""",
+T AS (SELECT city AS held FROM (SELECT city, count(*) AS rows FROM D WHERE city IS NOT NULL GROUP BY city ORDER BY rows DESC, city LIMIT 3)),
+X AS (SELECT D.*, held FROM D, T WHERE city IS NOT NULL),
+M AS (SELECT held, quantile_disc(so2, 0.5) AS m_so2, quantile_disc(no2, 0.5) AS m_no2, quantile_disc(pm10, 0.5) AS m_pm10,
+             quantile_disc(pm2_5, 0.5) AS m_pm2_5 FROM X WHERE city <> held GROUP BY held),
+I AS (SELECT X.* REPLACE (coalesce(so2, m_so2) AS so2, coalesce(no2, m_no2) AS no2, coalesce(pm10, m_pm10) AS pm10,
+                          coalesce(pm2_5, m_pm2_5) AS pm2_5) FROM X JOIN M USING (held)),
+A AS (SELECT * FROM (SELECT *, {_aqi_sql()} AS AQI FROM I) WHERE AQI IS NOT NULL),
+Q AS (SELECT held, quantile_disc(AQI, 0.25) AS q1, quantile_disc(AQI, 0.75) AS q3 FROM A WHERE city <> held GROUP BY held),
+W AS (SELECT *, lead(AQI, 1) OVER w AS y, lag(AQI, 1) OVER w AS x, lag(AQI, 24) OVER w AS x24
+      FROM A WINDOW w AS (PARTITION BY held, city ORDER BY date_parsed, l_orderkey, l_linenumber, l_partkey)),
+V AS (SELECT * FROM W WHERE y IS NOT NULL AND x24 IS NOT NULL),
+R AS (SELECT V.held, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM V JOIN Q USING (held)
+      WHERE city <> held AND AQI >= q1 - 1.5 * (q3 - q1) AND AQI <= q3 + 1.5 * (q3 - q1) GROUP BY V.held)
+SELECT city, round(sqrt(avg((y - a - b * x) * (y - a - b * x))), 6) AS RMSE, round(avg(abs(y - a - b * x)), 6) AS MAE, count(*) AS n
+FROM V JOIN R USING (held) WHERE city = held GROUP BY city"""
+
+
+_HOT = "CASE WHEN {k} % 3 <> 0 THEN 'hot' WHEN {k} % 6 = 0 THEN 'cold' END"
+_B5 = ", ".join(_r(c) for c in ("q1", "q3", "iqr", "lower", "upper"))
+_PERSIST = _METRICS_SQL.replace("* 100.0, 'NaN'::DOUBLE), 6)", "* 100.0, 'NaN'::DOUBLE), 2)")
+_ORACLE.update({
+    "metrics_roundtrip": _with(CTE_T) + f"SELECT 'Persistence' AS model, 0.0::DOUBLE AS training_time_sec, * EXCLUDE (n) FROM (SELECT {_PERSIST} FROM ET)",
+    "metrics_by_entity_roundtrip": _with(CTE_T) + f"SELECT 'Persistence_' || user_id AS model, CAST(user_id AS VARCHAR) AS user_id, * EXCLUDE (n, user_id) FROM (SELECT user_id, {_PERSIST} FROM ET GROUP BY user_id)",
+    "importance_roundtrip": _with(CTE_L, CTE_C) + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(count({c}) / count(*), 6) AS importance FROM C" for c in ("so2", "no2", "pm10", "pm2_5")),
+    "comparison_persistence": _with(CTE_T) + "SELECT 'Persistence' AS model, round(RMSE, 4) AS RMSE, round(MAE, 4) AS MAE, round(MAPE, 2) AS MAPE, round(R2, 4) AS R2, 0.0::DOUBLE AS training_time_sec FROM (SELECT " + _METRICS_SQL.replace(", 6)", ", 12)") + " FROM ET)",
+    "preview": _with(CTE_L, CTE_C) + "SELECT l_orderkey, l_linenumber, l_partkey, city, date_parsed FROM D ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 5",
+    "select_existing": _with(CTE_L, CTE_C) + "SELECT l_orderkey, l_linenumber, l_partkey, spm, city FROM C",
+    # an empty field of a CSV file is a null
+    "csv_scan": _with(CTE_L) + "SELECT location, nullif(so2, '') AS so2, nullif(no2, '') AS no2, nullif(rspm, '') AS rspm, nullif(spm, '') AS spm, pm2_5, date FROM L",
+    "aqi_gap_round": _with(CTE_L, CTE_C, CTE_I) + f"SELECT l_orderkey, l_linenumber, l_partkey, round({_aqi_sql('round({})')}, 6) AS AQI FROM I",
+    "iqr_filter_by_entity": _with(CTE_L, CTE_C, CTE_I, CTE_A) + """,
+Q AS (SELECT city, quantile_disc(AQI, 0.25) AS q1, quantile_disc(AQI, 0.75) AS q3 FROM A WHERE AQI IS NOT NULL GROUP BY city)
+SELECT l_orderkey, l_linenumber, l_partkey, round(AQI, 6) AS AQI FROM A JOIN Q ON A.city IS NOT DISTINCT FROM Q.city
+WHERE AQI >= q1 - 1.5 * (q3 - q1) AND AQI <= q3 + 1.5 * (q3 - q1)""",
+    "iqr_bounds_hot_entity": _with(CTE_L, CTE_C, CTE_I, CTE_A) + f"""
+SELECT part, {_B5} FROM (SELECT part, q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper
+  FROM (SELECT {_HOT.format(k='l_orderkey')} AS part, quantile_disc(AQI, 0.25) AS q1, quantile_disc(AQI, 0.75) AS q3
+        FROM A WHERE AQI IS NOT NULL GROUP BY 1))""",
+    "entity_date_split_hot": f"""WITH E AS (SELECT {_HOT.format(k='event_id')} AS part, CAST(ts AS DATE) AS dd FROM events),
+Q AS (SELECT part, quantile_disc(dd, 0.8) AS cut FROM E WHERE part IS NOT NULL GROUP BY part)
+SELECT part, CASE WHEN dd <= cut THEN 'train' ELSE 'test' END AS split, count(*) AS rows FROM E JOIN Q USING (part) GROUP BY 1, 2""",
+    "sequence_windows_offset": f"""SELECT user_id, ts, event_id, seq_first, seq_last, round(seq_sum, 6) AS seq_sum FROM (
+  SELECT user_id, ts, event_id, count(value) OVER f AS c, first_value(value) OVER f AS seq_first, value AS seq_last, sum(value) OVER f AS seq_sum
+  FROM events WINDOW f AS ({_EV_ORDER} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) WHERE c = 24""",
+    "chunked_one_day": """SELECT * FROM (SELECT event_id, lead(value, 1) OVER w AS value_target, lag(value, 1) OVER w AS value_lag1, lag(value, 24) OVER w AS value_lag24,
+  round(avg(value) OVER (ORDER BY event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 6) AS value_rolling_24
+  FROM events WINDOW w AS (ORDER BY event_id)) WHERE value_target IS NOT NULL""",
+    "preprocessed_table": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_B) + "SELECT l_orderkey, l_linenumber, l_partkey, city, date_parsed, year, month, day, so2, no2, pm10, pm2_5, round(AQI, 6) AS AQI FROM A, B WHERE AQI >= lower AND AQI <= upper AND date_parsed IS NOT NULL",
+    "leak_free_features": _leak_free_sql(),
+    "assembled_features": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_B, CTE_F) + "SELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(
+        f"round({c}::DOUBLE, 6) + 0.0 AS x_{c}" for c in _INPUTS) + " FROM FT",
+    "forest_one_split": _stump_sql(),
+    "gbt_one_split": _stump_sql(),
+    "ols_two_features": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_P) + """,
+K AS (SELECT covar_pop(AQI_target, month) AS s1y, covar_pop(AQI_target, day) AS s2y, var_pop(month) AS s11, var_pop(day) AS s22,
+             covar_pop(month, day) AS s12, avg(AQI_target) AS my, avg(month) AS m1, avg(day) AS m2 FROM PT),
+B2 AS (SELECT (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2, my, m1, m2 FROM K)
+SELECT 'month' AS feature, round(b1, 6) + 0.0 AS coefficient FROM B2 UNION ALL SELECT 'day', round(b2, 6) + 0.0 FROM B2
+UNION ALL SELECT 'intercept', round(my - b1 * m1 - b2 * m2, 6) + 0.0 FROM B2""",
+    "sequence_ols": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_P) + "SELECT round(regr_slope(AQI_target, AQI), 6) + 0.0 AS slope, round(regr_intercept(AQI_target, AQI), 6) AS intercept FROM PT",
+    "cross_entity_ols": _cross_entity_sql(),
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {**_ORACLE, **_llm()[1]}

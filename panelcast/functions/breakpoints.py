@@ -67,22 +67,16 @@ BREAKPOINTS: dict[str, Sequence[tuple[int, int, int, int]]] = {
 GAP_POLICIES = ("null", "round")
 
 
-def segment_slope(seg: tuple[int, int, int, int]) -> float:
-    lo, hi, ilo, ihi = seg
-    return (ihi - ilo) / (hi - lo) if hi != lo else 0.0
-
-
-def _lookup(x: Column, table: Sequence[tuple[int, int, int, int]], nan_to_null: bool) -> Column:
-    expr = F.lit(None).cast("double")
-    for seg in reversed(table):  # built inside-out so the first segment wins
-        lo, hi, ilo, _ = seg
-        expr = F.when((x >= lo) & (x <= hi),
-                      F.lit(segment_slope(seg)) * (x - F.lit(float(lo))) + F.lit(float(ilo))
-                      ).otherwise(expr)
-    expr = F.when(x > table[-1][1], F.lit(INDEX_CAP)).otherwise(expr)
+def _piecewise(x: Column, table: Sequence[tuple[int, int, int, int]], nan_to_null: bool) -> Column:
+    """First segment that holds ``x``, each interpolating between its two index values by
+    the share of the segment that ``x`` has covered; the cap beyond the last one."""
+    share = [(x - F.lit(float(lo))) / F.lit(float(hi - lo)) for lo, hi, _, _ in table]
+    parts = [F.when(x.between(lo, hi), F.lit(float(ilo)) + part * F.lit(float(ihi - ilo)))
+             for part, (lo, hi, ilo, ihi) in zip(share, table)]
+    beyond = x > F.lit(float(table[-1][1]))
     if nan_to_null:
-        expr = F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(expr)
-    return expr
+        beyond = beyond & ~F.isnan(x)
+    return F.coalesce(*parts, F.when(beyond, F.lit(INDEX_CAP)))
 
 
 def _binder(table, gap_policy: str, nan_to_null: bool):
@@ -90,7 +84,7 @@ def _binder(table, gap_policy: str, nan_to_null: bool):
     def fn(x: Column) -> Column:
         if gap_policy == "round":
             x = F.round(x, 0)
-        return _lookup(x, table, nan_to_null)
+        return _piecewise(x, table, nan_to_null)
     return fn
 
 

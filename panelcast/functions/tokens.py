@@ -23,5 +23,7 @@ def null_if_token(c: str | Column, tokens: Iterable[str] = NULL_TOKENS) -> Colum
 
 def clean_double(c: str | Column, tokens: Iterable[str] = NULL_TOKENS) -> Column:
     """Token-null then ``try_cast`` to double: junk becomes null instead of
-    raising ``CAST_INVALID_INPUT`` under ANSI mode."""
-    return null_if_token(c, tokens).try_cast("double")
+    raising ``CAST_INVALID_INPUT`` under ANSI mode. Text of NaN or of an infinite
+    value (``inf``, ``1e400``) is no reading either and becomes null."""
+    value = null_if_token(c, tokens).try_cast("double")
+    return F.when(F.abs(value) < F.lit(float("inf")), value)

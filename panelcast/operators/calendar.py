@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from panelcast.operators.windows import DEFAULT_CHUNK_ROWS, add_window_columns
 from panelcast.panel import PanelSpec
 
-AGGREGATES = {"avg": F.avg, "max": F.max, "min": F.min, "sum": F.sum, "first": F.first}
+AGGREGATES = {"avg": F.avg, "max": F.max, "min": F.min, "sum": F.sum}
 
 
 def daily_panel(df: DataFrame, entity: str, date_col: str, value_cols: Sequence[str],
@@ -37,7 +37,7 @@ def calendar_target(daily: DataFrame, entity: str, date_col: str, col: str, days
     unique per entity), so the skew-safe window engine applies.
     """
     out = out or f"{col}_target_{days}d"
-    spec = PanelSpec(entity, date_col)
+    spec = PanelSpec(entity, date_col, unique_time=True)
     cols = {f"_pc_v{k}": (lambda k: lambda w: F.lead(col, k).over(w))(k) for k in range(1, days + 1)}
     cols.update({f"_pc_d{k}": (lambda k: lambda w: F.lead(date_col, k).over(w))(k) for k in range(1, days + 1)})
     led = add_window_columns(daily, spec, cols, lookback=0, lookahead=days, strategy=strategy,

@@ -1,9 +1,8 @@
 """Median imputation.
 
 Medians are exact by default (``accuracy=None``): all requested columns go
-through ``exact_quantiles`` together — a stats pass plus exact small-input
-sketches, or distributed histogram refinement for large inputs — so no task
-merges an unbounded sketch. Pass an ``accuracy`` to use one
+through ``exact_quantiles`` together — distributed selection by grouped histograms —
+so no task merges an unbounded sketch. Pass an ``accuracy`` to use one
 ``percentile_approx`` pass instead (relative error 1/accuracy; the studied
 code used 0.01).
 """
@@ -18,11 +17,6 @@ from pyspark.sql import functions as F
 from panelcast.operators.clean import POLLUTANTS
 from panelcast.operators.quantiles import exact_quantiles
 
-# Spark's default sketch accuracy; used where a sketch is asked for explicitly and
-# for per-group quantiles (exact for groups below this many rows).
-DEFAULT_ACCURACY = 10_000
-
-
 def fit_medians(df: DataFrame, columns: Iterable[str] = POLLUTANTS,
                 accuracy: int | None = None) -> dict[str, float]:
     """Column -> median; absent and all-null columns are left out."""

@@ -1,8 +1,8 @@
 """IQR outlier bounds, filter and flag.
 
-Bounds come from one aggregate of quantile sketches, globally or per group
-(``by``, a grouped aggregate that is combined map-side). They are applied as
-literals (global) or through an equi-join on the group key (per group).
+Bounds are exact quantiles found by distributed selection, globally or per group
+(``by``); an ``accuracy`` asks for quantile sketches instead. They are applied as literals
+(global) or through a null-safe join on the group key (per group).
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.impute import DEFAULT_ACCURACY
 from panelcast.operators.quantiles import exact_group_quantiles, exact_quantiles
 
 
@@ -99,8 +98,10 @@ def remove_outliers_iqr(df: DataFrame, column: str = "AQI", factor: float = 1.5,
 
 
 def filter_iqr_by_group(df: DataFrame, column: str, by: str, factor: float = 1.5,
-                        accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """Per-group bounds joined back on the group key (one row per group)."""
-    bounds = iqr_bounds_frame(df, column, factor, by, accuracy).select(by, "lower", "upper")
-    joined = df.join(bounds, on=by, how="inner")
-    return joined.filter(F.col(column).between(F.col("lower"), F.col("upper"))).drop("lower", "upper")
+                        accuracy: int | None = None) -> DataFrame:
+    """Rows within their group's bounds, which are joined back on the group key (one row
+    per group; a null group is a group)."""
+    bounds = (iqr_bounds_frame(df, column, factor, by, accuracy)
+              .select(F.col(by).alias("_pc_by"), F.col("lower").alias("_pc_lower"), F.col("upper").alias("_pc_upper")))
+    joined = df.join(bounds, F.col(by).eqNullSafe(F.col("_pc_by")))
+    return joined.filter(F.col(column).between(F.col("_pc_lower"), F.col("_pc_upper"))).drop("_pc_by", "_pc_lower", "_pc_upper")

@@ -1,24 +1,18 @@
-"""Exact discrete quantiles without a single-task merge.
-
-``percentile_approx`` builds one sketch per task and merges all of them in
-one final task; with a tight accuracy the sketches are large, so on a big
-input that merge (and the shuffle into it) becomes the bottleneck, while a
-loose accuracy is not exact. Here the k-th smallest value
-(``k = ceil(p * n)``, the discrete quantile of Spark and DuckDB) is found by
-selection:
-
-1. One aggregate gives ``n``, min and max of every column.
-2. Small inputs (``n <= exact_below``): ``percentile_approx`` with
-   ``accuracy >= n`` is exact, and every task's sketch is no larger than its
-   rows, so at most ``n`` values reach the final merge.
-3. Large inputs: every target keeps a value interval known to hold its rank.
-   One pass counts the rows of each interval in ``bins`` equal-width bins —
-   a grouped aggregate over (target, bin), combined map-side and spread over
-   reducers — and the interval shrinks to the (min, max) of the bin holding
-   the rank. It stops when the bin holds one distinct value or few enough
-   rows for step 2.
-
-All columns and probabilities share the same passes. NaN and null are ignored.
+"""Exact discrete quantiles by distributed selection, one plan for every size.
+
+The value of rank ``k = ceil(p * n)`` (the discrete quantile of Spark and DuckDB)
+is found by narrowing an interval known to hold it:
+
+1. One aggregate gives the number of values and their finite minimum and maximum.
+2. A pass counts the interval's rows in ``bins`` equal parts — an aggregate over
+   (target, bin), combined map-side — and keeps the (min, max) found in the bin
+   that holds the rank. It ends when that bin holds one distinct value.
+
+Every pass separates the interval's minimum from its maximum, so it always gets
+smaller and the loop needs no limit. No task sorts or merges more than the bins.
+Nulls and NaN are left out; infinities are the lowest and highest values and are
+only counted. Values keep their type: dates, timestamps, integers and decimals are
+compared exactly, in no step as doubles.
 """
 
 from __future__ import annotations
@@ -27,177 +21,179 @@ import datetime as dt
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType
-
-EXACT_BELOW = 1_000_000
-BINS = 10_000
-MAX_PASSES = 24
-_EPOCH = dt.date(1970, 1, 1)
-
-
-def _numeric(df: DataFrame, col: str):
-    if isinstance(df.schema[col].dataType, DateType):
-        return F.datediff(F.col(col), F.lit(_EPOCH)).cast("double"), True
-    return F.col(col).cast("double"), False
+from pyspark.sql.types import (
+    DataType,
+    DateType,
+    DecimalType,
+    DoubleType,
+    FloatType,
+    TimestampNTZType,
+    TimestampType,
+)
+
+from panelcast.session import checkpoint_dir
+
+BINS = 4_096
+GROUP_BINS = 512
+_DAY0, _TIME0 = dt.date(1970, 1, 1), dt.datetime(1970, 1, 1)
+
+
+def _ordered(col: Column, kind: DataType) -> Column:
+    """The column as an exact ordered number: a long (days, microseconds, integers),
+    a decimal or a double (NaN as null)."""
+    if isinstance(kind, DateType):
+        return F.datediff(col, F.lit(_DAY0)).cast("long")
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(col)
+    if isinstance(kind, TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit(_TIME0).cast("timestamp_ntz"), col)
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.nanvl(col.cast("double"), F.lit(None).cast("double"))
+    return col if isinstance(kind, DecimalType) else col.cast("long")
+
+
+def _restored(value: Column, kind: DataType) -> Column:
+    """Back from ``_ordered`` to the column's type."""
+    if isinstance(kind, DateType):
+        return F.date_add(F.lit(_DAY0), value.cast("int"))
+    if isinstance(kind, TimestampType):
+        return F.timestamp_micros(value)
+    if isinstance(kind, TimestampNTZType):
+        return F.timestamp_add("MICROSECOND", value, F.lit(_TIME0).cast("timestamp_ntz"))
+    return value.cast(kind)
+
+
+def _is_real(kind: DataType) -> bool:
+    return isinstance(kind, (DoubleType, FloatType))
+
+
+def _bin(x: Column, lo: Column, hi: Column, kind: DataType, bins: int) -> Column:
+    """Which of ``bins`` equal parts of [lo, hi] holds x; lo in the first, hi in the last."""
+    if _is_real(kind):  # halves, so that the width of the widest interval is finite
+        part = (x / 2 - lo / 2) / (hi / 2 - lo / 2)
+    else:
+        wide = f"decimal(38,{kind.scale})" if isinstance(kind, DecimalType) else "decimal(38,0)"
+        part = (x.cast(wide) - lo.cast(wide)).cast("double") / (hi.cast(wide) - lo.cast(wide)).cast("double")
+    # nearby values may round to one part; the ends never share a bin
+    b = F.least(F.floor(part * bins), F.lit(bins - 1))
+    return F.when(x == lo, 0).when(x == hi, bins - 1).otherwise(b).cast("int")
+
+
+def _infinite(x: Column, kind: DataType, sign: str) -> Column:
+    return x == F.lit(float(f"{sign}inf")) if _is_real(kind) else F.lit(False) & x.isNotNull()
+
+
+def _summary(x: Column, kind: DataType) -> list[Column]:
+    """Count of values, of -inf, of +inf, and the finite ends."""
+    low, high = _infinite(x, kind, "-"), _infinite(x, kind, "+")
+    finite = F.when(~low & ~high, x)
+    return [F.count(x), F.count(F.when(low, 1)), F.count(F.when(high, 1)), F.min(finite), F.max(finite)]
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    exact_below: int = EXACT_BELOW, bins: int = BINS) -> dict[str, list]:
-    """``{column: [value per prob]}``; ``None`` for a column with no values."""
-    exprs, is_date = {}, {}
-    for c in columns:
-        exprs[c], is_date[c] = _numeric(df, c)
-    data = df.select(*[e.alias(c) for c, e in exprs.items()])
-    valid = {c: F.col(c).isNotNull() & ~F.isnan(c) for c in columns}
-    stats = data.agg(*[a for c in columns for a in (
-        F.count(F.when(valid[c], 1)).alias(f"n_{c}"),
-        F.min(F.when(valid[c], F.col(c))).alias(f"lo_{c}"),
-        F.max(F.when(valid[c], F.col(c))).alias(f"hi_{c}"))]).first()
-
-    # target: (column, prob index) -> [k, lo, hi, below, m, value]
-    targets = {}
+                    bins: int = BINS) -> dict[str, list]:
+    """``{column: [value per prob]}`` in the columns' own types; ``None`` for a column with no values."""
+    kinds = {c: df.schema[c].dataType for c in columns}
+    name = {c: f"_q{i}" for i, c in enumerate(columns)}
+    data = df.select(*[_ordered(F.col(c), kinds[c]).alias(name[c]) for c in columns])
+    row = data.agg(*[e.alias(f"{name[c]}_{i}") for c in columns for i, e in enumerate(_summary(F.col(name[c]), kinds[c]))]).first()
+
+    settled, todo = {}, {}  # todo: (column, prob index) -> [rank wanted, lo, hi, rows below lo]
     for c in columns:
-        n = stats[f"n_{c}"]
+        n, low, high, lo, hi = (row[f"{name[c]}_{i}"] for i in range(5))
         for j, p in enumerate(probs):
+            k = min(max(math.ceil(p * n), 1), n) if n else 0
             if not n:
-                targets[(c, j)] = [0, None, None, 0, 0, None]
-                continue
-            k = min(max(math.ceil(p * n), 1), n)
-            lo, hi = stats[f"lo_{c}"], stats[f"hi_{c}"]
-            targets[(c, j)] = [k, lo, hi, 0, n, lo if lo == hi else None]
-
-    def open_targets():
-        return {t: v for t, v in targets.items() if v[0] and v[5] is None}
-
-    passes = 0
-    while passes < MAX_PASSES:
-        todo = {t: v for t, v in open_targets().items() if v[4] > exact_below}
-        if not todo:
-            break
-        passes += 1
+                settled[c, j] = None
+            elif k <= low or k > n - high:
+                settled[c, j] = -math.inf if k <= low else math.inf
+            elif lo == hi:
+                settled[c, j] = lo
+            else:
+                todo[c, j] = [k, lo, hi, low]
+    while todo:
         ids = list(todo)
-        entries = []
-        for i, (c, _) in enumerate(ids):
-            _, lo, hi, _, _, _ = todo[ids[i]]
-            width = (hi - lo) / bins
-            b = F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-            inside = valid[c] & (F.col(c) >= lo) & (F.col(c) <= hi)
-            entries.append(F.when(inside, F.struct(F.lit(i).alias("t"), b.alias("b"), F.col(c).alias("x"))))
-        hist = (data.select(F.explode(F.array(*entries)).alias("e")).filter(F.col("e").isNotNull())
-                .groupBy("e.t", "e.b").agg(F.count(F.lit(1)).alias("cnt"),
-                                            F.min("e.x").alias("mn"), F.max("e.x").alias("mx"))
-                .collect())  # at most len(ids) * bins rows
-        per = {}
-        for r in hist:
-            per.setdefault(r["t"], []).append((r["b"], r["cnt"], r["mn"], r["mx"]))
-        for i, t in enumerate(ids):
-            v = targets[t]
-            need = v[0] - v[3]
-            acc = 0
-            for b, cnt, mn, mx in sorted(per.get(i, [])):
-                if acc + cnt >= need:
-                    v[1], v[2], v[3], v[4] = mn, mx, v[3] + acc, cnt
-                    if mn == mx:
-                        v[5] = mn
+        cells = []
+        for i, (c, j) in enumerate(ids):
+            _, lo, hi, _ = todo[c, j]
+            x, a, b = F.col(name[c]), _typed(lo, data, name[c]), _typed(hi, data, name[c])
+            cells.append(F.when((x >= a) & (x <= b), F.struct(F.lit(i).alias("t"), _bin(x, a, b, kinds[c], bins).alias("b"))))
+        rows = data.select("*", F.explode(F.array_compact(F.array(*cells))).alias("_cell"))
+        # the value that belongs to a target is one of the columns
+        ends = [f(F.col(name[c])).alias(f"{n}{name[c]}") for c in columns for n, f in (("mn", F.min), ("mx", F.max))]
+        hist = rows.groupBy("_cell.t", "_cell.b").agg(F.count(F.lit(1)).alias("cnt"), *ends).collect()  # at most targets * bins rows
+        by_target: dict[int, list] = {}
+        for r in sorted(hist, key=lambda r: (r["t"], r["b"])):
+            by_target.setdefault(r["t"], []).append(r)
+        for i, (c, j) in enumerate(ids):
+            k, _, _, below = todo[c, j]
+            for r in by_target[i]:
+                if below + r["cnt"] >= k:
                     break
-                acc += cnt
-
-    small = open_targets()
-    if small:
-        aggs = []
-        for i, (t, v) in enumerate(small.items()):
-            c = t[0]
-            k, lo, hi, below, m, _ = v
-            inside = valid[c] & (F.col(c) >= lo) & (F.col(c) <= hi)
-            rel = (k - below - 0.5) / m
-            aggs.append(F.percentile_approx(F.when(inside, F.col(c)), rel, max(10_000, 2 * m)).alias(f"q{i}"))
-        row = data.agg(*aggs).first()
-        for i, t in enumerate(small):
-            targets[t][5] = row[f"q{i}"]
-
-    out = {}
-    for c in columns:
-        vals = []
-        for j in range(len(probs)):
-            v = targets[(c, j)][5]
-            if v is not None and is_date[c]:
-                v = _EPOCH + dt.timedelta(days=int(v))
-            vals.append(v)
-        out[c] = vals
-    return out
-
-
-def _join_group(left: DataFrame, right: DataFrame, *also: str) -> DataFrame:
-    """Equi-join on the group key ``_g`` (null-safe: a null group is a group) and ``also``."""
-    r = right.withColumnRenamed("_g", "_g_r")
-    for c in also:
-        r = r.withColumnRenamed(c, f"{c}_r")
-    cond = left["_g"].eqNullSafe(r["_g_r"])
-    for c in also:
-        cond = cond & (left[c] == r[f"{c}_r"])
-    return left.join(r, cond).drop("_g_r", *[f"{c}_r" for c in also])
+                below += r["cnt"]
+            if r[f"mn{name[c]}"] == r[f"mx{name[c]}"]:
+                settled[c, j] = r[f"mn{name[c]}"]
+                del todo[c, j]
+            else:
+                todo[c, j] = [k, r[f"mn{name[c]}"], r[f"mx{name[c]}"], below]
+    return {c: _python_values(df, [settled[c, j] for j in range(len(probs))], kinds[c]) for c in columns}
+
+
+def _typed(value, data: DataFrame, column: str) -> Column:
+    return F.lit(value).cast(data.schema[column].dataType)
+
+
+def _python_values(df: DataFrame, values: list, kind: DataType) -> list:
+    """Values of ``_ordered`` as Python objects of the column's type."""
+    if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+        row = df.sparkSession.range(1).select(*[_restored(F.lit(v).cast("long"), kind).alias(f"v{i}") for i, v in enumerate(values)]).first()
+        return list(row)
+    return values
 
 
 def exact_group_quantiles(df: DataFrame, group: str, column: str, probs: Sequence[float],
-                          small: int = 10_000, bins: int = 1_000) -> DataFrame:
+                          bins: int = GROUP_BINS) -> DataFrame:
     """Per-group exact discrete quantiles: rows ``(group, prob_idx, value)``.
 
-    Groups of up to ``small`` rows pick the k-th value with a ``row_number``
-    inside (group, prob) — each window partition holds at most ``small`` rows.
-    Bigger groups first narrow their interval with grouped histogram passes
-    (join to the per-group interval, then a count over (group, prob, bin),
-    spread over reducers however big the group); a window over at most
-    ``bins`` rows per (group, prob) picks the bin holding rank k.
+    All groups narrow their intervals together: a pass joins the rows to their
+    group's interval and counts (group, prob, bin), spread over reducers however big a
+    group is; a window over at most ``bins`` rows per (group, prob) picks the bin of
+    the rank. A null group is a group; groups without values give no rows.
     """
-    from pyspark.sql import Window
-
-    from panelcast.session import checkpoint_dir
-    spark = df.sparkSession
-    x, date = _numeric(df, column)
-    base = df.select(F.col(group).alias("_g"), x.alias("_x")).filter(
-        F.col("_x").isNotNull() & ~F.isnan("_x"))
-    stats = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
-                                   F.max("_x").alias("_hi"))
-    checkpoint_dir(spark)
-    pairs = F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(float(q)).alias("_p"))
-                      for j, q in enumerate(probs)])
-    k = F.least(F.greatest(F.ceil(F.col("_p") * F.col("_n")), F.lit(1)), F.col("_n")).cast("long")
-    iv = (stats.select("*", F.explode(pairs).alias("_jp")).select("*", "_jp._j", "_jp._p")
-          .select("_g", "_j", k.alias("_k"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"),
-                  F.col("_n").alias("_m"),
-                  F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("_v")))
+    checkpoint_dir(df.sparkSession)
+    kind = df.schema[column].dataType
+    base = df.select(F.col(group).alias("_g"), _ordered(F.col(column), kind).alias("_x")).filter("_x is not null")
+    names = ["_n", "_low", "_high", "_lo", "_hi"]
+    stats = base.groupBy("_g").agg(*[e.alias(n) for n, e in zip(names, _summary(F.col("_x"), kind))])
+    pairs = F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(float(p)).alias("_p")) for j, p in enumerate(probs)])
+    rank = F.least(F.greatest(F.ceil(F.col("_p") * F.col("_n")), F.lit(1)), F.col("_n")).cast("long")
+    state = stats.select("*", F.explode(pairs).alias("_q")).select("*", "_q.*").withColumn("_k", rank)
+    known = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
+    if _is_real(kind):
+        known = (F.when(F.col("_k") <= F.col("_low"), F.lit(-math.inf))
+                 .when(F.col("_k") > F.col("_n") - F.col("_high"), F.lit(math.inf)).otherwise(known))
+    state = state.select("_g", "_j", "_k", "_lo", "_hi", F.col("_low").alias("_below"), known.alias("_v"))
     done = []
-    for _ in range(MAX_PASSES):
-        iv = iv.checkpoint(eager=True)
-        big = iv.filter(F.col("_v").isNull() & (F.col("_m") > small))
-        done.append(iv.filter(F.col("_v").isNotNull() | (F.col("_m") <= small)))
-        if big.isEmpty():
+    while True:
+        state = state.checkpoint()
+        done.append(state.filter("_v is not null").select("_g", "_j", "_v"))
+        open_ = state.filter("_v is null")
+        if open_.isEmpty():
             break
-        width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
-        b = F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
-        hist = (_join_group(base, big.select("_g", "_j", "_lo", "_hi"))
-                .filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
-                .groupBy("_g", "_j", b.alias("_b"))
+        iv = open_.select(F.col("_g").alias("_h"), "_j", "_k", "_lo", "_hi", "_below")
+        met = base.join(iv, base["_g"].eqNullSafe(iv["_h"])).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+        b = _bin(F.col("_x"), F.col("_lo"), F.col("_hi"), kind, bins)
+        hist = (met.groupBy("_g", "_j", "_k", "_below", b.alias("_b"))
                 .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx")))
-        w = Window.partitionBy("_g", "_j").orderBy("_b")
-        hist = hist.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        pick = (_join_group(hist, big.select("_g", "_j", "_k", "_below"), "_j")
-                .filter((F.col("_cum") - F.col("_c") < F.col("_k") - F.col("_below"))
-                        & (F.col("_k") - F.col("_below") <= F.col("_cum"))))
-        iv = pick.select("_g", "_j", "_k", F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"),
-                         (F.col("_below") + F.col("_cum") - F.col("_c")).alias("_below"),
-                         F.col("_c").alias("_m"),
-                         F.when(F.col("_mn") == F.col("_mx"), F.col("_mn")).alias("_v"))
-    settled = done[0]
+        upto = F.sum("_c").over(Window.partitionBy("_g", "_j").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+        hist = hist.withColumn("_end", F.col("_below") + upto)
+        hit = hist.filter((F.col("_end") >= F.col("_k")) & (F.col("_end") - F.col("_c") < F.col("_k")))
+        state = hit.select("_g", "_j", "_k", F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"),
+                           (F.col("_end") - F.col("_c")).alias("_below"),
+                           F.when(F.col("_mn") == F.col("_mx"), F.col("_mn")).alias("_v"))
+    out = done[0]
     for part in done[1:]:
-        settled = settled.unionByName(part)
-    open_ = settled.filter(F.col("_v").isNull())
-    ranked = (_join_group(base, open_.select("_g", "_j", "_lo", "_hi", "_k", "_below"))
-              .filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
-              .withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_j").orderBy("_x"))))
-    chosen = ranked.filter(F.col("_r") == F.col("_k") - F.col("_below")).select("_g", "_j", F.col("_x").alias("_v"))
-    out = settled.filter(F.col("_v").isNotNull()).select("_g", "_j", "_v").unionByName(chosen)
-    value = F.date_add(F.lit(_EPOCH), F.col("_v").cast("int")) if date else F.col("_v")
-    return out.select(F.col("_g").alias(group), F.col("_j").alias("prob_idx"), value.alias("value"))
+        out = out.unionByName(part)
+    return out.select(F.col("_g").alias(group), F.col("_j").alias("prob_idx"), _restored(F.col("_v"), kind).alias("value"))

@@ -23,10 +23,9 @@ consecutive rows and gives each run a halo:
    then dropped. Each window partition holds at most
    ``chunk_rows + lookback + lookahead`` rows.
 
-``strategy="auto"`` measures the largest entity with one aggregate and uses
-the plain single-shuffle plan when every entity fits in one chunk, the
-chunked plan otherwise. The residual hot spot of the chunked plan is one
-(entity, day) in step 2.
+``strategy="auto"`` is the chunked plan, whatever the size; ``"plain"`` is the single-shuffle
+plan for panels whose entities are known to be even. The residual hot spot
+of the chunked plan is one (entity, time bucket) in step 2.
 """
 
 from __future__ import annotations
@@ -49,25 +48,17 @@ from panelcast.panel import PanelSpec
 
 WindowColumn = Callable[[WindowSpec], Column]
 
-DEFAULT_CHUNK_ROWS = 2_000_000
+DEFAULT_CHUNK_ROWS = 200_000
 STRATEGIES = ("auto", "plain", "chunked")
 
 _RN, _CHUNK, _SHIFT = "_pc_rn", "_pc_chunk", "_pc_shift"
 _BUCKET, _OFF, _N = "_pc_bucket", "_pc_off", "_pc_n"
 
 
-def largest_entity_rows(df: DataFrame, spec: PanelSpec) -> int:
-    """Row count of the biggest entity (one grouped aggregate + a max)."""
-    row = df.groupBy(spec.entity).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
-
-
-def choose_strategy(df: DataFrame, spec: PanelSpec, strategy: str, chunk_rows: int) -> str:
+def choose_strategy(strategy: str) -> str:
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
-    if strategy != "auto":
-        return strategy
-    return "plain" if largest_entity_rows(df, spec) <= chunk_rows else "chunked"
+    return "chunked" if strategy == "auto" else strategy
 
 
 def _non_null_key(col: Column, dtype) -> Column | None:
@@ -176,7 +167,7 @@ def add_window_columns(df: DataFrame, spec: PanelSpec, columns: Mapping[str, Win
     ``b <= lookahead``); unbounded frames are not allowed. ``rn_col`` /
     ``size_col`` optionally expose each row's 0-based position and its entity's size.
     """
-    mode = choose_strategy(df, spec, strategy, chunk_rows)
+    mode = choose_strategy(strategy)
     if mode == "plain":
         return _plain(df, spec, columns, rn_col, size_col)
     return _chunked(df, spec, columns, lookback, lookahead, chunk_rows, rn_col, size_col)

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, IntegralType, TimestampNTZType, TimestampType
 
 
 @dataclass(frozen=True)
@@ -19,6 +19,13 @@ class PanelSpec:
     entity: str = "city"
     time: str = "date_parsed"
     tie_breakers: tuple[str, ...] = field(default_factory=tuple)
+    unique_time: bool = False
+    time_bucket: int | None = None  # width of a bucket of an integer time column
+
+    def __post_init__(self):
+        if not self.tie_breakers and not self.unique_time:
+            raise ValueError("PanelSpec needs tie_breakers that make the order unique within an entity "
+                             "(or unique_time=True where no two rows of an entity share a time)")
 
     @property
     def order_cols(self) -> list[str]:
@@ -32,7 +39,8 @@ class PanelSpec:
         return Window.partitionBy(F.col(self.entity), *extra_partition).orderBy(*self.order_exprs())
 
     def bucket_expr(self, df: DataFrame) -> Column:
-        """Coarse, order-preserving bucket of the time column (one per day).
+        """Coarse, order-preserving bucket of the time column: a day, or ``time_bucket``
+        units of an integer column. Other types have no bounded buckets and raise.
 
         Used to pre-aggregate row counts per entity before shuffling; the
         number of buckets per entity is bounded by its calendar span.
@@ -42,4 +50,7 @@ class PanelSpec:
             return F.to_date(F.col(self.time))
         if isinstance(dtype, DateType):
             return F.col(self.time)
-        return F.col(self.time)
+        if isinstance(dtype, IntegralType) and self.time_bucket:
+            return F.floor(F.col(self.time) / F.lit(self.time_bucket)).cast("long")
+        raise TypeError(f"{self.time}: {dtype.simpleString()} has no buckets; use a date, a timestamp, "
+                        "or an integer with time_bucket set")

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.panel import PanelSpec
-from panelcast.sources.balance import spread_small_input
 
 # entity/time/tie-breakers that make the order unique within an entity
 READINGS_SPEC = PanelSpec("city", "date_parsed", ("l_orderkey", "l_linenumber", "l_partkey"))
@@ -23,7 +22,7 @@ EVENTS_SPEC = PanelSpec("user_id", "ts", ("event_id",))
 
 def _table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread_small_input(df.select(*columns) if columns else df)
+    return df.select(*columns) if columns else df
 
 
 def _token(ok: Column, r: int, value: Column) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -25,12 +25,14 @@ RAW_SCHEMA = StructType([StructField(c, StringType(), True) for c in RAW_COLUMNS
 def read_readings(spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv",
                   schema: StructType | None = RAW_SCHEMA, header: bool = True,
                   infer_schema: bool = False) -> DataFrame:
-    """Read the first candidate location that resolves (any Hadoop FS scheme).
+    """Read the first candidate location that can be read (any Hadoop FS scheme).
 
-    With a fixed schema the read is lazy and only resolves the path, so no
-    extra pass over the data is spent on the fallback check. Set
-    ``schema=None, infer_schema=True`` to reproduce the reference's inferred
-    types (an eager pass, and types that depend on file content).
+    Whatever keeps a location from being resolved — no such path, no such host, no
+    such file system — moves on to the next; the error names every cause. With a
+    fixed schema a CSV's columns are taken by the names in its header, in any order
+    (only the header is read beforehand); further columns are left out and a missing one
+    is an error, not a further location. Set ``schema=None, infer_schema=True`` for
+    inferred types (an eager pass, and types that depend on file content).
     """
     candidates = [paths] if isinstance(paths, str) else [p for p in paths if p]
     errors = []
@@ -41,11 +43,18 @@ def read_readings(spark: SparkSession, paths: str | Sequence[str], fmt: str = "c
                 reader = reader.option("header", header)
                 if schema is None:
                     reader = reader.option("inferSchema", infer_schema)
-            if schema is not None:
+            if schema is not None and not (fmt == "csv" and header):
                 reader = reader.schema(schema)
-            return reader.load(path)
-        except (AnalysisException, Py4JJavaError) as exc:  # missing path / FS unavailable
-            errors.append(f"{path}: {type(exc).__name__}")
+            found = reader.load(path)
+        except (PySparkException, Py4JJavaError) as exc:
+            errors.append(f"{path}: {type(exc).__name__}: {str(exc).strip().splitlines()[0][:200]}")
+            continue
+        if schema is None or not (fmt == "csv" and header):
+            return found
+        missing = [f.name for f in schema.fields if f.name not in found.columns]
+        if missing:
+            raise ValueError(f"{path}: no column {', '.join(missing)} in the header")
+        return found.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema.fields])
     raise FileNotFoundError("no readable data location: " + "; ".join(errors or ["none given"]))
 
 
@@ -63,13 +72,29 @@ def observe_profile(df: DataFrame, name: str = "load_profile"):
     return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
 
 
-def stage_dataset(df: DataFrame, dst: str, date_col: str = "date",
-                  partition_col: str = "year") -> DataFrame:
+def stage_dataset(df: DataFrame, dst: str, date_col: str = "date", partition_col: str = "year",
+                  rows_per_file: int = 5_000_000) -> DataFrame:
     """Write raw readings as Parquet partitioned by year, then read them back.
 
     Later year filters (the chronological split) prune whole directories.
     Rows whose date does not parse land in the ``__HIVE_DEFAULT_PARTITION__``.
+    Rows are dealt by year and a salt sized from the year's count, so a year has
+    about one file per ``rows_per_file`` rows however many tasks read the input and
+    no year meets in one task. The counts of what was read and what was written are
+    compared year by year; a difference raises.
     """
     staged = df.withColumn(partition_col, F.year(parse_date(date_col)))
-    staged.write.mode("overwrite").partitionBy(partition_col).parquet(dst)
-    return df.sparkSession.read.parquet(dst)
+    counts = {r[partition_col]: r["n"] for r in staged.groupBy(partition_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+    files = F.lit(1)
+    for year, n in counts.items():  # one entry per year
+        files = F.when(F.col(partition_col).eqNullSafe(F.lit(year)), F.lit(-(-n // rows_per_file))).otherwise(files)
+    salt = F.pmod(F.xxhash64(*df.columns), files)
+    tasks = max(1, sum(-(-n // rows_per_file) for n in counts.values()))
+    (staged.withColumn("_salt", salt).repartition(tasks, partition_col, "_salt").drop("_salt")
+     .write.mode("overwrite").partitionBy(partition_col).parquet(dst))
+    back = df.sparkSession.read.parquet(dst)
+    if counts:
+        found = {r[partition_col]: r["n"] for r in back.groupBy(partition_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if found != counts:
+            raise RuntimeError(f"{dst}: rows staged by {partition_col} {found}, rows read {counts}")
+    return back

@@ -154,15 +154,60 @@ def test_staged_year_filter_prunes_partitions(spark):
     assert q.count() == staged.filter("year <= 1997").count() > 0
 
 
-def test_spread_small_input_only_for_small_local_files(spark):
-    from panelcast.sources.balance import spread_small_input
-    single = spark.read.parquet(os.path.join(SF001, "events.parquet"))
-    spread = spread_small_input(single)
-    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert sorted(spread.collect()) == sorted(single.collect())
-    rng = spark.range(10)
-    assert spread_small_input(rng) is rng  # no input files: left alone
-    assert spread_small_input(single, max_bytes_per_core=1) is single  # too big: left alone
+def test_csv_columns_by_header_name(spark):
+    from panelcast.sources.readings import RAW_COLUMNS
+    d = tempfile.mkdtemp()
+    path = os.path.join(d, "r.csv")
+    with open(path, "w") as fh:
+        fh.write(",".join(["extra", *reversed(RAW_COLUMNS)]) + "\n" + ",".join(["x", *(f"v_{c}" for c in reversed(RAW_COLUMNS))]) + "\n")
+    row = read_readings(spark, path).first().asDict()
+    assert row == {c: f"v_{c}" for c in RAW_COLUMNS}
+    with open(path, "w") as fh:
+        fh.write("location,so2\nA,1\n")
+    with pytest.raises(ValueError, match="date"):
+        read_readings(spark, path)
+
+
+def test_fallback_from_unknown_host(spark):
+    d = tempfile.mkdtemp()
+    path = os.path.join(d, "r.csv")
+    with open(path, "w") as fh:
+        fh.write(",".join(RAW_SCHEMA.names) + "\n" + ",".join("1" for _ in RAW_SCHEMA.names) + "\n")
+    assert read_readings(spark, ["hdfs://no-such-host.invalid/x.csv", path]).count() == 1
+    with pytest.raises(FileNotFoundError, match="no-such-host"):
+        read_readings(spark, ["hdfs://no-such-host.invalid/x.csv"])
+
+
+def test_non_finite_text_is_missing(spark):
+    from panelcast.functions.tokens import clean_double
+    df = spark.createDataFrame([("inf",), ("-Infinity",), ("1e400",), ("NaN",), ("2.5",)], "x string")
+    assert [r[0] for r in df.select(clean_double("x")).collect()] == [None, None, None, None, 2.5]
+
+
+def test_tie_breakers_are_mandatory():
+    from panelcast.panel import PanelSpec
+    with pytest.raises(ValueError, match="tie_breakers"):
+        PanelSpec("city", "t")
+    assert PanelSpec("city", "t", unique_time=True).order_cols == ["t"]
+
+
+def test_group_filter_keeps_null_group(spark):
+    from panelcast.operators.outliers import filter_iqr_by_group
+    rows = [(None, float(i)) for i in range(10)] + [("a", 1.0), ("a", 1.0), ("a", 1.0), ("a", 1.0), ("a", 99.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    kept = filter_iqr_by_group(df, "x", "g").collect()
+    assert sum(r["g"] is None for r in kept) == 10 and [r["x"] for r in kept if r["g"] == "a"] == [1.0] * 4
+
+
+@pytest.mark.parametrize("name", ["LinearRegression", "RandomForest", "GBTRegressor"])
+def test_models_find_a_known_relation(spark, name):
+    from pyspark.ml.feature import VectorAssembler
+    from panelcast.operators.evaluate import evaluate_models
+    from panelcast.plans.models import train_models
+    df = spark.range(1500).select((F.rand(1) * 10).alias("a"), (F.rand(2) * 10).alias("b"))
+    df = df.withColumn(LABEL_COL, 3 * F.col("a") + F.when(F.col("b") > 5, 10.0).otherwise(0.0) + F.rand(3)).cache()
+    vec = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    assert evaluate_models(train_models(vec, [name]), vec).first()["R2"] > 0.8
 
 
 def test_inferred_schema_mode(spark):

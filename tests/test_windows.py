@@ -12,7 +12,7 @@ from panelcast.sources.adapters import EVENTS_SPEC, events_panel
 
 from conftest import SF001
 
-SPEC = PanelSpec("city", "t", ("k",))
+SPEC = PanelSpec("city", "t", ("k",), time_bucket=1_000)
 
 
 @pytest.fixture(scope="module")
