@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 _SHIPPED: set[str] = set()
 
 
+#: Rows of an Arrow batch: documents are long, and each batch is held by the JVM and by Python.
+ARROW_ROWS = 500
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the package to the executors' Python (as ``--py-files`` would), once an application."""
+    """Give the package to the executors' Python (as ``--py-files`` would), once an application,
+    and make Arrow batches small where the session has Spark's default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return

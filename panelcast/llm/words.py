@@ -7,6 +7,7 @@ word occurrence is a dictionary lookup in C++.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -142,6 +143,15 @@ class WordCache:
         return self.values[self.at[spot]] if len(h) else np.zeros(0)
 
 
+def _give_back() -> None:
+    """Return what the last batch used to the system: an idle Python worker keeps its memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``most`` bytes of ``column``, whole rows each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
@@ -152,7 +162,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         stop = max(stop, start + 1)
         yield batch.slice(start, stop - start)
         start = stop
-    pa.default_memory_pool().release_unused()
+    _give_back()
 
 
 def with_columns(df: DataFrame, text: str, fields: Sequence[StructField],
