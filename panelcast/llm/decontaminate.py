@@ -172,6 +172,8 @@ class Index:
             once = rows >= 0
             once[:, 1:] &= rows[:, 1:] != rows[:, :-1]
             some = np.flatnonzero((most[rows] * once).sum(axis=1) >= 1)
+            if not len(some):
+                continue
             r, k = np.nonzero(once[some])
             terms = rows[some[r], k]
             lo, size = self.block_first[terms], self.block_first[terms + 1] - self.block_first[terms]
