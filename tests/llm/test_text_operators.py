@@ -229,7 +229,7 @@ def test_components_of_a_long_path(spark):
 
 def _items(spark):
     rng = random.Random(2)
-    texts = [" ".join(f"q{rng.randrange(3000)}" for _ in range(n)) + " the of and" for n in (6, 20, 40, 64, 150, 2)]
+    texts = [" ".join(f"q{rng.randrange(3000)}" for _ in range(n)) + " the of and" for n in (6, 20, 40, 64, 150, 1)]
     return texts, spark.createDataFrame(list(enumerate(texts)) + [(None, "null id " * 9), (77, None)], "item_id long, text string")
 
 
