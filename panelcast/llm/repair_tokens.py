@@ -29,8 +29,10 @@ from panelcast.session import scratch_path
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_IDS = 1 << 19
-ROUNDS, RULES_A_ROUND, LEAST = 5, 1024, 8
+ROUNDS, RULES_A_ROUND, LEAST = 4, 1024, 8
 CACHED_WORDS = 700_000
+#: Words of letters encoded as one text.
+JOINED = 500
 
 _ENCODERS: dict = {}
 
@@ -46,6 +48,9 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(1 << 16, bool)
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache, self.ids, self.at = WordCache(CACHED_WORDS), [], 0
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
@@ -55,13 +60,47 @@ class WordEncoder:
         """(start, length) of each word's ids in the flat store."""
         if self.cache.values is None:
             self.ids, self.at = [], 0
-        made = self._whole(words)
-        n = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for x in made for i in x), np.uint16, int(n.sum()))
+        flat, n = self._encoded(words)
         self.ids = [np.concatenate([*self.ids, flat])]
         start = self.at + np.cumsum(n) - n
         self.at += len(flat)
-        return np.stack([start, n], axis=1)
+        return np.stack([start, n], axis=1).astype(np.int32)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids of each). Words of letters are one piece sequence each, closed by a
+        word end, so many are encoded as one text and told apart by their last ids."""
+        alone = np.fromiter((not w.isalpha() for w in words), bool, len(words))
+        joined = np.flatnonzero(~alone)
+        n = np.zeros(len(words), np.int64)
+        parts: list[np.ndarray | None] = [None] * len(words)
+        groups = [joined[at:at + JOINED] for at in range(0, len(joined), JOINED)]
+        texts = [" ".join([words[i] for i in g]) for g in groups]
+        for g, ids in zip(groups, self._whole(texts)):
+            ids = np.array(ids, np.uint16)
+            stops = np.flatnonzero(self.word_end[ids]) + 1
+            if len(stops) == len(g) and stops[-1] == len(ids):
+                n[g] = np.diff(stops, prepend=0)
+                parts[g[0]] = ids
+            else:  # some letter of these is a word of its own to the vocabulary
+                alone[g] = True
+        single = np.flatnonzero(alone)
+        for i, ids in zip(single, self._whole([words[i] for i in single])):
+            parts[i] = np.array(ids, np.uint16)
+            n[i] = len(ids)
+        # joined groups hold their words' ids in order; put all into the order of ``words``
+        flat = np.concatenate([p for p in parts if p is not None] or [np.zeros(0, np.uint16)])
+        place = np.zeros(len(words), np.int64)
+        at = 0
+        of_group = {int(g[0]): g for g in groups if not alone[g[0]]}
+        for i in np.sort(np.concatenate([single, np.fromiter(of_group, np.int64, len(of_group))])).tolist():
+            g = of_group.get(i)
+            if g is None:
+                place[i] = at
+                at += n[i]
+            else:
+                place[g] = at + np.cumsum(n[g]) - n[g]
+                at += int(n[g].sum())
+        return flat[_ranges(place, n)], n
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with END_ID after each, number of ids of each text)."""
@@ -102,9 +141,14 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _chosen(left: np.ndarray, right: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
     """Positions of pairs, by falling count, that can't overlap one another."""
+    if len(count) > 4 * most:  # the pairs come ordered, so ties keep to the smaller pair
+        least = np.partition(count, len(count) - 4 * most)[len(count) - 4 * most]
+        some = np.flatnonzero(count >= least)
+    else:
+        some = np.arange(len(count))
+    some = some[np.argsort(-count[some], kind="stable")]
     lefts, rights, out = set(), set(), []
-    for i in np.lexsort((right, left, -count))[:4 * most]:
-        a, b = int(left[i]), int(right[i])
+    for i, a, b in zip(some.tolist(), left[some].tolist(), right[some].tolist()):
         if a != b and a not in rights and b not in lefts:
             out.append(i)
             lefts.add(a)
@@ -218,7 +262,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, ARROW)], schema=ARROW)
 
         for batch in batches:
-            for part in chunks(batch, "text", 1 << 20):
+            for part in chunks(batch, "text"):
                 out, n = encoder.encode(as_strings(part.column(1)))
                 names.append(part.column(0))
                 ids.append(out)
