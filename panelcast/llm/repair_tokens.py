@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.words import WordCache, as_strings, chunks, split_words
+from panelcast.llm.words import WordCache, as_strings, chunks, give_back, split_words
 from panelcast.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -259,6 +259,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc
             pairs, sizes, symbols, per_doc = compress(np.concatenate(ids), np.cumsum(n) - n)
             row = [shard, block, held, pa.concat_arrays(names).to_pylist(), *(x.astype("<u4").tobytes() for x in (per_doc, pairs, sizes, symbols))]
             names, ids, lengths, held, block = [], [], [], 0, block + 1
+            give_back()
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, ARROW)], schema=ARROW)
 
         for batch in batches:
@@ -287,7 +288,8 @@ def read_documents(blocks: DataFrame) -> DataFrame:
 
     def decode(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
                 pairs = np.frombuffer(row["rules"], "<u4").reshape(-1, 2).astype(np.int64)
                 sizes = np.frombuffer(row["expansions"], "<u4").astype(np.int64)
                 symbols = np.frombuffer(row["symbols"], "<u4").astype(np.int64)
@@ -303,6 +305,8 @@ def read_documents(blocks: DataFrame) -> DataFrame:
                     [pa.array([row["shard"]] * m, pa.int32()), pa.array([row["block"]] * m, pa.int32()), pa.array(row["doc_ids"], pa.int64()),
                      pa.array(edge[:-1]), pa.array(np.diff(edge)), pa.array(crc, pa.int64())],
                     names=["shard", "block", "doc_id", "inside", "n_tokens", "ids_crc32"])
+                del row, ids, symbols
+                give_back()
 
     docs = blocks.mapInArrow(decode, "shard int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     # ids before a block: shards before its shard (a row each), and blocks before it in its shard

@@ -143,7 +143,7 @@ class WordCache:
         return self.values[self.at[spot]] if len(h) else np.zeros(0)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return what the last batch used to the system: an idle Python worker keeps its memory."""
     pa.default_memory_pool().release_unused()
     try:
@@ -162,7 +162,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         stop = max(stop, start + 1)
         yield batch.slice(start, stop - start)
         start = stop
-    _give_back()
+    give_back()
 
 
 def with_columns(df: DataFrame, text: str, fields: Sequence[StructField],
