@@ -136,9 +136,10 @@ class WordCache:
             made = work(words.take(pa.array(new)).to_pylist())
             start = 0 if self.values is None else len(self.values)
             self.values = made if self.values is None else np.concatenate([self.values, made])
-            keys = np.concatenate([self.keys, h[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.at = keys[order], np.concatenate([self.at, np.arange(start, start + len(new))])[order]
+            order = np.argsort(h[new])
+            put = np.searchsorted(self.keys, h[new][order])
+            self.keys = np.insert(self.keys, put, h[new][order])
+            self.at = np.insert(self.at, put, start + order)
             spot = np.searchsorted(self.keys, h)
         return self.values[self.at[spot]] if len(h) else np.zeros(0)
 
