@@ -3,7 +3,8 @@
 Every document is cut into overlapping passages; every passage queries the index with
 block-max WAND and all items whose BM25 score reaches their threshold are retrieved
 (no top-k). A retrieved item counts if its question and its answer are both in the
-passage: at least OVERLAP of the five-word shingles of either part.
+passage: at least OVERLAP of the five-word shingles of either part. An item without an
+answer is verified as one text.
 
 Thresholds are a share of an item's own score, so postings are stored divided by
 them and a passage retrieves what reaches 1. Passages run over whole texts; the scan is map-only.
@@ -33,7 +34,6 @@ PASSAGE_WORDS, STEP = 2 * UNIT_WORDS, UNIT_WORDS
 BLOCK = 4
 #: Items are indexed at once up to about this many bytes of text; more are queried index by index.
 INDEX_BYTES = 32 << 20
-ANSWER_SHARE = 0.25
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,12 +136,12 @@ class Index:
                     if self.unit[at[t]] < unit:
                         at[t] += int(np.searchsorted(self.unit[at[t]:end[t]], unit))
 
-    def search(self, texts: pa.Array) -> list[list[tuple[int, float, float, float]]]:
-        """Per text the verified (item, BM25 share, question overlap, answer overlap)."""
+    def search(self, texts: pa.Array) -> list[list[tuple[int, float, float | None, float | None]]]:
+        """Per text the verified (item, BM25 share, question overlap, answer overlap); None for an empty part."""
         codes, first, distinct = split_words(letter_words(texts, digits=True))
         h = hash_words(distinct)
         number = np.append(self.numbers(h), -1)
-        hits: list[dict[int, tuple[float, float, float]]] = [{} for _ in range(len(first) - 1)]
+        hits: list[dict[int, tuple[float, float | None, float | None]]] = [{} for _ in range(len(first) - 1)]
         for doc, a, b in self._passages(number, codes, first):
             terms = np.unique(number[codes[a:b]])
             got = self.retrieve(terms[terms >= 0])
@@ -151,7 +151,7 @@ class Index:
                 for u, score in got:
                     unit = self.units[u]
                     q, w = (_overlap(part, seen, words, short) for part in (unit.question, unit.answer))
-                    if q >= OVERLAP and w >= OVERLAP and (unit.item not in hits[doc] or hits[doc][unit.item][0] < score):
+                    if min(x for x in (q, w, 1.0) if x is not None) >= OVERLAP and (unit.item not in hits[doc] or hits[doc][unit.item][0] < score):
                         hits[doc][unit.item] = (score, q, w)
         return [[(k, *v) for k, v in sorted(found.items())] for found in hits]
 
@@ -190,11 +190,11 @@ class Index:
                 yield int(text[at + i]), int(a[i]), int(b[i])
 
 
-def _overlap(part: np.ndarray, seen: np.ndarray, words: np.ndarray, short: dict) -> float:
-    """Share of a part's shingles that the passage has."""
+def _overlap(part: np.ndarray, seen: np.ndarray, words: np.ndarray, short: dict) -> float | None:
+    """Share of a part's shingles that the passage has; None for an empty part."""
     hashes, width = part[1:], int(part[0])
     if not len(hashes):
-        return 1.0
+        return None
     if width < SHINGLE:
         if width not in short:
             short[width] = np.unique(shingle_hashes(words, width))
@@ -208,15 +208,12 @@ def _part(h: np.ndarray) -> np.ndarray:
 
 
 def units_of(items: list[tuple[int, str, str | None]]) -> tuple[list[Unit], list[np.ndarray]]:
-    """Units of (item, question, answer) and their word hashes. Without an answer the last
-    quarter of the words is taken for it. Items of fewer than SHINGLE words give none: nothing in them could be verified."""
+    """Units of (item, question, answer) and their word hashes. Without an answer the
+    question is the whole item. Items of fewer than SHINGLE words give none: nothing in them could be verified."""
     units, words = [], []
     for item, question, answer in items:
         lists = [split_words(letter_words(pa.array([x or ""], pa.string()), digits=True)) for x in (question, answer)]
         q, a = (hash_words(d)[c] for c, _, d in lists)
-        if answer is None:
-            cut = len(q) - int(np.ceil(len(q) * ANSWER_SHARE))
-            q, a = q[:cut], q[cut:]
         whole = np.concatenate([q, a])
         if len(whole) < SHINGLE:
             continue
@@ -284,7 +281,8 @@ def find_items(docs: DataFrame, index: Index, text: str = "text", column: str =
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row per input row and item found in it;
-    ``score`` is the best passage's BM25 as a share of the item's threshold.
+    ``score`` is the best passage's BM25 as a share of the item's threshold. The items have no answer column:
+    ``question_overlap`` is that of the whole item and ``answer_overlap`` is null.
 
     Null and empty texts hold nothing, repeated rows are reported each, repeated item ids once a document, no items or
     an empty table give no rows; null ids are kept; other columns are not read.

@@ -273,6 +273,24 @@ def test_small_indexes_find_the_same(spark):
     assert found[0] == found[1] == [(1, 2), (2, 0), (2, 3)]
 
 
+def test_one_changed_word_in_each_position(spark):
+    words = [f"q{k}" for k in range(40)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = [(k, " ".join(["before", *words[:k], "changed", *words[k + 1:], "after"])) for k in range(40)]
+    got = {r["doc_id"]: r for r in dec.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert sorted(got) == list(range(40))
+    assert all(r["question_overlap"] == (36 - min(k + 1, 40 - k, 5)) / 36 and r["answer_overlap"] is None for k, r in got.items())
+
+
+def test_question_and_answer_are_verified_apart(spark):
+    words = [f"q{k}" for k in range(40)]
+    items = spark.createDataFrame([(1, " ".join(words[:30]), " ".join(words[30:]))], "item_id long, text string, answer string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:34], "changed", *words[35:]]))], "doc_id long, text string")
+    index, = dec.build_indexes(items, answer="answer")
+    got = {r["doc_id"]: r["benchmark_hits"] for r in dec.find_items(docs, index).collect()}
+    assert [(h["question_overlap"], h["answer_overlap"]) for h in got[1]] == [(1.0, 1.0)] and got[2] == []
+
+
 # ---- toxicity
 
 def _kernel(s, t, order, decay):
