@@ -2,7 +2,8 @@
 
 Every document is cut into overlapping passages; every passage queries the index with
 block-max WAND and all items whose BM25 score reaches their threshold are retrieved
-(no top-k). A retrieved item counts if its question and its answer are both in the
+(no top-k). Long items are indexed in units; a retrieved unit only says where to look for
+its item. The item counts if its whole question and its whole answer are both around that
 passage: at least OVERLAP of the five-word shingles of either part. An item without an
 answer is verified as one text.
 
@@ -13,6 +14,7 @@ them and a passage retrieves what reaches 1. Passages run over whole texts; the
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -49,15 +51,24 @@ def shingle_hashes(h: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     return x
 
 
-@dataclass
-class Unit:
-    """A stretch of an item: its question's and answer's shingles."""
+@dataclass(eq=False)
+class Item:
+    """A row of the benchmark: its whole question's and answer's shingles."""
 
-    item: int
+    id: int
     question: np.ndarray
     answer: np.ndarray
 
 
+@dataclass
+class Unit:
+    """A stretch of an item, with the number of the item's words before and after it."""
+
+    item: Item
+    before: int
+    after: int
+
+
 class Index:
     """Postings by term: unit numbers ascending, scores as a share of the unit's threshold, block maxima."""
 
@@ -142,17 +153,22 @@ class Index:
         h = hash_words(distinct)
         number = np.append(self.numbers(h), -1)
         hits: list[dict[int, tuple[float, float | None, float | None]]] = [{} for _ in range(len(first) - 1)]
-        for doc, a, b in self._passages(number, codes, first):
-            terms = np.unique(number[codes[a:b]])
-            got = self.retrieve(terms[terms >= 0])
-            if got:
-                words = h[codes[a:b]]
-                seen, short = np.unique(shingle_hashes(words)), {}
-                for u, score in got:
+        for doc, passages in groupby(self._passages(number, codes, first), key=lambda p: p[0]):
+            # per item the words in which it is looked for: the passage of a unit, the item's words before and after
+            # the unit (as many again may be inserted) and the neighbouring passages
+            spots: dict[Item, list[tuple[int, int, float]]] = {}
+            start, n = int(first[doc]), int(first[doc + 1] - first[doc])
+            for _, a, b in passages:
+                terms = np.unique(number[codes[a:b]])
+                for u, score in self.retrieve(terms[terms >= 0]):
                     unit = self.units[u]
-                    q, w = (_overlap(part, seen, words, short) for part in (unit.question, unit.answer))
-                    if min(x for x in (q, w, 1.0) if x is not None) >= OVERLAP and (unit.item not in hits[doc] or hits[doc][unit.item][0] < score):
-                        hits[doc][unit.item] = (score, q, w)
+                    spots.setdefault(unit.item, []).append((max(0, a - start - STEP - 2 * unit.before), min(n, b - start + STEP + 2 * unit.after), score))
+            words, made = h[codes[start:start + n]], {}
+            for item, where in spots.items():
+                overlaps = zip(*(_overlaps(part, words, where, made) for part in (item.question, item.answer)))
+                for (_, _, score), (q, w) in zip(where, overlaps):
+                    if min(x for x in (q, w, 1.0) if x is not None) >= OVERLAP and (item.id not in hits[doc] or hits[doc][item.id][0] < score):
+                        hits[doc][item.id] = (score, q, w)
         return [[(k, *v) for k, v in sorted(found.items())] for found in hits]
 
     def _passages(self, number: np.ndarray, codes: np.ndarray, first: np.ndarray):
@@ -190,16 +206,19 @@ class Index:
                 yield int(text[at + i]), int(a[i]), int(b[i])
 
 
-def _overlap(part: np.ndarray, seen: np.ndarray, words: np.ndarray, short: dict) -> float | None:
-    """Share of a part's shingles that the passage has; None for an empty part."""
+def _overlaps(part: np.ndarray, words: np.ndarray, where: list[tuple[int, int, float]], made: dict) -> list[float | None]:
+    """Share of a part's shingles in each stretch [lo, hi) of a text's words; None for an empty part."""
     hashes, width = part[1:], int(part[0])
     if not len(hashes):
-        return None
-    if width < SHINGLE:
-        if width not in short:
-            short[width] = np.unique(shingle_hashes(words, width))
-        seen = short[width]
-    return float(np.isin(hashes, seen).mean())
+        return [None] * len(where)
+    if width not in made:
+        made[width] = shingle_hashes(words, width) if len(words) >= width else np.zeros(0, np.uint64)
+    least = min(lo for lo, _, _ in where)
+    text = made[width][least:max(hi for _, hi, _ in where) - width + 1]
+    no = np.minimum(np.searchsorted(hashes, text), len(hashes) - 1)
+    at = np.flatnonzero(hashes[no] == text)
+    no, at = no[at], at + least
+    return [len(np.unique(no[np.searchsorted(at, lo):np.searchsorted(at, hi - width, "right")])) / len(hashes) for lo, hi, _ in where]
 
 
 def _part(h: np.ndarray) -> np.ndarray:
@@ -217,10 +236,11 @@ def units_of(items: list[tuple[int, str, str | None]]) -> tuple[list[Unit], list
         whole = np.concatenate([q, a])
         if len(whole) < SHINGLE:
             continue
-        n = -(-len(whole) // UNIT_WORDS)
-        for part, split in ((np.array_split(np.arange(len(whole)), n)[k], len(q)) for k in range(n)):
-            units.append(Unit(item, _part(whole[part[part < split]]), _part(whole[part[part >= split]])))
-            words.append(whole[part])
+        row, at = Item(item, _part(q), _part(a)), 0
+        for part in np.array_split(whole, -(-len(whole) // UNIT_WORDS)):
+            units.append(Unit(row, at, len(whole) - at - len(part)))
+            words.append(part)
+            at += len(part)
     return units, words
 
 
@@ -281,7 +301,7 @@ def find_items(docs: DataFrame, index: Index, text: str = "text", column: str =
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row per input row and item found in it;
-    ``score`` is the best passage's BM25 as a share of the item's threshold. The items have no answer column:
+    ``score`` is the best passage's BM25 as a share of the threshold of an item, or of a unit of a longer item. The items have no answer column:
     ``question_overlap`` is that of the whole item and ``answer_overlap`` is null.
 
     Null and empty texts hold nothing, repeated rows are reported each, repeated item ids once a document, no items or

@@ -291,6 +291,35 @@ def test_question_and_answer_are_verified_apart(spark):
     assert [(h["question_overlap"], h["answer_overlap"]) for h in got[1]] == [(1.0, 1.0)] and got[2] == []
 
 
+@pytest.mark.parametrize("size", [64, 65, 400])
+def test_long_items_are_verified_whole(spark, size):
+    words = [f"q{k}" for k in range(size)]
+    cut = size - size // 4
+    other = [f"n{k}" for k in range(150)]
+    inserted = [x for k, w in enumerate(words) for x in ([w, "new"] if k % 30 == 29 else [w])]
+    changed = ["other" if k % 40 == 20 else w for k, w in enumerate(words)]
+    texts = {1: words, 2: inserted, 3: changed, 4: words[:33], 5: words[:size // 2], 6: words[:cut], 7: words[cut:],
+             8: [*words[:cut], *(f"a{k}" for k in range(size // 4))]}
+    rows = [(10 * k + n, " ".join([*other[:n * 37], *t, *other])) for k, t in texts.items() for n in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    parts = spark.createDataFrame([(1, " ".join(words[:cut]), " ".join(words[cut:]))], "item_id long, text string, answer string")
+
+    def shares(part, text):
+        have = {tuple(text[k:k + 5]) for k in range(len(text))}
+        return np.mean([tuple(part[k:k + 5]) in have for k in range(len(part) - 4)])
+
+    for index, pieces in ((dec.build_indexes(whole)[0], [words]), (dec.build_indexes(parts, answer="answer")[0], [words[:cut], words[cut:]])):
+        got = {r["doc_id"]: r["benchmark_hits"] for r in dec.find_items(docs, index).collect()}
+        for k, t in texts.items():
+            want = [shares(p, t) for p in pieces]
+            for n in range(4):
+                assert bool(got[10 * k + n]) == (min(want) >= dec.OVERLAP), (k, n)
+                for h in got[10 * k + n]:
+                    assert [h["question_overlap"], h["answer_overlap"]][:len(want)] == pytest.approx(want)
+        assert got[10] and not got[40] and not got[50] and not got[70]
+
+
 # ---- toxicity
 
 def _kernel(s, t, order, decay):
