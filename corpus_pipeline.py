@@ -42,11 +42,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component (five-word shingles, similarity 0.8);
-    rows without an id are linked with nothing and stay."""
+    rows without an id are linked with nothing and stay.
+
+    A document is an id with a text: rows that agree in both are one (the least by their other
+    columns stays), and different texts of one id are linked by similarity only. The
+    least (id, MD5 of the text) of a component stays."""
     from panelcast.llm.near_dup import near_duplicates
     ship(spark)
-    kept = near_duplicates(docs, width=5).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    named, others = docs.filter("doc_id is not null"), [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = F.min(F.struct(*others, "text")).alias("least")  # the text last: it is equal within a document
+    row = ["least." + c if c != "doc_id" else c for c in docs.columns]
+    several = named.groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).filter("a <> b")
+    if several.isEmpty():
+        kept = near_duplicates(docs, width=5).filter("kept and doc_id is not null").select("doc_id").distinct()
+        one = named.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(least).select(*row)
+    else:  # documents get numbers of their own
+        numbered = stored(named.groupBy("doc_id", digest.alias("digest")).agg(least)
+                          .select(F.monotonically_increasing_id().alias("number"), "doc_id", "digest", "least"), "numbered")
+        found = near_duplicates(numbered.select("number", "least.text"), doc_id="number", width=5)
+        kept = (found.select(F.col("doc_id").alias("number"), "component_id").join(numbered.select("number", "doc_id", "digest"), "number")
+                .groupBy("component_id").agg(F.min(F.struct("doc_id", "digest", "number")).alias("first")).select("first.number"))
+        one = numbered.join(kept, "number", "left_semi").select(*row)
     return one.select(*docs.columns).union(docs.filter("doc_id is null"))
 
 

@@ -139,3 +139,21 @@ def test_pipeline_keeps_clean_documents(spark):
     assert not any(i > 100_000 for i in ids("near_dedup")) and 9001 in ids("near_dedup")
     assert 9001 not in ids("decontamination")
     assert seen["sharding"].count() == seen["mixing"].count()
+
+
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline as c
+    text = lambda k: " ".join(f"w{k}x{n}" for n in range(40))
+    rows = [(1, text(1), "en", "b", 1), (1, text(2), "en", "a", 1), (2, text(2), "en", "a", 1), (2, text(3) + " more", "en", "a", 1),
+            (3, text(3), "en", "b", 1), (3, text(3), "en", "a", 1), (4, text(4), "de", "z", 1), (4, text(4), "de", "y", 1), (4, None, None, None, None),
+            (5, text(5), "en", None, 1), (5, text(5) + " more", "en", "a", 1), (None, text(1), "en", "a", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    want = {(1, text(1), "b"), (1, text(2), "a"), (2, text(3) + " more", "a"), (4, text(4), "y"), (4, None, None), (None, text(1), "a")}
+    for order in (rows, rows[::-1]):
+        got = c.near_dedup(spark, spark.createDataFrame(order, schema).repartition(3), SF)
+        assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        out = [(r["doc_id"], r["text"], r["source"]) for r in got.collect()]
+        five = [r for r in out if r[0] == 5]
+        assert len(five) == 1 and set(out) - set(five) == want and len(out) == 7
+    plain = spark.createDataFrame([r for r in rows if r[0] in (3, None)], schema)
+    assert {(r["doc_id"], r["source"]) for r in c.near_dedup(spark, plain, SF).collect()} == {(3, "a"), (None, "a")}
