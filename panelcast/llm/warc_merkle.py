@@ -31,15 +31,28 @@ def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """One row per page: file, offset, length, record_id, record.
 
-    Pages are dealt to files by a hash of the whole page, so no host or id fills one file
-    (rows equal in all three columns go to one); within a file they follow in order of
+    Pages are dealt to files by a hash of the whole page, so no host or id fills one file;
+    rows equal in all three columns go to one, but if they are more than ``rows_per_file``,
+    they are numbered and dealt in turn to all files. ``rows_per_file`` is the mean,
+    not a bound. Within a file rows follow in order of
     id, url and content. Nulls are empty texts (a null id stays null, first); an empty
     table gives no rows; other columns are not read.
     """
     rows = pages.select(F.col(page_id).alias("record_id"), F.col(url).cast("string").alias("_url"), F.col(html).cast("string").alias("_html"))
     files = F.greatest(F.lit(1), F.ceil(F.lit(pages.count()) / rows_per_file)).cast("int")
     record = warc_record(F.col("_url"), F.col("_html"))
-    rows = rows.select("record_id", F.pmod(F.xxhash64("record_id", "_url", "_html"), files).cast("int").alias("file"),
+    rows = rows.withColumn("_h", F.xxhash64("record_id", "_url", "_html"))
+    # at most one hash in rows_per_file rows
+    often = F.broadcast(rows.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows_per_file).select("_h"))
+    once = rows.join(often, "_h", "left_anti").withColumn("_copy", F.lit(0).cast("long"))
+    # counted, then made again in shares of rows_per_file, so that numbers do not depend on the order of the input
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.join(often, "_h", "left_semi").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    shares = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(rows_per_file).cast("long"))))
+    copies = (shares.repartition(tasks, "_h", "_from")
+              .withColumn("_copy", F.explode(F.sequence("_from", F.least(F.col("_from") + rows_per_file, "n") - 1))))
+    rows = once.unionByName(copies.select(*once.columns))
+    rows = rows.select("record_id", F.pmod(F.pmod("_h", files) + F.col("_copy"), files).cast("int").alias("file"),
                        "_url", record.alias("record")).withColumn("length", F.octet_length("record").cast("long"))
     order = Window.partitionBy("file").orderBy("record_id", "_url", "record")
     upto = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0))

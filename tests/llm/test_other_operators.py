@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -105,6 +106,18 @@ def test_merkle_audit_locates_each_fault(spark):
     assert warc_merkle.archive(pages.filter("false")).count() == 0
 
 
+def test_many_equal_pages_spread_over_files(spark):
+    rows = [(7, "u", "same")] * 400 + [(None, None, None)] * 60 + [(1000 + k, f"u{k}", f"page {k}") for k in range(540)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    a, b = (warc_merkle.archive(x, rows_per_file=50).orderBy("file", "offset").collect() for x in (pages, pages.repartition(5)))
+    assert a == b and len(a) == 1000
+    assert sum(r["record_id"] == 7 for r in a) == 400 and sum(r["record_id"] is None for r in a) == 60
+    per_file = Counter(r["file"] for r in a if r["record_id"] == 7)
+    assert len(per_file) == 20 and set(per_file.values()) == {20}
+    for x, y in zip(a, a[1:]):
+        assert y["offset"] == (x["offset"] + x["length"] if x["file"] == y["file"] else 0)
+
+
 def test_audit_of_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     found = warc_merkle.audit_pages(pages, every=20)
