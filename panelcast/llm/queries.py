@@ -104,6 +104,12 @@ def op10_mixing(spark, d):
     return mix(docs, quality=quality_weights(table(spark, d, "labels"))).drop("tie")
 
 
+def op12_line_dedup(spark, d):
+    from panelcast.llm.line_dedup import drop_repeated_lines
+    docs = drop_repeated_lines(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_repair_tokens": op2_repair_tokens,
@@ -115,6 +121,25 @@ QUERIES = {
     "op8_separator_scan": op8_separator_scan,
     "op9_warc_merkle_audit": op9_warc_merkle_audit,
     "op10_mixing": op10_mixing,
+    "op12_line_dedup": op12_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLE: dict[str, str] = {
+    "op12_line_dedup": f"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+            FROM documents),
+        keyed AS (
+            SELECT *, translate(trim(line, {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM lines),
+        repeated AS (
+            SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+        SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
+               CAST(count(*) FILTER (WHERE doc_id < last) AS BIGINT) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE last IS NULL OR doc_id >= last), '')) AS kept_sha256
+        FROM keyed LEFT JOIN repeated USING (key) GROUP BY doc_id""",
+}
