@@ -110,6 +110,13 @@ def op12_line_dedup(spark, d):
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_cross_tokenizer_alignment(spark, d):
+    import public_tokenizers
+    from panelcast.llm.cross_tokens import A_VOCABULARY, B_VOCABULARY, cross_tokenized
+    made = cross_tokenized(table(spark, d, "documents"), *map(public_tokenizers.path, (A_VOCABULARY, B_VOCABULARY)))
+    return made.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_repair_tokens": op2_repair_tokens,
@@ -122,6 +129,7 @@ QUERIES = {
     "op9_warc_merkle_audit": op9_warc_merkle_audit,
     "op10_mixing": op10_mixing,
     "op12_line_dedup": op12_line_dedup,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
