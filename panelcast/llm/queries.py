@@ -104,6 +104,11 @@ def op10_mixing(spark, d):
     return mix(docs, quality=quality_weights(table(spark, d, "labels"))).drop("tie")
 
 
+def op11_conversation_prefix_trie(spark, d):
+    from panelcast.llm.prefix_trie import prefix_trie
+    return prefix_trie(table(spark, d, "conversations"))
+
+
 def op12_line_dedup(spark, d):
     from panelcast.llm.line_dedup import drop_repeated_lines
     docs = drop_repeated_lines(table(spark, d, "documents").select("doc_id", "text"))
@@ -128,13 +133,50 @@ QUERIES = {
     "op8_separator_scan": op8_separator_scan,
     "op9_warc_merkle_audit": op9_warc_merkle_audit,
     "op10_mixing": op10_mixing,
+    "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
     "op12_line_dedup": op12_line_dedup,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+# crc32 of the decimal digits of an id, byte by byte and bit by bit
+_CRC = ("xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), "
+        "lambda c: CAST(ascii(c) AS UBIGINT))), lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], "
+        "lambda x, k: xor(x >> 1, (x & 1) * 3988292384))))")
+
 ORACLE: dict[str, str] = {
+    "op11_conversation_prefix_trie": f"""
+        WITH placed AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (SELECT DISTINCT conv_id, CAST({_CRC} % 4 AS BIGINT) AS h FROM placed),
+        pieces AS (
+            SELECT i.conv_id, 0 AS part, pos, role, text FROM ids i JOIN placed p ON p.conv_id = i.conv_id - i.conv_id % 20 AND pos < h
+            UNION ALL
+            SELECT conv_id, 1, pos, role, text FROM ids JOIN placed USING (conv_id) WHERE pos >= h),
+        ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM pieces),
+        members AS (
+            SELECT conv_id, depth, text, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM ordered
+            UNION ALL
+            SELECT conv_id, 0, '', '' FROM ids),
+        nodes AS (
+            SELECT path, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   (count(*) - 1) * len(regexp_extract_all(min(text), '[^\x20\x09-\x0D]+')) AS saved,
+                   left(path, greatest(length(path) - 64, 0)) AS over
+            FROM members GROUP BY path),
+        children AS (SELECT over AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY over),
+        totals AS (
+            SELECT m.path, sum(v.saved) AS saved_tokens, count(*) FILTER (WHERE c.path IS NULL) AS n_leaves
+            FROM nodes v LEFT JOIN children c ON c.path = v.path JOIN members m ON m.conv_id = v.conv_id AND m.depth <= v.depth GROUP BY m.path),
+        stops AS (
+            SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+            FROM (SELECT conv_id, max_by(path, depth) AS path FROM members GROUP BY conv_id) GROUP BY path)
+        SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, CASE WHEN n.depth > 0 THEN p.conv_id END AS parent_conv_id, n.n_convs,
+               coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM nodes n JOIN nodes p ON p.path = n.over JOIN totals t ON t.path = n.path
+        LEFT JOIN children c ON c.path = n.path LEFT JOIN stops s ON s.path = n.path""",
     "op12_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
