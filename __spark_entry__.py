@@ -58,8 +58,8 @@ from panelcast.panel import PanelSpec
 from panelcast.sources.adapters import EVENTS_SPEC, READINGS_SPEC, events_panel, lineitem_readings
 from panelcast.plans.pipeline import build_feature_table, run_preprocessing
 from panelcast.sources.readings import RAW_COLUMNS, load_profile, read_readings, stage_dataset
-from panelcast.sources.sinks import IMPORTANCE_SCHEMA, METRICS_SCHEMA, preview, write_importance_csv, write_metrics_csv
-from panelcast.session import scratch_path
+from panelcast.sources.sinks import IMPORTANCE_SCHEMA, metrics_schema, preview, write_importance_csv, write_metrics_csv
+from panelcast.session import scratch_path, staged
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
@@ -72,18 +72,26 @@ def _r6(c) -> F.Column:
 
 # ---------------------------------------------------------------- Spark side
 
+def _readings(spark: SparkSession, d: str) -> DataFrame:
+    """L, dealt to all cores where the file is fewer scan tasks."""
+    cores = spark.sparkContext.defaultParallelism
+    scan = spark.read.parquet(os.path.join(d, "lineitem.parquet"))
+    return lineitem_readings(spark, d, cores if scan.rdd.getNumPartitions() < cores else None)
+
+
 def _clean(spark: SparkSession, d: str, drop_unparsed: bool = False) -> DataFrame:
     """L -> renamed, cast, dated (unparsed dates kept unless asked)."""
-    raw = rename_columns(lineitem_readings(spark, d), {**COLUMN_RENAMES, **ENTITY_RENAME})
+    raw = rename_columns(_readings(spark, d), {**COLUMN_RENAMES, **ENTITY_RENAME})
     return parse_dates(cast_numeric(raw), drop_unparsed=drop_unparsed)
 
 
 def _indexed(spark: SparkSession, d: str, impute: bool = True) -> DataFrame:
-    """Reference order: medians over all rows, then the index."""
-    df = _clean(spark, d)
-    if impute:
-        df = fill_values(df, fit_medians(df, POLLUTANTS))
-    return compute_aqi(df)
+    """Reference order: medians over all rows, then the index. The cleaned columns are
+    staged, as every pass of the fits reads them."""
+    if not impute:
+        return compute_aqi(_clean(spark, d))
+    df = staged(_clean(spark, d), "clean")
+    return compute_aqi(fill_values(df, fit_medians(df, POLLUTANTS)), bind=False)
 
 
 def _readings_panel(spark: SparkSession, d: str, iqr: bool = False) -> DataFrame:
@@ -197,7 +205,7 @@ def q_interactions(spark, d):
 
 
 def q_feature_table(spark, d):
-    df = build_feature_table(lineitem_readings(spark, d), READINGS_SPEC, compat=True)[0]
+    df = build_feature_table(_readings(spark, d), READINGS_SPEC, compat=True)[0]
     return df.select(*KEYS, "city", "date_parsed", *[_r6(c).alias(c) for c in (*FEATURE_COLUMNS, LABEL_COL)])
 
 
@@ -284,7 +292,7 @@ def q_scaled_features(spark, d):
     from pyspark.ml.functions import vector_to_array
 
     from panelcast.plans.models import fit_features
-    feats = _feature_rows(spark, d, iqr=True)
+    feats = staged(_feature_rows(spark, d, iqr=True), "features")
     scaled = fit_features(feats, FEATURE_COLUMNS, scale=True).transform(feats)
     arr = vector_to_array("features")
     return scaled.select(*KEYS, *[_r6(arr[i]).alias(f"z_{c}") for i, c in enumerate(FEATURE_COLUMNS)])
@@ -322,8 +330,7 @@ def q_ols_one_feature(spark, d):
 
 def _model_run(spark, d, models, params=None, include_sequence=False):
     from panelcast.plans.pipeline import run_forecast
-    raw = lineitem_readings(spark, d)
-    return run_forecast(raw, READINGS_SPEC, compat=False, models=models, params=params,
+    return run_forecast(_readings(spark, d), READINGS_SPEC, compat=False, models=models, params=params,
                         include_sequence=include_sequence)
 
 
@@ -341,7 +348,7 @@ def q_gbt_metrics(spark, d):
 
 def q_model_comparison(spark, d):
     from panelcast.plans.pipeline import run_forecast
-    res = run_forecast(lineitem_readings(spark, d), READINGS_SPEC, compat=True)
+    res = run_forecast(_readings(spark, d), READINGS_SPEC, compat=True)
     return res.metrics
 
 
@@ -370,7 +377,7 @@ def q_metrics_roundtrip(spark, d):
                  F.lit(0.0).alias("training_time_sec"))
     path = scratch_path(spark, "metrics_csv")
     write_metrics_csv(m, path)
-    back = spark.read.schema(METRICS_SCHEMA).option("header", True).csv(path)
+    back = spark.read.schema(metrics_schema()).option("header", True).csv(path)
     return back.select("model", *[_r6(c).alias(c) for c in ("RMSE", "MAE", "MAPE", "R2", "training_time_sec")])
 
 
@@ -380,7 +387,7 @@ def q_metrics_by_entity_roundtrip(spark, d):
                  F.lit(0.0).alias("training_time_sec"), F.col("user_id").cast("string").alias("user_id"))
     path = scratch_path(spark, "entity_metrics_csv")
     write_metrics_csv(m, path)
-    back = spark.read.schema(METRICS_SCHEMA.add("user_id", "string")).option("header", True).csv(path)
+    back = spark.read.schema(metrics_schema("user_id")).option("header", True).csv(path)
     return back.select("model", "user_id", *[_r6(c).alias(c) for c in ("RMSE", "MAE", "MAPE", "R2")])
 
 
@@ -438,7 +445,8 @@ def q_iqr_bounds_hot_entity(spark, d):
 
 
 def q_entity_date_split_hot(spark, d):
-    df = _events_dated(spark, d).withColumn("part", _hot("event_id")).filter("part is not null")
+    """The null entity is in neither half."""
+    df = _events_dated(spark, d).withColumn("part", _hot("event_id"))
     return entity_date_split(df, "part", 0.8).groupBy("part", "split").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -458,12 +466,12 @@ def q_chunked_one_day(spark, d):
 
 
 def q_preprocessed_table(spark, d):
-    df = run_preprocessing(lineitem_readings(spark, d))
+    df = run_preprocessing(_readings(spark, d))
     return df.select(*KEYS, "city", "date_parsed", "year", "month", "day", "so2", "no2", "pm10", "pm2_5", _r6("AQI").alias("AQI"))
 
 
 def q_leak_free_features(spark, d):
-    df = build_feature_table(lineitem_readings(spark, d), READINGS_SPEC)[0]
+    df = build_feature_table(_readings(spark, d), READINGS_SPEC)[0]
     return df.select(*KEYS, "city", "date_parsed", "split", "is_outlier", *[_r6(c).alias(c) for c in (*FEATURE_COLUMNS, LABEL_COL)])
 
 
@@ -837,9 +845,10 @@ SELECT city, CAST((SELECT count(city) FROM D) - rows AS BIGINT) AS train_rows, C
         f"round(CASE WHEN stddev_samp({c}) OVER () = 0 THEN 0.0 ELSE ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () END, 6) + 0.0 AS z_{c}"
         for c in _INPUTS) + " FROM FT",
     "label_scaling": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_P) + """,
-Z AS (SELECT avg(AQI_target) AS m, stddev_pop(AQI_target) AS s FROM PT)
-SELECT l_orderkey, l_linenumber, l_partkey, round((AQI_target - m) / s, 6) AS y_scaled,
-       round(((AQI_target - m) / s) * s + m, 6) AS y_restored FROM PT, Z""",
+PM AS MATERIALIZED (SELECT l_orderkey, l_linenumber, l_partkey, AQI_target FROM PT),
+Z AS MATERIALIZED (SELECT avg(AQI_target) AS m, stddev_pop(AQI_target) AS s FROM PM)
+SELECT l_orderkey, l_linenumber, l_partkey, round((AQI_target - m) / s, 6) + 0.0 AS y_scaled,
+       round(((AQI_target - m) / s) * s + m, 6) AS y_restored FROM PM CROSS JOIN Z""",
     "sequence_windows": f"""SELECT user_id, ts, event_id, seq_len, seq_first, seq_last, round(seq_sum, 6) AS seq_sum FROM (
   SELECT user_id, ts, event_id,
          CAST(count(value) OVER f AS INTEGER) AS seq_len, first_value(value) OVER f AS seq_first,
@@ -934,7 +943,8 @@ SELECT part, {_B5} FROM (SELECT part, q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q
         FROM A WHERE AQI IS NOT NULL GROUP BY 1))""",
     "entity_date_split_hot": f"""WITH E AS (SELECT {_HOT.format(k='event_id')} AS part, CAST(ts AS DATE) AS dd FROM events),
 Q AS (SELECT part, quantile_disc(dd, 0.8) AS cut FROM E WHERE part IS NOT NULL GROUP BY part)
-SELECT part, CASE WHEN dd <= cut THEN 'train' ELSE 'test' END AS split, count(*) AS rows FROM E JOIN Q USING (part) GROUP BY 1, 2""",
+SELECT E.part, CASE WHEN cut IS NULL THEN NULL WHEN dd <= cut THEN 'train' ELSE 'test' END AS split, count(*) AS rows
+FROM E LEFT JOIN Q ON E.part = Q.part GROUP BY 1, 2""",
     "sequence_windows_offset": f"""SELECT user_id, ts, event_id, seq_first, seq_last, round(seq_sum, 6) AS seq_sum FROM (
   SELECT user_id, ts, event_id, count(value) OVER f AS c, first_value(value) OVER f AS seq_first, value AS seq_last, sum(value) OVER f AS seq_sum
   FROM events WINDOW f AS ({_EV_ORDER} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) WHERE c = 24""",

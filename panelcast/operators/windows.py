@@ -15,7 +15,9 @@ consecutive rows and gives each run a halo:
    the calendar span, not by the row count).
 2. The offsets are joined back on (entity, day) and a ``row_number`` within
    (entity, day) completes the exact 0-based position ``rn`` of each row in
-   its entity, in (time, tie-breakers) order.
+   its entity, in (time, tie-breakers) order. A day of more rows than a chunk is
+   itself cut into ranges of its order columns first (``day_cuts``), so that the
+   unit that is counted and ranked is a range of about half a chunk.
 3. ``chunk = rn div chunk_rows``. A row is also copied, as halo, into the next
    chunk when it is among the last ``lookback`` rows of its chunk, and into
    the previous chunk when it is among the first ``lookahead`` rows.
@@ -24,8 +26,8 @@ consecutive rows and gives each run a halo:
    ``chunk_rows + lookback + lookahead`` rows.
 
 ``strategy="auto"`` is the chunked plan, whatever the size; ``"plain"`` is the single-shuffle
-plan for panels whose entities are known to be even. The residual hot spot
-of the chunked plan is one (entity, time bucket) in step 2.
+plan for panels whose entities are known to be even. Only rows that agree in the
+entity and all order columns can't be parted (a ``PanelSpec`` promises there are none).
 """
 
 from __future__ import annotations
@@ -45,6 +47,7 @@ from pyspark.sql.types import (
 )
 
 from panelcast.panel import PanelSpec
+from panelcast.session import staged
 
 WindowColumn = Callable[[WindowSpec], Column]
 
@@ -80,15 +83,46 @@ def _non_null_key(col: Column, dtype) -> Column | None:
     return F.coalesce(col, default)
 
 
-def with_positions(df: DataFrame, spec: PanelSpec, rn_col: str = _RN,
-                   size_col: str | None = None) -> DataFrame:
-    """Exact 0-based position of each row within its entity (and the entity size),
-    without gathering an entity into one task (steps 1-2 above).
+#: Sampled rows that stand for a chunk when a day is cut into ranges.
+CHUNK_SAMPLES = 64
 
-    Entity and day are replaced by never-null key columns plus null flags, so
-    the offset join is a plain equi-join: when the count table is too big to
-    broadcast, the join's hash exchange on (entity, day) also serves the
-    ``row_number`` window — one exchange of the data, not two.
+
+def day_cuts(keyed: DataFrame, spec: PanelSpec, keys: list[str], chunk_rows: int) -> DataFrame:
+    """(keys, cuts) of each day of more than about a chunk of rows: ascending values of the order columns
+    that part it into ranges of about half a chunk.
+
+    The rows sampled are chosen by a hash of their entity and order columns, so every reading of the input gives
+    the same cuts; the samples of a day are one ``CHUNK_SAMPLES`` / ``chunk_rows`` part of its rows.
+    """
+    step = max(1, chunk_rows // CHUNK_SAMPLES)
+    half = max(1, chunk_rows // step // 2)
+    sampled = keyed.filter(F.pmod(F.xxhash64(spec.entity, *spec.order_cols), F.lit(step)) == 0)
+    order = F.sort_array(F.collect_list(F.struct(*spec.order_cols)))
+    days = sampled.groupBy(*keys).agg(order.alias("_pc_sample")).filter(F.size("_pc_sample") > 2 * half)
+    return days.select(*keys, F.filter("_pc_sample", lambda _, i: (i > 0) & (i % half == 0)).alias("_pc_cuts"))
+
+
+def _range_of(key: Column, cuts: Column) -> Column:
+    """How many of the ascending cuts are at most ``key``, by halving."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cuts) + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+
+    def halve(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        above = (s["lo"] < s["hi"]) & (F.get(cuts, mid) <= key)
+        return F.struct(F.when(above, mid + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when(above | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(steps, start, halve)["lo"]
+
+
+def position_cells(df: DataFrame, spec: PanelSpec, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> tuple[DataFrame, list[str]]:
+    """The rows with the key columns of the smallest unit that is counted and ranked as a whole:
+    (entity, day), and a range of the day where a day exceeds a chunk. Looking for such days is the one
+    small job a window builder starts (a scan of the entity and order columns of a sample).
+
+    Entity and day are replaced by never-null key columns plus null flags, so that joins on them are
+    plain equi-joins.
     """
     keyed = df.withColumn(_BUCKET, spec.bucket_expr(df))
     ke = _non_null_key(F.col(spec.entity), keyed.schema[spec.entity].dataType)
@@ -98,20 +132,39 @@ def with_positions(df: DataFrame, spec: PanelSpec, rn_col: str = _RN,
     keys = ["_pc_ke", "_pc_ne", "_pc_kb", "_pc_nb"]
     keyed = keyed.withColumns({"_pc_ke": ke, "_pc_ne": F.col(spec.entity).isNull(),
                                "_pc_kb": kb, "_pc_nb": F.col(_BUCKET).isNull()})
+    cuts = staged(day_cuts(keyed, spec, keys, chunk_rows), "day-cuts")
+    if cuts.isEmpty():
+        return keyed.withColumn("_pc_part", F.lit(0)), keys
+    keyed = keyed.join(cuts, on=keys, how="left")
+    part = F.when(F.col("_pc_cuts").isNull(), 0).otherwise(_range_of(F.struct(*spec.order_cols), F.col("_pc_cuts")))
+    # one column that stands for the cell: rows dealt by the day alone (for the join above) are dealt anew by it
+    keyed = keyed.withColumn("_pc_part", part).drop("_pc_cuts")
+    return keyed.withColumn("_pc_cell", F.struct(*keys, "_pc_part")), ["_pc_cell"]
+
+
+def with_positions(df: DataFrame, spec: PanelSpec, rn_col: str = _RN,
+                   size_col: str | None = None, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Exact 0-based position of each row within its entity (and the entity size),
+    without gathering an entity or a day into one task (steps 1-2 above). When the count
+    table is too big to broadcast, the join's hash exchange on the cell also serves the
+    ``row_number`` window — one exchange of the data, not two.
+    """
+    keyed, cell = position_cells(df, spec, chunk_rows)
+    keys = ["_pc_ke", "_pc_ne", "_pc_kb", "_pc_nb"]
     per_entity = Window.partitionBy("_pc_ke", "_pc_ne")
-    day_order = per_entity.orderBy(F.col("_pc_nb").desc(), F.col("_pc_kb").asc())  # null day first
-    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pc_cnt"))
+    day_order = per_entity.orderBy(F.col("_pc_nb").desc(), F.col("_pc_kb").asc(), F.col("_pc_part").asc())  # null day first
+    counts = keyed.groupBy(*keys, "_pc_part", *[c for c in cell if c not in keys]).agg(F.count(F.lit(1)).alias("_pc_cnt"))
     counts = counts.select(
-        *keys,
+        *cell,
         F.coalesce(F.sum("_pc_cnt").over(day_order.rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias(_OFF),
         F.sum("_pc_cnt").over(per_entity).alias(_N))
-    joined = keyed.join(counts, on=keys, how="inner")
-    within_day = Window.partitionBy(*keys).orderBy(*spec.order_exprs())
-    out = joined.withColumn(rn_col, F.col(_OFF) + F.row_number().over(within_day) - 1)
+    joined = keyed.join(counts, on=cell, how="inner")
+    within_cell = Window.partitionBy(*cell).orderBy(*spec.order_exprs())
+    out = joined.withColumn(rn_col, F.col(_OFF) + F.row_number().over(within_cell) - 1)
     if size_col:
         out = out.withColumn(size_col, F.col(_N))
-    return out.drop(*keys, _BUCKET, _OFF, _N)
+    return out.drop(*keys, "_pc_part", "_pc_cell", _BUCKET, _OFF, _N)
 
 
 def _plain(df: DataFrame, spec: PanelSpec, columns: Mapping[str, WindowColumn],
@@ -131,7 +184,7 @@ def _chunked(df: DataFrame, spec: PanelSpec, columns: Mapping[str, WindowColumn]
     if chunk_rows < max(lookback, lookahead, 1):
         raise ValueError("chunk_rows must be at least max(lookback, lookahead, 1)")
     size_tmp = size_col or "_pc_size"
-    pos = with_positions(df, spec, _RN, size_tmp)
+    pos = with_positions(df, spec, _RN, size_tmp, chunk_rows)
     chunk = F.floor(F.col(_RN) / F.lit(chunk_rows)).cast("long")
     offset = F.col(_RN) - chunk * F.lit(chunk_rows)
     shifts = [F.lit(0)]

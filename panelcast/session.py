@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -55,6 +55,15 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+def staged(df: DataFrame, name: str = "staged", partitions: int | None = None) -> DataFrame:
+    """``df`` written once as Parquet under the shared folder and read back: what reads it several
+    times (fits, quantile passes, windows) neither repeats the work before it nor pins executor
+    memory, and a lost executor re-reads files. ``partitions`` deals the rows to as many files."""
+    path = scratch_path(df.sparkSession, name)
+    (df if partitions is None else df.repartition(partitions)).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (unique per call, so
     concurrent jobs never write into each other's output)."""

@@ -4,7 +4,7 @@ from panelcast.sources.adapters import EVENTS_SPEC, READINGS_SPEC, events_panel,
 from panelcast.sources.readings import RAW_SCHEMA, load_profile, read_readings, stage_dataset
 from panelcast.sources.sinks import (
     IMPORTANCE_SCHEMA,
-    METRICS_SCHEMA,
+    metrics_schema,
     metrics_frame,
     preview,
     write_importance_csv,
@@ -14,6 +14,6 @@ from panelcast.sources.sinks import (
 __all__ = [
     "EVENTS_SPEC", "READINGS_SPEC", "events_panel", "lineitem_readings",
     "RAW_SCHEMA", "load_profile", "read_readings", "stage_dataset",
-    "IMPORTANCE_SCHEMA", "METRICS_SCHEMA", "metrics_frame", "preview",
+    "IMPORTANCE_SCHEMA", "metrics_schema", "metrics_frame", "preview",
     "write_importance_csv", "write_metrics_csv",
 ]

@@ -37,10 +37,14 @@ def _half_floor(x: Column) -> Column:
     return F.floor(x * 2).cast("double") / 2.0
 
 
-def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineitem_readings(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    """``partitions`` deals the scanned numbers out before any text is made of them, for a file
+    that is one scan task."""
     li = _table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_shipdate"])
+    if partitions is not None:
+        li = li.repartition(partitions)
     ok = F.col("l_orderkey")
     ship = F.col("l_shipdate")
     date = (F.when(ok % 97 == 0, F.lit("NA"))

@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 METRIC_FIELDS = ("model", "RMSE", "MAE", "MAPE", "R2", "training_time_sec")
-METRICS_SCHEMA = StructType(
-    [StructField("model", StringType(), False)]
-    + [StructField(c, DoubleType(), True) for c in METRIC_FIELDS[1:]])
+
+
+def metrics_schema(*extra: str) -> StructType:
+    """Columns of a metrics table, further text columns (an entity) after them."""
+    return StructType([StructField("model", StringType(), False)]
+                      + [StructField(c, DoubleType(), True) for c in METRIC_FIELDS[1:]]
+                      + [StructField(c, StringType(), True) for c in extra])
+
+
 IMPORTANCE_SCHEMA = StructType([StructField("feature", StringType(), False),
                                 StructField("importance", DoubleType(), True)])
 
@@ -20,7 +26,7 @@ IMPORTANCE_SCHEMA = StructType([StructField("feature", StringType(), False),
 def metrics_frame(spark: SparkSession, rows: Iterable[Mapping[str, object]],
                   extra: Iterable[str] = ()) -> DataFrame:
     """Metric dicts -> DataFrame with the fixed schema; missing keys are null."""
-    fields = list(METRICS_SCHEMA.fields) + [StructField(c, StringType(), True) for c in extra]
+    fields = metrics_schema(*extra).fields
     names = [f.name for f in fields]
     data = [tuple(None if r.get(k) is None else (float(r[k]) if isinstance(f.dataType, DoubleType)
                                                  else str(r[k]))

@@ -26,7 +26,7 @@ SMALL = {"RandomForest": {"numTrees": 5, "maxDepth": 4}, "GBTRegressor": {"maxIt
 
 @pytest.fixture(scope="module")
 def feats(spark):
-    f, boundary, medians, bounds, cached = build_feature_table(lineitem_readings(spark, SF001), READINGS_SPEC)
+    f, boundary, medians, bounds = build_feature_table(lineitem_readings(spark, SF001), READINGS_SPEC)
     out = f.persist()
     out.count()
     if cached is not None:
@@ -79,7 +79,7 @@ def test_run_forecast_schema(spark):
 
 def test_run_forecast_compat(spark):
     res = run_forecast(lineitem_readings(spark, SF001), READINGS_SPEC, compat=True,
-                       models=("LinearRegression",), checkpoint=False)
+                       models=("LinearRegression",), partitions=2)
     assert res.metrics.count() == 1 and res.boundary.kind == "year"
 
 

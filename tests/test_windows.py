@@ -1,12 +1,14 @@
 """Panel windows: hand-checked lead/lag/rolling, and the chunked (skew-safe)
 plan equals the plain plan on real tables."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators.features import forecast_target, lag_features, panel_features, rolling_mean
 from panelcast.operators.sequences import positional_split, sequence_windows
-from panelcast.operators.windows import add_window_columns, with_positions
+from panelcast.operators.windows import add_window_columns, position_cells, with_positions
 from panelcast.panel import PanelSpec
 from panelcast.sources.adapters import EVENTS_SPEC, events_panel
 
@@ -127,3 +129,43 @@ def test_chunked_handles_null_entity_and_time(spark):
     chunked = add_window_columns(df, SPEC, cols, 2, 1, strategy="chunked", chunk_rows=3, rn_col="rn", size_col="n")
     pick = ["k", "lag2", "lead1", "rn", "n"]
     assert sorted(plain.select(*pick).collect()) == sorted(chunked.select(*pick).collect())
+
+
+def _one_day(spark):
+    ev = events_panel(spark, SF001)
+    return ev.withColumns({"one": F.lit("x"), "day": F.lit("2024-01-01").cast("date"), "tie": F.when(F.col("event_id") % 7 > 0, F.col("event_type"))})
+
+
+@pytest.mark.parametrize("ties", [("event_id",), ("tie", "event_id")])
+def test_a_day_of_all_rows_is_cut(spark, ties):
+    """One entity, one day holds every row: no unit that is ranked as a whole exceeds a chunk,
+    and no task of the ranking reads more than a few."""
+    day, spec = _one_day(spark), PanelSpec("one", "day", ties)
+    cells, keys = position_cells(day, spec, 100)
+    sizes = [r["count"] for r in cells.groupBy(*keys).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 100 and len(sizes) >= 10
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = with_positions(day, spec, "rn", "n", 100).withColumn("task", F.spark_partition_id())
+        rows = out.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    per_task = Counter(r["task"] for r in rows)
+    assert max(per_task.values()) <= 400 and len(per_task) > 5
+    key = lambda r: tuple((r[c] is not None, r[c]) for c in ties)
+    assert [r["rn"] for r in sorted(rows, key=key)] == list(range(1000)) and {r["n"] for r in rows} == {1000}
+
+
+def test_cut_days_give_the_same_features(spark):
+    day, spec = _one_day(spark), PanelSpec("one", "day", ("event_id",))
+    both = events_panel(spark, SF001).withColumns({"one": F.when(F.col("event_id") % 5 > 0, F.lit("hot")), "day": F.to_date("ts")})
+    for df, spec in ((day, spec), (both, PanelSpec("one", "day", ("ts", "event_id")))):
+        plain = panel_features(df, spec, "value", strategy="plain")
+        cut = panel_features(df, spec, "value", strategy="chunked", chunk_rows=25)
+        cols = ["event_id", "value_target", "value_lag1", "value_lag24", "value_rolling_24"]
+        rows = [sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in out.select(*cols).collect()) for out in (plain, cut)]
+        assert rows[0] == rows[1] and rows[0]
+    assert position_cells(events_panel(spark, SF001), EVENTS_SPEC)[1] == ["_pc_ke", "_pc_ne", "_pc_kb", "_pc_nb"]  # no day that big
