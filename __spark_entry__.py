@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.operators.audit import row_drop_audit
-from panelcast.operators.calendar import calendar_target, daily_panel
+from panelcast.operators.calendar import calendar_features, calendar_target, daily_panel
 from panelcast.operators.clean import (
     COLUMN_RENAMES,
     ENTITY_RENAME,
@@ -538,7 +538,24 @@ def q_cross_entity_ols(spark, d):
     return out.select("city", *[_r6(c).alias(c) for c in ("RMSE", "MAE")], "n")
 
 
+def q_calendar_features(spark, d):
+    """Calendar lags and rolling means of every event, per user."""
+    out = calendar_features(events_panel(spark, d), "user_id", "ts", "value", (1, 24), (24,), block_days=7)
+    # means of some 2-decimal values end in a 5 at the seventh decimal; nine keep clear of such ties
+    return out.select("event_id", *[F.round(c, 9).alias(c) for c in ("value_lag1d", "value_lag24d", "value_rolling_24d")])
+
+
+def q_calendar_features_hot(spark, d):
+    """The same where one entity holds two thirds of all rows and one is null."""
+    ev = events_panel(spark, d).withColumn("part", _hot("event_id"))
+    out = calendar_features(ev, "part", "ts", "value", (1, 24), (24,))
+    # means of some 2-decimal values end in a 5 at the seventh decimal; nine keep clear of such ties
+    return out.select("event_id", *[F.round(c, 9).alias(c) for c in ("value_lag1d", "value_lag24d", "value_rolling_24d")])
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "calendar_features": q_calendar_features,
+    "calendar_features_hot": q_calendar_features_hot,
     "clean_tokens_cast": q_clean_tokens_cast,
     "parse_dates": q_parse_dates,
     "load_profile": q_load_profile,
@@ -922,7 +939,18 @@ FROM V JOIN R USING (held) WHERE city = held GROUP BY city"""
 _HOT = "CASE WHEN {k} % 3 <> 0 THEN 'hot' WHEN {k} % 6 = 0 THEN 'cold' END"
 _B5 = ", ".join(_r(c) for c in ("q1", "q3", "iqr", "lower", "upper"))
 _PERSIST = _METRICS_SQL.replace("* 100.0, 'NaN'::DOUBLE), 6)", "* 100.0, 'NaN'::DOUBLE), 2)")
+def _calendar_sql(entity: str) -> str:
+    return f"""WITH E AS (SELECT event_id, value, {entity} AS part, CAST(ts AS DATE) AS dd FROM events),
+DY AS (SELECT part, dd, avg(value) AS v FROM E GROUP BY part, dd)
+SELECT E.event_id, round(a.v, 9) AS value_lag1d, round(b.v, 9) AS value_lag24d,
+       round(avg(value) OVER (PARTITION BY E.part ORDER BY E.dd RANGE BETWEEN INTERVAL 23 DAYS PRECEDING AND CURRENT ROW), 9) AS value_rolling_24d
+FROM E LEFT JOIN DY a ON a.part IS NOT DISTINCT FROM E.part AND a.dd = E.dd - 1
+LEFT JOIN DY b ON b.part IS NOT DISTINCT FROM E.part AND b.dd = E.dd - 24"""
+
+
 _ORACLE.update({
+    "calendar_features": _calendar_sql("user_id"),
+    "calendar_features_hot": _calendar_sql(_HOT.format(k="event_id")),
     "metrics_roundtrip": _with(CTE_T) + f"SELECT 'Persistence' AS model, 0.0::DOUBLE AS training_time_sec, * EXCLUDE (n) FROM (SELECT {_PERSIST} FROM ET)",
     "metrics_by_entity_roundtrip": _with(CTE_T) + f"SELECT 'Persistence_' || user_id AS model, CAST(user_id AS VARCHAR) AS user_id, * EXCLUDE (n, user_id) FROM (SELECT user_id, {_PERSIST} FROM ET GROUP BY user_id)",
     "importance_roundtrip": _with(CTE_L, CTE_C) + " UNION ALL ".join(

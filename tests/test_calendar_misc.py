@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.operators.calendar import calendar_target, daily_panel
+from panelcast.operators.calendar import add_range_columns, calendar_features, calendar_target, daily_panel
 from panelcast.operators.evaluate import comparison_table
 from panelcast.operators.split import entity_date_split
 from panelcast.sources.readings import observe_profile
@@ -67,3 +67,24 @@ def test_cross_entity_threads(spark):
         spark.createDataFrame(rows, "city string, x double, AQI_target double"))
     res = cross_entity_validation(df, "city", 2, "LinearRegression", max_workers=2).collect()
     assert sorted(r["city"] for r in res) == ["A", "B"] and all(r["n"] == 30 for r in res)
+
+
+@pytest.mark.parametrize("block", [1, 5, 1024])
+def test_calendar_frames_by_hand(spark, block):
+    rows = [(None, D(2020, 1, 1), 4.0, 0), ("A", D(2019, 12, 30), 1.0, 1), ("A", D(2020, 1, 1), 3.0, 2), ("A", D(2020, 1, 1), 5.0, 3), ("A", D(2020, 1, 2), None, 4),
+            ("A", D(2020, 1, 3), float("nan"), 5), ("A", D(2020, 1, 4), 8.0, 6), ("A", None, 9.0, 7), ("A", D(1969, 12, 31), 2.0, 8), ("A", D(1970, 1, 1), 6.0, 9)]
+    df = spark.createDataFrame(rows, "city string, day date, v double, k int").withColumn("v_lag1d", F.lit("clash"))
+    out = calendar_features(df, "city", "day", "v", (1, 2), (3,), block_days=block)
+    got = {r["k"]: (r["v_lag1d"], r["v_lag2d"], r["v_rolling_3d"]) for r in out.collect()}
+    assert got == {0: (None, None, 4.0), 1: (None, None, 1.0), 2: (None, 1.0, 3.0), 3: (None, 1.0, 3.0), 4: (4.0, None, 4.0),
+                   5: (None, 4.0, 4.0), 6: (None, None, 8.0), 7: (None, None, None), 8: (None, None, 2.0), 9: (2.0, None, 4.0)}
+    assert calendar_features(df.filter("false"), "city", "day", "v").collect() == []
+
+
+def test_frames_ahead_cross_blocks(spark):
+    df = spark.range(30).select(F.lit("A").alias("e"), F.expr("date_add(date'2020-01-01', cast(id as int))").alias("d"), F.col("id").alias("x"))
+    cols = {"s": lambda w: F.sum("x").over(w.rangeBetween(-2, 3))}
+    got = {r["x"]: r["s"] for r in add_range_columns(df, "e", "d", cols, 2, 3, block_days=4).collect()}
+    assert got == {x: sum(range(max(0, x - 2), min(30, x + 4))) for x in range(30)}
+    with pytest.raises(ValueError):
+        add_range_columns(df, "e", "d", cols, 2, 3, block_days=0)
