@@ -422,6 +422,18 @@ def q_csv_scan(spark, d):
     return read_readings(spark, ["hdfs://no-such-host.invalid/readings.csv", path]).select("location", "so2", "no2", "rspm", "spm", "pm2_5", "date")
 
 
+def q_csv_folder(spark, d):
+    """A folder of station files of three layouts: columns in order, in reverse, and without ``spm``."""
+    df = lineitem_readings(spark, d).withColumn("stn_code", F.concat_ws("-", *KEYS))
+    df = df.select("l_orderkey", *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in RAW_COLUMNS])
+    path = scratch_path(spark, "station_files")
+    layouts = (RAW_COLUMNS, RAW_COLUMNS[::-1], [c for c in RAW_COLUMNS if c != "spm"])
+    for i, names in enumerate(layouts):
+        part = df.filter(F.col("l_orderkey") % 3 == i).select(*names)
+        part.write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read_readings(spark, path, missing="null").select("stn_code", "location", "so2", "no2", "rspm", "spm", "pm2_5", "date")
+
+
 def q_aqi_gap_round(spark, d):
     df = _clean(spark, d)
     df = compute_aqi(fill_values(df, fit_medians(df, POLLUTANTS)), gap_policy="round")
@@ -608,6 +620,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "preview": q_preview,
     "select_existing": q_select_existing,
     "csv_scan": q_csv_scan,
+    "csv_folder": q_csv_folder,
     "aqi_gap_round": q_aqi_gap_round,
     "iqr_filter_by_entity": q_iqr_filter_by_entity,
     "iqr_bounds_hot_entity": q_iqr_bounds_hot_entity,
@@ -960,6 +973,8 @@ _ORACLE.update({
     "select_existing": _with(CTE_L, CTE_C) + "SELECT l_orderkey, l_linenumber, l_partkey, spm, city FROM C",
     # an empty field of a CSV file is a null
     "csv_scan": _with(CTE_L) + "SELECT location, nullif(so2, '') AS so2, nullif(no2, '') AS no2, nullif(rspm, '') AS rspm, nullif(spm, '') AS spm, pm2_5, date FROM L",
+    "csv_folder": _with(CTE_L) + """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS stn_code, location, nullif(so2, '') AS so2, nullif(no2, '') AS no2,
+  nullif(rspm, '') AS rspm, CASE WHEN l_orderkey % 3 <> 2 THEN nullif(spm, '') END AS spm, pm2_5, date FROM L""",
     "aqi_gap_round": _with(CTE_L, CTE_C, CTE_I) + f"SELECT l_orderkey, l_linenumber, l_partkey, round({_aqi_sql('round({})')}, 6) AS AQI FROM I",
     "iqr_filter_by_entity": _with(CTE_L, CTE_C, CTE_I, CTE_A) + """,
 Q AS (SELECT city, quantile_disc(AQI, 0.25) AS q1, quantile_disc(AQI, 0.75) AS q3 FROM A WHERE AQI IS NOT NULL GROUP BY city)

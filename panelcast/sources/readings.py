@@ -3,7 +3,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -22,39 +24,92 @@ RAW_COLUMNS = (
 RAW_SCHEMA = StructType([StructField(c, StringType(), True) for c in RAW_COLUMNS])
 
 
+def file_headers(spark: SparkSession, path: str, sep: str = ",") -> dict[tuple[str, ...], list[str]]:
+    """Header of each file under ``path`` (any Hadoop file system, compressed or not) -> its files.
+
+    Only the listing and the first line of each file are read, by a few threads of the driver: one name a
+    file, as the scan itself lists them. Empty files have no header and are left out.
+    """
+    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def first_line(file: str) -> str | None:
+        where = jvm.org.apache.hadoop.fs.Path(file)
+        stream = where.getFileSystem(conf).open(where)
+        try:
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(where)
+            text = codec.createInputStream(stream) if codec is not None else stream
+            return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8")).readLine()
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        lines = list(pool.map(first_line, files))
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for file, line in zip(files, lines):
+        if line:
+            names = tuple(n.strip() for n in next(csv.reader([line.lstrip("\ufeff")], delimiter=sep)))
+            layouts.setdefault(names, []).append(file)
+    return layouts
+
+
+def _by_header(spark: SparkSession, path: str, schema: StructType, missing: str) -> DataFrame:
+    """One scan per header layout, its columns taken by name, all of them united."""
+    layouts = file_headers(spark, path)
+    if not layouts:
+        raise ValueError(f"{path}: no file with a header")
+    found = None
+    for names, files in sorted(layouts.items()):
+        lacking = [f.name for f in schema.fields if f.name not in names]
+        if lacking and missing == "error":
+            raise ValueError(f"{files[0]}: no column {', '.join(lacking)} in the header")
+        # by position within a layout; names that repeat or are not wanted stay unread
+        raw = StructType([StructField(f"_c{i}", StringType(), True) for i in range(len(names))])
+        part = spark.read.schema(raw).option("header", True).option("enforceSchema", True).csv(path if len(layouts) == 1 else files)
+        place = {n: f"_c{i}" for i, n in reversed(list(enumerate(names)))}
+        part = part.select(*[(F.col(place[f.name]) if f.name in place else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def read_readings(spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv",
                   schema: StructType | None = RAW_SCHEMA, header: bool = True,
-                  infer_schema: bool = False) -> DataFrame:
+                  infer_schema: bool = False, missing: str = "error", verify: str = "first") -> DataFrame:
     """Read the first candidate location that can be read (any Hadoop FS scheme).
 
-    Whatever keeps a location from being resolved — no such path, no such host, no
-    such file system — moves on to the next; the error names every cause. With a
-    fixed schema a CSV's columns are taken by the names in its header, in any order
-    (only the header is read beforehand); further columns are left out and a missing one
-    is an error, not a further location. Set ``schema=None, infer_schema=True`` for
-    inferred types (an eager pass, and types that depend on file content).
+    Whatever keeps a location from being resolved or read — no such path, host or file system, a
+    damaged file — moves on to the next; the error names every cause. ``verify`` says how far that is
+    looked at: ``first`` reads the first row, ``count`` counts all rows (one pass over the data, which
+    finds any damaged file), ``none`` reads nothing. With a fixed schema a CSV file's columns are taken
+    by the names in its own header, in any order and differing from file to file of a folder; further columns
+    are left out, and a missing one is an error (not a further location), or null with ``missing="null"``. Set
+    ``schema=None, infer_schema=True`` for inferred types (an eager pass, and types that
+    depend on file content).
     """
+    if missing not in ("error", "null") or verify not in ("first", "count", "none"):
+        raise ValueError("missing is error or null, verify is first, count or none")
     candidates = [paths] if isinstance(paths, str) else [p for p in paths if p]
     errors = []
     for path in candidates:
         try:
-            reader = spark.read.format(fmt)
-            if fmt == "csv":
-                reader = reader.option("header", header)
-                if schema is None:
-                    reader = reader.option("inferSchema", infer_schema)
-            if schema is not None and not (fmt == "csv" and header):
-                reader = reader.schema(schema)
-            found = reader.load(path)
+            if fmt == "csv" and header and schema is not None:
+                found = _by_header(spark, path, schema, missing)
+            else:
+                reader = spark.read.format(fmt)
+                if fmt == "csv":
+                    reader = reader.option("header", header)
+                    if schema is None:
+                        reader = reader.option("inferSchema", infer_schema)
+                found = (reader if schema is None else reader.schema(schema)).load(path)
+            if verify == "first":
+                found.isEmpty()
+            elif verify == "count":
+                # every column, as a count alone would not parse the rows
+                found.agg(*[F.count(F.col(f"`{c}`")) for c in found.columns]).collect()
         except (PySparkException, Py4JJavaError) as exc:
             errors.append(f"{path}: {type(exc).__name__}: {str(exc).strip().splitlines()[0][:200]}")
             continue
-        if schema is None or not (fmt == "csv" and header):
-            return found
-        missing = [f.name for f in schema.fields if f.name not in found.columns]
-        if missing:
-            raise ValueError(f"{path}: no column {', '.join(missing)} in the header")
-        return found.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema.fields])
+        return found
     raise FileNotFoundError("no readable data location: " + "; ".join(errors or ["none given"]))
 
 
