@@ -58,6 +58,7 @@ from panelcast.panel import PanelSpec
 from panelcast.sources.adapters import EVENTS_SPEC, READINGS_SPEC, events_panel, lineitem_readings
 from panelcast.plans.pipeline import build_feature_table, run_preprocessing
 from panelcast.sources.readings import RAW_COLUMNS, load_profile, read_readings, stage_dataset
+from panelcast.streaming.panel import ROCKSDB, panel_feature_stream
 from panelcast.sources.sinks import IMPORTANCE_SCHEMA, metrics_schema, preview, write_importance_csv, write_metrics_csv
 from panelcast.session import scratch_path, staged
 
@@ -565,7 +566,32 @@ def q_calendar_features_hot(spark, d):
     return out.select("event_id", *[F.round(c, 9).alias(c) for c in ("value_lag1d", "value_lag24d", "value_rolling_24d")])
 
 
+def q_stream_panel_features(spark, d):
+    """Events arriving up to a day late, in micro-batches of six days, through the stateful stream. A last row of
+    another user moves the watermark past all others."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    ev = events_panel(spark, d).select("user_id", "ts", "event_id", "value")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(86_400))
+    ev = ev.withColumn("batch", F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) + late) / (6 * 86_400)))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit("2200-01-01").cast("timestamp_ntz").alias("ts"),
+                                F.lit(-1).cast("long").alias("event_id"), F.lit(0.0).alias("value"))
+    src, state, out = (scratch_path(spark, n) for n in ("stream-in", "stream-state", "stream-out"))
+    for (batch,) in ev.select("batch").distinct().orderBy("batch").collect():  # one a six days
+        ev.filter(F.col("batch") == batch).drop("batch").coalesce(1).write.mode("append").parquet(src)
+    end.write.mode("append").parquet(src)
+    before = spark.conf.get(store)
+    spark.conf.set(store, ROCKSDB)
+    try:
+        stream = spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        made = panel_feature_stream(stream, EVENTS_SPEC, "value", "1 day")
+        made.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema(made.schema).parquet(out).select(*EKEYS, "value", "value_target", "value_lag1", "value_lag24", _r6("value_rolling_24").alias("value_rolling_24"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "stream_panel_features": q_stream_panel_features,
     "calendar_features": q_calendar_features,
     "calendar_features_hot": q_calendar_features_hot,
     "clean_tokens_cast": q_clean_tokens_cast,
@@ -962,6 +988,10 @@ LEFT JOIN DY b ON b.part IS NOT DISTINCT FROM E.part AND b.dd = E.dd - 24"""
 
 
 _ORACLE.update({
+    "stream_panel_features": f"""SELECT * FROM (
+  SELECT user_id, ts, event_id, value, lead(value, 1) OVER w AS value_target, lag(value, 1) OVER w AS value_lag1, lag(value, 24) OVER w AS value_lag24,
+         round(avg(value) OVER ({_EV_ORDER} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 6) AS value_rolling_24
+  FROM events WINDOW w AS ({_EV_ORDER})) WHERE value_target IS NOT NULL""",
     "calendar_features": _calendar_sql("user_id"),
     "calendar_features_hot": _calendar_sql(_HOT.format(k="event_id")),
     "metrics_roundtrip": _with(CTE_T) + f"SELECT 'Persistence' AS model, 0.0::DOUBLE AS training_time_sec, * EXCLUDE (n) FROM (SELECT {_PERSIST} FROM ET)",

@@ -1,11 +1,11 @@
-"""Streaming use of the row-level steps.
+"""Streaming forms of the pipeline's steps.
 
-The studied pipeline is batch only. Its row-level steps (token cleaning,
-casts, date parsing, median fill with medians fitted in batch, index) need
-no state, so they apply unchanged to a ``readStream`` source; this module
-wires them up. Panel windows (lead/lag/rolling) are not offered on streams.
+The row-level steps (token cleaning, casts, date parsing, median fill with medians fitted in batch, index) need
+no state and apply unchanged to a ``readStream`` source (``indexed_stream``). Lead, lag and rolling features
+keep state per entity (``panel_feature_stream``).
 """
 
+from panelcast.streaming.panel import panel_feature_stream
 from panelcast.streaming.readings import indexed_stream
 
-__all__ = ["indexed_stream"]
+__all__ = ["indexed_stream", "panel_feature_stream"]
