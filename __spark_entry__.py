@@ -44,6 +44,7 @@ from panelcast.operators.features import (
 )
 from panelcast.operators.impute import fill_values, fit_medians, medians_frame
 from panelcast.operators.index import add_sub_indices, compute_aqi
+from panelcast.operators.joins import asof_join, interval_join
 from panelcast.operators.outliers import filter_iqr, filter_iqr_by_group, fit_iqr_bounds, iqr_bounds_frame, within
 from panelcast.operators.sequences import fit_label_scaler, positional_split, sequence_windows
 from panelcast.operators.split import (
@@ -590,7 +591,54 @@ def q_stream_panel_features(spark, d):
     return spark.read.schema(made.schema).parquet(out).select(*EKEYS, "value", "value_target", "value_lag1", "value_lag24", _r6("value_rolling_24").alias("value_rolling_24"))
 
 
+def _last_views(ev: DataFrame, key: str) -> DataFrame:
+    views = ev.filter("event_type = 'view'").select(key, "ts", F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    out = asof_join(ev, views, key, "ts", ties=["view_id"], exact=False, chunk_rows=2_000)
+    return out.select("event_id", "view_id", "view_value")
+
+
+def q_asof_join(spark, d):
+    """The last view of the same user before each event."""
+    return _last_views(events_panel(spark, d), "user_id")
+
+
+def q_asof_join_hot(spark, d):
+    """The same by a key that holds two thirds of all rows, and null for some."""
+    return _last_views(events_panel(spark, d).withColumn("part", _hot("event_id")), "part")
+
+
+def q_asof_join_forward(spark, d):
+    """The first purchase of the same user at or after each event."""
+    ev = events_panel(spark, d)
+    bought = ev.filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase_id"))
+    return asof_join(ev, bought, "user_id", "ts", ties=["purchase_id"], direction="forward").select("event_id", "purchase_id")
+
+
+def _spans(ev: DataFrame, key: str) -> DataFrame:
+    """Spans of some hours from every signup on, one in eleven of 20 days."""
+    hours = F.when(F.col("event_id") % 11 == 0, 480).otherwise(1 + F.col("event_id") % 7).cast("int")
+    return ev.filter("event_type = 'signup'").select(key, F.col("event_id").alias("span_id"), F.col("ts").alias("lo"),
+                                                     F.timestamp_add("HOUR", hours, F.col("ts")).alias("hi"))
+
+
+def q_interval_join(spark, d):
+    ev = events_panel(spark, d)
+    return interval_join(ev, _spans(ev, "user_id"), "user_id", "ts", "lo", "hi").select("event_id", "span_id")
+
+
+def q_interval_join_hot(spark, d):
+    """Events within the spans of their part, one part with two thirds of all rows: counted per event."""
+    ev = events_panel(spark, d).withColumn("part", _hot("event_id"))
+    met = interval_join(ev, _spans(ev, "part"), "part", "ts", "lo", "hi", cell_rows=1_000)
+    return met.groupBy("event_id").agg(F.count(F.lit(1)).alias("spans"), F.sum("span_id").alias("span_sum"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "asof_join": q_asof_join,
+    "asof_join_hot": q_asof_join_hot,
+    "asof_join_forward": q_asof_join_forward,
+    "interval_join": q_interval_join,
+    "interval_join_hot": q_interval_join_hot,
     "stream_panel_features": q_stream_panel_features,
     "calendar_features": q_calendar_features,
     "calendar_features_hot": q_calendar_features_hot,
@@ -987,7 +1035,24 @@ FROM E LEFT JOIN DY a ON a.part IS NOT DISTINCT FROM E.part AND a.dd = E.dd - 1
 LEFT JOIN DY b ON b.part IS NOT DISTINCT FROM E.part AND b.dd = E.dd - 24"""
 
 
+def _asof_sql(key: str) -> str:
+    return f"""WITH E AS (SELECT *, {key} AS k FROM events),
+V AS (SELECT k, ts, event_id AS view_id, value AS view_value FROM E WHERE event_type = 'view')
+SELECT E.event_id, V.view_id, V.view_value FROM E ASOF LEFT JOIN V ON E.k = V.k AND E.ts > V.ts"""
+
+
+_SPANS = """S AS (SELECT k, event_id AS span_id, ts AS lo, ts + to_hours(CAST(CASE WHEN event_id % 11 = 0 THEN 480 ELSE 1 + event_id % 7 END AS INTEGER)) AS hi
+  FROM E WHERE event_type = 'signup')"""
+
 _ORACLE.update({
+    "asof_join": _asof_sql("user_id"),
+    "asof_join_hot": _asof_sql(_HOT.format(k="event_id")),
+    "asof_join_forward": """WITH P AS (SELECT user_id, ts, event_id AS purchase_id FROM events WHERE event_type = 'purchase')
+SELECT E.event_id, P.purchase_id FROM events E ASOF LEFT JOIN P ON E.user_id = P.user_id AND E.ts <= P.ts""",
+    "interval_join": f"""WITH E AS (SELECT *, user_id AS k FROM events), {_SPANS}
+SELECT E.event_id, S.span_id FROM E JOIN S ON E.k = S.k AND E.ts >= S.lo AND E.ts < S.hi""",
+    "interval_join_hot": f"""WITH E AS (SELECT *, {_HOT.format(k="event_id")} AS k FROM events), {_SPANS}
+SELECT E.event_id, count(*) AS spans, CAST(sum(S.span_id) AS BIGINT) AS span_sum FROM E JOIN S ON E.k = S.k AND E.ts >= S.lo AND E.ts < S.hi GROUP BY 1""",
     "stream_panel_features": f"""SELECT * FROM (
   SELECT user_id, ts, event_id, value, lead(value, 1) OVER w AS value_target, lag(value, 1) OVER w AS value_lag1, lag(value, 24) OVER w AS value_lag24,
          round(avg(value) OVER ({_EV_ORDER} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 6) AS value_rolling_24
