@@ -34,6 +34,8 @@ ORDER, DECAY = 3, 0.6
 MAX_WORD = 24
 #: Expected labelled documents of each class that the machine is fitted on.
 SAMPLE_DOCS = 2_500
+#: Ids that are broadcast at most (some 16 bytes each); more are joined by shuffling.
+MOST_BROADCAST = 100_000
 LANDMARKS_TOXIC, LANDMARKS_CLEAN = 48, 16
 GRAMS = (4, 5, 6)
 #: A gram names toxic words from this share of its (class-balanced) documents and likelihood ratio on.
@@ -246,15 +248,19 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id
     """Fit on about ``sample_docs`` labelled documents a class (by a hash of the id) for which ``train``
     holds. Null labels and texts take no part; of repeated labels of one id the largest counts."""
     given = labels.filter(F.col(toxic).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(toxic).cast("int").alias("y"))
-    rows = (docs.filter(train & F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
-            .join(given, "_id"))
-    sizes = {r["y"]: r["n"] for r in docs.filter(train & F.col(text).isNotNull()).select(F.col(doc_id).alias("_id")).join(given, "_id")
-             .groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usable = docs.filter(train & F.col(text).isNotNull())
+    # ids and labels alone are joined; texts are read for the few ids drawn
+    known = stored(usable.select(F.col(doc_id).alias("_id")).join(given, "_id"), "toxic-ids")
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:  # nothing to tell apart
         return ToxicModel([], np.zeros(0), 0.0, 1.0, -5.0 if 1 not in sizes else 5.0)
     share = F.when(F.col("y") == 1, min(1.0, sample_docs / sizes[1])).otherwise(min(1.0, sample_docs / sizes[0]))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(6), F.col("_id").cast("string")), 11).cast("double") / F.lit(2.0**53)
-    sample = stored(_without_copies(rows.filter(draw < share)), "toxic-sample")
+    drawn = stored(known.filter(draw < share).distinct(), "toxic-drawn")
+    if drawn.count() <= MOST_BROADCAST:
+        drawn = F.broadcast(drawn)
+    rows = usable.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(drawn, "_id")
+    sample = stored(_without_copies(rows), "toxic-sample")
 
     def count(batches):
         for batch in batches:
