@@ -7,9 +7,11 @@ Words are mapped to Nystroem features (kernel values against landmark words time
 inverse root of the landmarks' kernel matrix) and a linear machine is trained on them;
 a sentence, and a document, is as toxic as its worst word.
 
-Only documents are labelled. On a bounded sample, character grams that occur almost only in toxic
-documents name the words that may carry the label; a first machine is trained on these
-words (with inserted characters, too) against words of clean documents, and again with the clean words it scores highest.
+Only whole texts are labelled. On a bounded sample, character grams that occur almost only in toxic
+texts name the words that may carry the label and choose the landmarks; a first machine is trained on these
+words (with inserted characters, too) against words of clean texts, and again with the clean words it scores highest.
+Then it is trained on the labelled texts: each text stands by the word that the machine scores highest, with the
+text's label, and both steps repeat.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ GRAMS = (4, 5, 6)
 #: A gram names toxic words from this share of its (class-balanced) documents and likelihood ratio on.
 PRECISION, EVIDENCE = 0.9, 25.0
 POSITIVES, NEGATIVES = 1_500, 6_000
+#: Rounds of training on the labelled texts, and the weight of a text against that of a word.
+TEXT_ROUNDS, TEXT_COST = 2, 2.0
 CACHED_WORDS = 500_000
 
 
@@ -341,6 +345,28 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id
         close = clean.select("word").mapInArrow(hard, "word string, margin double").filter("margin > -1")
         negatives |= {r["word"][:MAX_WORD] for r in close.orderBy(F.desc("margin"), "word").limit(NEGATIVES).collect()}
 
+    # the labelled texts themselves: each stands by its worst word, the machine is trained on these by the texts' labels
+    for _ in range(TEXT_ROUNDS):
+
+        def witnesses(batches, model=model):
+            for batch in batches:
+                for part in chunks(batch, "text"):
+                    codes, first, distinct = instances(as_strings(part.column(1)))
+                    words = distinct.to_pylist()
+                    m = model.margins(words) if words else np.zeros(0)
+                    worst = [words[codes[a:b][np.argmax(m[codes[a:b]])]] if b > a else None for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(worst, pa.string())], names=["y", "word"])
+
+        seen = sample.mapInArrow(witnesses, "y int, word string").filter("word is not null").collect()  # a word a text of the bounded sample
+        texts_y = np.array([1.0 if r["y"] == 1 else -1.0 for r in seen])
+        worst = [_worst_part(model, r["word"]) for r in seen]
+        lots = (bad, gapped, sorted(negatives - set(bad)), worst)
+        x = np.concatenate([normalised_kernel(part, landmarks, own) @ root for lot in lots for part in (lot[i:i + 512] for i in range(0, len(lot), 512))])
+        y = np.concatenate([np.ones(len(bad) + len(gapped)), -np.ones(len(lots[2])), texts_y])
+        cost = np.concatenate([weight, np.ones(len(gapped) + len(lots[2])), np.full(len(seen), TEXT_COST)])
+        w = _train_svm(x, y, cost)
+        model = ToxicModel(landmarks, root @ w[:-1], float(w[-1]))
+
     def margins(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -352,6 +378,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id
     return model
 
 
+def _worst_part(model: ToxicModel, word: str) -> str:
+    parts = parts_of(word)
+    return parts[0] if len(parts) == 1 else parts[int(np.argmax(model.margins(parts)))]
+
+
 def _document_margins(model: ToxicModel, texts: pa.Array, cache: WordCache | None = None) -> np.ndarray:
     codes, first, distinct = instances(texts)
     if not len(distinct) or not model.landmarks:
