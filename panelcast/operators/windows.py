@@ -102,7 +102,7 @@ def day_cuts(keyed: DataFrame, spec: PanelSpec, keys: list[str], chunk_rows: int
     return days.select(*keys, F.filter("_pc_sample", lambda _, i: (i > 0) & (i % half == 0)).alias("_pc_cuts"))
 
 
-def _range_of(key: Column, cuts: Column) -> Column:
+def range_of(key: Column, cuts: Column) -> Column:
     """How many of the ascending cuts are at most ``key``, by halving."""
     steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cuts) + 1)).cast("int"))
     start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
@@ -136,7 +136,7 @@ def position_cells(df: DataFrame, spec: PanelSpec, chunk_rows: int = DEFAULT_CHU
     if cuts.isEmpty():
         return keyed.withColumn("_pc_part", F.lit(0)), keys
     keyed = keyed.join(cuts, on=keys, how="left")
-    part = F.when(F.col("_pc_cuts").isNull(), 0).otherwise(_range_of(F.struct(*spec.order_cols), F.col("_pc_cuts")))
+    part = F.when(F.col("_pc_cuts").isNull(), 0).otherwise(range_of(F.struct(*spec.order_cols), F.col("_pc_cuts")))
     # one column that stands for the cell: rows dealt by the day alone (for the join above) are dealt anew by it
     keyed = keyed.withColumn("_pc_part", part).drop("_pc_cuts")
     return keyed.withColumn("_pc_cell", F.struct(*keys, "_pc_part")), ["_pc_cell"]
