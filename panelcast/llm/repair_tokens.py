@@ -1,38 +1,45 @@
 """Token ids in Re-Pair compressed blocks with random access.
 
-Documents are encoded in ascending doc_id order and cut into blocks of whole
-documents. In each block frequent pairs of adjacent symbols are replaced by new
-symbols, round after round, until no pair is frequent (or the rounds are used up);
+Documents are encoded where they are read; their ids, two bytes each, are then dealt to ranges
+of (doc_id, hash of the text), so that one id that many rows share is many ranges, and cut into blocks of whole
+documents in that order. In each block frequent pairs of adjacent symbols are replaced by new
+symbols, round after round, until no pair is frequent;
 the block stores its rules, the length each rule expands to, the symbols left and
 where each document's symbols begin. No rule spans documents, so one document is
 decoded from its own symbols.
 
 A round replaces a set of pairs at once: the most frequent ones of which none can
-overlap another (no symbol is a left part of one and a right part of another).
+overlap another (no symbol is a left part of one and a right part of another). A pair of
+equal symbols is replaced from the left of each run.
 The blocks are a Parquet table, sorted by shard and block; a lost task is rewritten by Spark's commit protocol.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.llm.cross_tokens import byte_letters
+from panelcast.llm.routed import runs_of
 from panelcast.llm.words import WordCache, as_strings, chunks, give_back, split_words
+from panelcast.operators.windows import range_of
 from panelcast.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_IDS = 1 << 19
-ROUNDS, RULES_A_ROUND, LEAST = 4, 1024, 8
+RULES_A_ROUND, LEAST = 4096, 8
 CACHED_WORDS = 700_000
-#: Words of letters encoded as one text.
-JOINED = 500
+#: Documents sampled for the ranges of doc_ids, and ranges for each shuffle partition.
+SAMPLED, RANGES = 20_000, 4
 
 _ENCODERS: dict = {}
 
@@ -43,65 +50,48 @@ SCHEMA = ("shard int, block int, n_ids long, doc_ids array<long>, doc_symbols bi
 class WordEncoder:
     """Encodes texts by their words. White space always splits this vocabulary's
     words and A-Z is lowered by it, so a word's ids don't depend on its neighbours;
-    texts that may hold a special token's string are encoded whole."""
+    texts that may hold a special token's string are encoded whole.
+
+    A word of lower-case letters is one piece: its bytes and a word end. A piece's merges are in the order of the ids, so ``tiktoken``
+    finds them from the vocabulary alone (the word end stands as byte 0xFF, which UTF-8 never has); all other
+    words go through the tokenizer itself."""
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.word_end = np.zeros(1 << 16, bool)
-        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache, self.ids, self.at = WordCache(CACHED_WORDS), [], 0
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        of, special = byte_letters(), {t["content"] for t in made["added_tokens"]}
+        ranks = {}
+        for t, i in made["model"]["vocab"].items():
+            if t not in special:
+                body = t.removesuffix("</w>")
+                ranks[bytes(of[c] for c in body) + (b"" if body == t else b"\xff")] = i
+        self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.cache, self.ids, self.at = WordCache(CACHED_WORDS), np.zeros(1 << 16, np.uint16), 0
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> np.ndarray:
-        """(start, length) of each word's ids in the flat store."""
+        """(start, length) of each word's ids in the flat store, which grows by doubling."""
         if self.cache.values is None:
-            self.ids, self.at = [], 0
-        flat, n = self._encoded(words)
-        self.ids = [np.concatenate([*self.ids, flat])]
-        start = self.at + np.cumsum(n) - n
-        self.at += len(flat)
+            self.at = 0
+        ids = [self.piece(w.encode() + b"\xff") if w.isalpha() and w == w.lower() and is_normalized("NFC", w) else None for w in words]
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(rest, self._whole([words[i] for i in rest])):
+            ids[i] = x
+        n = np.array([len(x) for x in ids], np.int64)
+        start, stop = self.at + np.cumsum(n) - n, self.at + int(n.sum())
+        if stop > len(self.ids):
+            grown = np.zeros(max(stop, 2 * len(self.ids)), np.uint16)
+            grown[:self.at] = self.ids[:self.at]
+            self.ids = grown
+        self.ids[self.at:stop] = np.fromiter(chain.from_iterable(ids), np.uint16, stop - self.at)
+        self.at = stop
         return np.stack([start, n], axis=1).astype(np.int32)
 
-    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, ids of each). Words of letters are one piece sequence each, closed by a
-        word end, so many are encoded as one text and told apart by their last ids."""
-        alone = np.fromiter((not w.isalpha() for w in words), bool, len(words))
-        joined = np.flatnonzero(~alone)
-        n = np.zeros(len(words), np.int64)
-        parts: list[np.ndarray | None] = [None] * len(words)
-        groups = [joined[at:at + JOINED] for at in range(0, len(joined), JOINED)]
-        texts = [" ".join([words[i] for i in g]) for g in groups]
-        for g, ids in zip(groups, self._whole(texts)):
-            ids = np.array(ids, np.uint16)
-            stops = np.flatnonzero(self.word_end[ids]) + 1
-            if len(stops) == len(g) and stops[-1] == len(ids):
-                n[g] = np.diff(stops, prepend=0)
-                parts[g[0]] = ids
-            else:  # some letter of these is a word of its own to the vocabulary
-                alone[g] = True
-        single = np.flatnonzero(alone)
-        for i, ids in zip(single, self._whole([words[i] for i in single])):
-            parts[i] = np.array(ids, np.uint16)
-            n[i] = len(ids)
-        # joined groups hold their words' ids in order; put all into the order of ``words``
-        flat = np.concatenate([p for p in parts if p is not None] or [np.zeros(0, np.uint16)])
-        place = np.zeros(len(words), np.int64)
-        at = 0
-        of_group = {int(g[0]): g for g in groups if not alone[g[0]]}
-        for i in np.sort(np.concatenate([single, np.fromiter(of_group, np.int64, len(of_group))])).tolist():
-            g = of_group.get(i)
-            if g is None:
-                place[i] = at
-                at += n[i]
-            else:
-                place[g] = at + np.cumsum(n[g]) - n[g]
-                at += int(n[g].sum())
-        return flat[_ranges(place, n)], n
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with END_ID after each, number of ids of each text)."""
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
@@ -112,7 +102,7 @@ class WordEncoder:
         if len(words):
             spans = self.cache.rows(words, self._learn)
             n, start = spans[codes, 1], spans[codes, 0]
-            ids = self.ids[0][_ranges(start, n)]
+            ids = self.ids[_ranges(start, n)]
         else:
             n, ids = np.zeros(0, np.int64), np.zeros(0, np.uint16)
         upto = np.zeros(len(n) + 1, np.int64)
@@ -149,7 +139,7 @@ def _chosen(left: np.ndarray, right: np.ndarray, count: np.ndarray, most: int) -
     some = some[np.argsort(-count[some], kind="stable")]
     lefts, rights, out = set(), set(), []
     for i, a, b in zip(some.tolist(), left[some].tolist(), right[some].tolist()):
-        if a != b and a not in rights and b not in lefts:
+        if a not in rights and b not in lefts and (a != b or a not in lefts and a not in rights):
             out.append(i)
             lefts.add(a)
             rights.add(b)
@@ -158,8 +148,7 @@ def _chosen(left: np.ndarray, right: np.ndarray, count: np.ndarray, most: int) -
     return np.array(out, np.int64)
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, most: int = RULES_A_ROUND,
-             least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, starts: np.ndarray, most: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair of one block: (rules as pairs, expansion length per rule, symbols left,
     symbols of each document). ``starts``: where documents begin. Symbols from
     2**16 up are rules in order."""
@@ -168,12 +157,16 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, most: in
     head[starts[starts < len(seq)]] = True
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:  # every round makes the sequence shorter
         inside = ~head[1:]
         keys = (seq[:-1] << 32) | seq[1:]
         keys[~inside] = -1
+        # of pairs of equal symbols in a run, every other one counts and can be replaced
+        twin = np.flatnonzero((seq[:-1] == seq[1:]) & inside)
+        if len(twin):
+            new = np.flatnonzero(np.concatenate([[True], np.diff(twin) > 1]))
+            nth = np.arange(len(twin)) - np.repeat(new, np.diff(np.append(new, len(twin))))
+            keys[twin[nth % 2 == 1]] = -1
         ordered = np.sort(keys)
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         count = np.diff(np.append(edge, len(ordered)))
@@ -243,15 +236,32 @@ def decode_document(row, k: int) -> np.ndarray:
     return expand(pairs, np.frombuffer(row["expansions"], "<u4").astype(np.int64), symbols)
 
 
+def _ranges_of_ids(docs: DataFrame, n: int) -> list[tuple]:
+    """At most ``n`` - 1 ascending (doc_id, hash) pairs that cut the rows into even ranges, from a sample of about
+    ``SAMPLED`` rows chosen by a hash; a null id stands as (False, 0, hash)."""
+    rows = docs.count()
+    step = max(1, rows // SAMPLED)
+    some = docs.filter(F.pmod(F.xxhash64(F.lit(2), "doc_id", "tie"), F.lit(step)) == 0).select("doc_id", "tie").collect()
+    keys = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["tie"]) for r in some)
+    return sorted({keys[i * len(keys) // n] for i in range(1, n)} if keys else set())
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Encode all documents in ascending doc_id order (null first, then by text) into blocks under ``path``.
-    A shard is a range of doc_ids (a task); blocks bound what Re-Pair holds at once."""
+    """Encode all documents in ascending doc_id order (null first, then by a hash of the text) into blocks under
+    ``path``. A shard is a range of that order; blocks bound what Re-Pair holds at once."""
 
     def encode(batches):
         if vocabulary not in _ENCODERS:
             _ENCODERS[vocabulary] = WordEncoder(vocabulary)
-        encoder, shard, block = _ENCODERS[vocabulary], TaskContext.get().partitionId(), 0
-        names, ids, lengths, held = [], [], [], 0
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                ids, n = _ENCODERS[vocabulary].encode(as_strings(part.column(3)))
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32) * np.int32(2)
+                made = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], made], names=["shard", "doc_id", "tie", "ids"])
+
+    def blocks(batches):
+        shard, block, names, ids, lengths, held = None, 0, [], [], [], 0
 
         def flush():
             nonlocal names, ids, lengths, held, block
@@ -263,20 +273,35 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, ARROW)], schema=ARROW)
 
         for batch in batches:
-            for part in chunks(batch, "text"):
-                out, n = encoder.encode(as_strings(part.column(1)))
-                names.append(part.column(0))
-                ids.append(out)
-                lengths.append(n)
-                held += len(out)
-                if held >= BLOCK_IDS:
-                    yield flush()
+            shards = batch.column(0).to_numpy()
+            for part in chunks(batch, "ids", BLOCK_IDS):
+                at = shards[:part.num_rows]
+                shards = shards[part.num_rows:]
+                for start, stop in runs_of(at):
+                    if at[start] != shard:
+                        if names:
+                            yield flush()
+                        shard, block = int(at[start]), 0
+                    column = part.column(3).slice(start, stop - start)
+                    off = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+                    names.append(part.column(1).slice(start, stop - start))
+                    ids.append(np.frombuffer(column.buffers()[2], "<u2")[off[0] // 2:off[-1] // 2].astype(np.int32))
+                    lengths.append(np.diff(off).astype(np.int64) // 2)
+                    held += len(ids[-1])
+                    if held >= BLOCK_IDS:
+                        yield flush()
         if names:
             yield flush()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    (rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-     .mapInArrow(encode, SCHEMA).write.parquet(path))
+    rows = rows.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    cuts = _ranges_of_ids(rows, RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), F.col("tie"))
+    held = F.array(*[F.struct(F.lit(a), F.lit(b).cast("long"), F.lit(c).cast("long")) for a, b, c in cuts]) if cuts else None
+    rows = rows.withColumn("shard", F.lit(0) if held is None else range_of(key, held))
+    (rows.select("shard", "doc_id", "tie", "text").mapInArrow(encode, "shard int, doc_id long, tie long, ids binary")
+     .repartition("shard").sortWithinPartitions("shard", "doc_id", "tie")
+     .mapInArrow(blocks, SCHEMA).write.parquet(path))
 
 
 ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
@@ -325,7 +350,7 @@ def token_file(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
     documents before it), n_tokens (with the end id), ids_crc32 per row.
 
     Null and empty texts are documents of the end id alone; null ids come first; rows of one id follow each other
-    by text; an empty table gives no rows; other columns are not read.
+    by a hash of the text; an empty table gives no rows; other columns are not read.
     """
     path = scratch_path(docs.sparkSession, "repair-tokens")
     write_tokens(docs, path, vocabulary, doc_id, text)

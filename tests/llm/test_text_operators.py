@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,32 @@ def test_repair_round_trip():
         assert per_doc.sum() == len(symbols) and (kinds > 3 or size < 100 or len(symbols) < size / 2)
 
 
+def test_runs_of_one_symbol_are_replaced():
+    ids = np.array([4] * 4099 + [5, 4, 4, 4, 5, 5] * 30, np.int32)
+    pairs, lengths, symbols, per_doc = repair_tokens.compress(ids, np.array([0, 1000, 1001, 4099]))
+    assert repair_tokens.expand(pairs, lengths, symbols).tolist() == ids.tolist()
+    assert (pairs[:, 0] == pairs[:, 1]).any() and len(symbols) < 150 and len(per_doc) == 4
+    # no pair is frequent any more
+    seq, head = symbols, np.zeros(len(symbols), bool)
+    head[np.cumsum(per_doc) - per_doc] = True
+    left = Counter((a, b) for a, b, h in zip(seq[:-1].tolist(), seq[1:].tolist(), head[1:]) if not h and a != b)
+    assert max(left.values(), default=0) < repair_tokens.LEAST
+
+
+def test_one_id_is_many_ranges(spark, tokenizer):
+    rows = [(7, f"text {k} " * 20) for k in range(300)] + [(None, f"none {k}") for k in range(100)] + [(k, "own") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    from panelcast.session import scratch_path
+    path = scratch_path(spark, "ranges")
+    repair_tokens.write_tokens(df, path, P.path(repair_tokens.VOCABULARY))
+    shards = [(r["shard"], set(r["doc_ids"])) for r in spark.read.parquet(path).collect()]
+    assert sum(7 in ids for _, ids in shards) > 5 and sum(None in ids for _, ids in shards) > 1
+    got = repair_tokens.read_documents(spark.read.schema(repair_tokens.SCHEMA).parquet(path)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
+    want = Counter((d, zlib.crc32(np.array(_encoded(tokenizer, t), "<u4").tobytes())) for d, t in rows)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == want
+
+
 def test_token_file(spark, edge, empty, tokenizer):
     got = repair_tokens.token_file(edge, P.path(repair_tokens.VOCABULARY)).orderBy("start").collect()
     rows = sorted(((r["doc_id"], r["text"]) for r in edge.collect()), key=lambda r: (r[0] is not None, r[0], r[1] is not None, r[1]))
