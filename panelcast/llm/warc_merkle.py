@@ -19,10 +19,16 @@ RANGE_BITS, FAN_BITS = 18, 4
 ROWS_PER_FILE = 1_000
 
 
-def warc_record(url: Column, payload: Column) -> Column:
-    """Bytes of a WARC resource record; null url or payload as empty."""
-    body = F.coalesce(payload, F.lit("")).cast("binary")
-    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
+#: Date of records whose pages have none.
+DATE = "1970-01-01T00:00:00Z"
+
+
+def warc_record(url: Column, payload: Column, date: str = DATE) -> Column:
+    """Bytes of a WARC resource record; null url or payload as empty. The record id is a name made of a hash
+    of both, so that equal pages give equal records."""
+    url, body = F.coalesce(url, F.lit("")), F.coalesce(payload, F.lit("")).cast("binary")
+    name = F.regexp_replace(F.md5(F.concat(url.cast("binary"), F.lit(b"\0"), body)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"), name, F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), url,
                     F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     return F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
 
@@ -132,8 +138,14 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
 
 def damaged_copy(records: DataFrame, every: int = 500) -> DataFrame:
     """A replica with faults that follow from the record ids: of each ``every`` hash
-    values one record loses its last byte, one has its first byte replaced and one is lost."""
-    h = F.pmod(F.xxhash64(F.lit(9), "record_id", "offset"), F.lit(every))
+    values one record loses its last byte, one has its first byte replaced and one is lost. Where no record
+    has such a value, the three records of the least hashes stand in, so that few records are damaged, too."""
+    whole = F.xxhash64(F.lit(9), "record_id", "offset")
+    h = F.pmod(whole, F.lit(every))
+    if records.filter(h < 3).isEmpty():
+        least = [r[0] for r in records.select(whole.alias("h")).distinct().orderBy("h").limit(3).collect()]
+        for k, value in enumerate(least):
+            h = F.when(whole == value, k).otherwise(h)
     rec = F.col("record")
     cut = F.substring(rec, F.lit(1), F.octet_length(rec) - 1)
     swapped = F.concat(F.lit(b"#"), F.substring(rec, F.lit(2), F.octet_length(rec)))
@@ -141,9 +153,10 @@ def damaged_copy(records: DataFrame, every: int = 500) -> DataFrame:
 
 
 def audit_pages(pages: DataFrame, every: int = 500) -> DataFrame:
-    """Archive of all pages against a replica damaged by ``damaged_copy``: the faults found."""
-    primary = stored(archive(pages), "warc-primary")
-    replica = stored(damaged_copy(primary, every), "warc-replica")
+    """Archive of all pages against a replica damaged by ``damaged_copy``: the faults found. Both
+    replicas are tables of records in the shared folder, their bytes compressed."""
+    primary = stored(archive(pages), "warc-primary", "zstd")
+    replica = stored(damaged_copy(primary, every), "warc-replica", "zstd")
     found = audit(primary, replica)
     ids = primary.select("file", "offset", "record_id")
     return found.join(ids, ["file", "offset"], "left").select("file", "offset", "length", "record_id", "fault")
