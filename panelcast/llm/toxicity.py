@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ POSITIVES, NEGATIVES = 1_500, 6_000
 #: Rounds of training on the labelled texts, and the weight of a text against that of a word.
 TEXT_ROUNDS, TEXT_COST = 2, 2.0
 CACHED_WORDS = 500_000
+#: Entries of a value table that is indexed by the characters directly; larger ones are searched.
+MOST_DENSE = 1 << 20
 
 
 def _codes(words: Sequence[str], width: int) -> np.ndarray:
@@ -117,6 +121,20 @@ def parts_of(word: str) -> list[str]:
     return [word[i:i + MAX_WORD] for i in range(0, len(word) - MAX_WORD // 2, MAX_WORD // 2)]
 
 
+@cache
+def _places(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all subsequences of ORDER characters of a word, and the decay of the span of each."""
+    places = np.array(list(combinations(range(width), ORDER)), np.int64).reshape(-1, ORDER)
+    return places, DECAY ** (places[:, -1] - places[:, 0] + 1.0)
+
+
+def _joined(code: np.ndarray, places: np.ndarray, base: int) -> np.ndarray:
+    key = code[:, places[:, 0]].astype(np.int64)
+    for k in range(1, ORDER):
+        key = key * base + code[:, places[:, k]]
+    return key
+
+
 @dataclass
 class ToxicModel:
     """Landmarks, their weights in a word's margin, bias, and the scale from a margin to a probability."""
@@ -126,23 +144,71 @@ class ToxicModel:
     bias: float
     slope: float = 1.0
     offset: float = 0.0
+    table: tuple | None = field(default=None, repr=False, compare=False)
 
     def margins(self, words: Sequence[str]) -> np.ndarray:
-        """Margin of each word: the largest of its parts."""
+        """Margin of each word: the largest of its parts. The kernel is a scalar product over subsequences of
+        ORDER characters, so the weighted sum over the landmarks is one value for each such
+        subsequence, and a word adds up the values of its own."""
         out = np.full(len(words), -np.inf)
         rows, parts = [], []
         for k, w in enumerate(words):
             for p in parts_of(w):
                 rows.append(k)
                 parts.append(p)
-        own = _self_kernel(self.landmarks)
-        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
-        for at in range(0, len(order), 512):
-            some = order[at:at + 512]
-            made = self.bias + normalised_kernel([parts[i] for i in some], self.landmarks, own) @ self.weights
-            np.maximum.at(out, [rows[i] for i in some], made)
+        values = self._values()
+        by: dict[int, list[int]] = {}
+        for i, p in enumerate(parts):
+            by.setdefault(len(p), []).append(i)
+        rows = np.array(rows, np.int64)
+        for width, all_ in by.items():
+            if width < ORDER:
+                np.maximum.at(out, rows[all_], self.bias)
+                continue
+            places, decay = _places(width)
+            most = max(1, (1 << 20) // len(places))
+            for at in range(0, len(all_), most):
+                some = all_[at:at + most]
+                held = [parts[i] for i in some]
+                met = values(_codes(held, width), places) @ decay
+                own = np.sqrt(_self_kernel(held))
+                np.maximum.at(out, rows[some], self.bias + np.divide(met, own, out=np.zeros(len(met)), where=own > 0))
         return out
 
+    def _values(self):
+        """Function (character codes of words, places of subsequences) -> value of each subsequence."""
+        if self.table is None:
+            letters = np.unique(_codes(self.landmarks, max(1, max(map(len, self.landmarks), default=1))))
+            letters = letters[letters > 0]
+            base = len(letters) + 1  # 0 for characters of no landmark
+            keys, sums = [], []
+            for w, v, k in zip(self.landmarks, self.weights, _self_kernel(self.landmarks)):
+                if len(w) >= ORDER and k > 0:
+                    places, decay = _places(len(w))
+                    code = np.searchsorted(letters, _codes([w], len(w)))[0] + 1
+                    keys.append(_joined(code[None], places, base)[0])
+                    sums.append(decay * v / np.sqrt(k))
+            key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            kept, at = np.unique(key, return_inverse=True)
+            total = np.bincount(at, np.concatenate(sums), len(kept)) if keys else np.zeros(0)
+            dense = None
+            if base**ORDER <= MOST_DENSE:
+                dense = np.zeros(base**ORDER)
+                dense[kept] = total
+            self.table = letters, base, kept, total, dense
+        letters, base, kept, total, dense = self.table
+
+        def values(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(letters, codes) if len(letters) else np.zeros(codes.shape, np.int64)
+            code = np.where(letters[np.minimum(at, len(letters) - 1)] == codes, at + 1, 0) if len(letters) else at
+            key = _joined(code, places, base)
+            if dense is not None:
+                return dense[key]
+            spot = np.minimum(np.searchsorted(kept, key), len(kept) - 1)
+            return np.where(kept[spot] == key, total[spot], 0.0)
+
+        return values
+
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500)))
 
