@@ -38,6 +38,7 @@ END_ID = 1
 BLOCK_IDS = 1 << 19
 RULES_A_ROUND, LEAST = 4096, 8
 CACHED_WORDS = 700_000
+SLOT_BITS, _SPREAD = 18, np.uint64(0x9E3779B97F4A7C15)
 #: Documents sampled for the ranges of doc_ids, and ranges for each shuffle partition.
 SAMPLED, RANGES = 20_000, 4
 
@@ -68,7 +69,7 @@ class WordEncoder:
             if t not in special:
                 body = t.removesuffix("</w>")
                 ranks[bytes(of[c] for c in body) + (b"" if body == t else b"\xff")] = i
-        self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.cache, self.ids, self.at = WordCache(CACHED_WORDS), np.zeros(1 << 16, np.uint16), 0
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
@@ -78,7 +79,8 @@ class WordEncoder:
         """(start, length) of each word's ids in the flat store, which grows by doubling."""
         if self.cache.values is None:
             self.at = 0
-        ids = [self.piece(w.encode() + b"\xff") if w.isalpha() and w == w.lower() and is_normalized("NFC", w) else None for w in words]
+        piece = self.piece
+        ids = [piece(w.encode() + b"\xff") if w.isalpha() and (w.isascii() or w == w.lower() and is_normalized("NFC", w)) else None for w in words]
         rest = [i for i, x in enumerate(ids) if x is None]
         for i, x in zip(rest, self._whole([words[i] for i in rest])):
             ids[i] = x
@@ -152,38 +154,48 @@ def compress(ids: np.ndarray, starts: np.ndarray, most: int = RULES_A_ROUND, lea
     """Re-Pair of one block: (rules as pairs, expansion length per rule, symbols left,
     symbols of each document). ``starts``: where documents begin. Symbols from
     2**16 up are rules in order."""
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.int32)
     head = np.zeros(len(seq), bool)
     head[starts[starts < len(seq)]] = True
     rules: list[np.ndarray] = []
     n_rules = 0
     while len(seq) > 1:  # every round makes the sequence shorter
-        inside = ~head[1:]
-        keys = (seq[:-1] << 32) | seq[1:]
-        keys[~inside] = -1
+        keys = seq[:-1].astype(np.int64)
+        keys <<= 32
+        keys |= seq[1:]
+        keys[head[1:]] = -1
         # of pairs of equal symbols in a run, every other one counts and can be replaced
-        twin = np.flatnonzero((seq[:-1] == seq[1:]) & inside)
+        twin = np.flatnonzero(seq[:-1] == seq[1:])
         if len(twin):
-            new = np.flatnonzero(np.concatenate([[True], np.diff(twin) > 1]))
+            twin = twin[~head[twin + 1]]
+            new = np.flatnonzero(np.diff(twin, prepend=-2) > 1)
             nth = np.arange(len(twin)) - np.repeat(new, np.diff(np.append(new, len(twin))))
             keys[twin[nth % 2 == 1]] = -1
-        ordered = np.sort(keys)
+        # pairs that share a slot of a hash table with few others can't be frequent; only the rest is sorted
+        slot = keys.view(np.uint64) * _SPREAD
+        slot >>= np.uint64(64 - SLOT_BITS)
+        slot = slot.view(np.int64)
+        maybe = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])
+        maybe = maybe[keys[maybe] >= 0]
+        some = keys[maybe]
+        ordered = np.sort(some)
+        if not len(ordered):
+            break
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         count = np.diff(np.append(edge, len(ordered)))
-        pair = ordered[edge]
-        often = (count >= least) & (pair >= 0)
-        pair, count = pair[often], count[often]
+        often = count >= least
+        pair, count = ordered[edge[often]], count[often]
         take = _chosen(pair >> 32, pair & 0xFFFFFFFF, count, most)
         if not len(take):
             break
         picked = np.sort(pair[take])
-        top = (1 << 16) + n_rules + len(picked)
-        is_left, is_right = np.zeros(top, bool), np.zeros(top, bool)
-        is_left[picked >> 32] = True
-        is_right[picked & 0xFFFFFFFF] = True
-        maybe = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & inside)
-        spot = np.minimum(np.searchsorted(picked, keys[maybe]), len(picked) - 1)
-        hit = picked[spot] == keys[maybe]
+        part = np.zeros((1 << 16) + n_rules + len(picked), np.uint8)
+        part[picked >> 32] |= 1
+        part[picked & 0xFFFFFFFF] |= 2
+        near = (part[some >> 32] & (part[some & 0xFFFFFFFF] >> 1) & 1).astype(bool)
+        maybe, some = maybe[near], some[near]
+        spot = np.minimum(np.searchsorted(picked, some), len(picked) - 1)
+        hit = picked[spot] == some
         at = maybe[hit]
         seq[at] = (1 << 16) + n_rules + spot[hit]
         keep = np.ones(len(seq), bool)
@@ -192,15 +204,15 @@ def compress(ids: np.ndarray, starts: np.ndarray, most: int = RULES_A_ROUND, lea
         rules.append(np.stack([picked >> 32, picked & 0xFFFFFFFF], axis=1))
         n_rules += len(picked)
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return pairs, expansion_lengths(pairs), seq, np.diff(np.append(np.flatnonzero(head), len(seq)))
+    return pairs, expansion_lengths(pairs), seq.astype(np.int64), np.diff(np.append(np.flatnonzero(head), len(seq)))
 
 
 def expansion_lengths(pairs: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(pairs), np.int64)
-    size = lambda s: out[s - (1 << 16)] if s >= 1 << 16 else 1
-    for i, (a, b) in enumerate(pairs.tolist()):
-        out[i] = size(a) + size(b)
-    return out
+    """Ids that each rule stands for; a rule is made of ids and earlier rules."""
+    size = [1] * (1 << 16)
+    for a, b in pairs.tolist():
+        size.append(size[a] + size[b])
+    return np.array(size[1 << 16:], np.int64)
 
 
 def expand(pairs: np.ndarray, lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
