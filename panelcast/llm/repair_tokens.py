@@ -37,7 +37,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_IDS = 1 << 19
 RULES_A_ROUND, LEAST = 4096, 8
-CACHED_WORDS = 700_000
+CACHED_WORDS = 2_000_000
 SLOT_BITS, _SPREAD = 18, np.uint64(0x9E3779B97F4A7C15)
 #: Documents sampled for the ranges of doc_ids, and ranges for each shuffle partition.
 SAMPLED, RANGES = 20_000, 4
@@ -159,26 +159,26 @@ def compress(ids: np.ndarray, starts: np.ndarray, most: int = RULES_A_ROUND, lea
     head[starts[starts < len(seq)]] = True
     rules: list[np.ndarray] = []
     n_rules = 0
-    while len(seq) > 1:  # every round makes the sequence shorter
-        keys = seq[:-1].astype(np.int64)
-        keys <<= 32
-        keys |= seq[1:]
-        keys[head[1:]] = -1
+    # where a pair may be frequent: at first anywhere, later where one was or where a new symbol lies; other pairs only get rarer
+    near = np.arange(max(len(seq) - 1, 0))
+    while len(near):  # every round makes the sequence shorter
+        near = near[~head[near + 1]]
+        left, right = seq[near], seq[near + 1]
+        keys = (left.astype(np.int64) << 32) | right
         # of pairs of equal symbols in a run, every other one counts and can be replaced
-        twin = np.flatnonzero(seq[:-1] == seq[1:])
+        twin = np.flatnonzero(left == right)
         if len(twin):
-            twin = twin[~head[twin + 1]]
-            new = np.flatnonzero(np.diff(twin, prepend=-2) > 1)
+            new = np.flatnonzero(np.diff(near[twin], prepend=-2) > 1)
             nth = np.arange(len(twin)) - np.repeat(new, np.diff(np.append(new, len(twin))))
             keys[twin[nth % 2 == 1]] = -1
         # pairs that share a slot of a hash table with few others can't be frequent; only the rest is sorted
         slot = keys.view(np.uint64) * _SPREAD
         slot >>= np.uint64(64 - SLOT_BITS)
         slot = slot.view(np.int64)
-        maybe = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])
-        maybe = maybe[keys[maybe] >= 0]
-        some = keys[maybe]
-        ordered = np.sort(some)
+        some = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot] | (keys < 0))
+        near, keys = near[some], keys[some]
+        ordered = np.sort(keys)
+        ordered = ordered[np.searchsorted(ordered, 0):]
         if not len(ordered):
             break
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -192,15 +192,20 @@ def compress(ids: np.ndarray, starts: np.ndarray, most: int = RULES_A_ROUND, lea
         part = np.zeros((1 << 16) + n_rules + len(picked), np.uint8)
         part[picked >> 32] |= 1
         part[picked & 0xFFFFFFFF] |= 2
-        near = (part[some >> 32] & (part[some & 0xFFFFFFFF] >> 1) & 1).astype(bool)
-        maybe, some = maybe[near], some[near]
-        spot = np.minimum(np.searchsorted(picked, some), len(picked) - 1)
-        hit = picked[spot] == some
-        at = maybe[hit]
+        maybe = np.flatnonzero((keys >= 0) & (part[seq[near]] & (part[seq[near + 1]] >> 1) & 1).astype(bool))
+        spot = np.minimum(np.searchsorted(picked, keys[maybe]), len(picked) - 1)
+        hit = picked[spot] == keys[maybe]
+        at = near[maybe[hit]]
         seq[at] = (1 << 16) + n_rules + spot[hit]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
+        place = np.cumsum(keep, dtype=np.int32) - 1
+        rest = np.zeros(len(seq), bool)
+        rest[place[near[keep[near]]]] = True
+        rest[place[at]] = True
+        rest[np.maximum(place[at] - 1, 0)] = True
         seq, head = seq[keep], head[keep]
+        near = np.flatnonzero(rest[:max(len(seq) - 1, 0)])
         rules.append(np.stack([picked >> 32, picked & 0xFFFFFFFF], axis=1))
         n_rules += len(picked)
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
