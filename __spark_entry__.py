@@ -633,7 +633,43 @@ def q_interval_join_hot(spark, d):
     return met.groupBy("event_id").agg(F.count(F.lit(1)).alias("spans"), F.sum("span_id").alias("span_sum"))
 
 
+def q_evaluate_one_column(spark, d):
+    """M8, M9: the three models of a single column through training and evaluation, every row scored."""
+    from panelcast.operators.evaluate import evaluate_models
+    from panelcast.plans.models import train_models
+    df = staged(_month_vectors(spark, d), "month-vectors")
+    params = {"LinearRegression": {"regParam": 0.0, "solver": "normal"}, "GBTRegressor": {"maxIter": 1, "maxDepth": 1},
+              "RandomForest": {"numTrees": 1, "maxDepth": 1, "bootstrap": False, "featureSubsetStrategy": "all", "subsamplingRate": 1.0}}
+    out = evaluate_models(train_models(df, list(params), params=params), df)
+    return out.select("model", *[_r6(c).alias(c) for c in ("RMSE", "MAE", "MAPE", "R2")], "n")
+
+
+def q_importance_ranked(spark, d):
+    """Importances of a depth-1 tree over two columns, with their rank."""
+    from panelcast.plans.models import feature_importance, fit_features, train_models
+    cols = ["month", "day"]
+    df = forecast_target(_readings_panel(spark, d), READINGS_SPEC, "AQI").select(*cols, LABEL_COL)
+    df = staged(fit_features(df, cols, scale=False).transform(df), "two-columns")
+    params = {"RandomForest": {"numTrees": 1, "maxDepth": 1, "bootstrap": False, "featureSubsetStrategy": "all", "subsamplingRate": 1.0}}
+    model, _ = train_models(df, ["RandomForest"], params=params)["RandomForest"]
+    ranked = [(i + 1, r["feature"], r["importance"]) for i, r in enumerate(feature_importance(spark, model, cols).collect())]  # a row a feature, in order
+    return spark.createDataFrame(ranked, "rank int, feature string, importance double").withColumn("importance", _r6("importance"))
+
+
+def q_elastic_net_one_feature(spark, d):
+    """M3 with its default penalties on one standardised column."""
+    from panelcast.plans.models import fit_features, train_models
+    df = forecast_target(_readings_panel(spark, d), READINGS_SPEC, "AQI").select("AQI", LABEL_COL)
+    df = staged(fit_features(df, ["AQI"], scale=True).transform(df), "one-column")
+    model, _ = train_models(df, ["LinearRegression"], params={"LinearRegression": {"tol": 1e-12, "maxIter": 500}})["LinearRegression"]
+    return spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "coefficient double, intercept double").select(
+        F.round("coefficient", 4).alias("coefficient"), F.round("intercept", 4).alias("intercept"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "evaluate_one_column": q_evaluate_one_column,
+    "importance_ranked": q_importance_ranked,
+    "elastic_net_one_feature": q_elastic_net_one_feature,
     "asof_join": q_asof_join,
     "asof_join_hot": q_asof_join_hot,
     "asof_join_forward": q_asof_join_forward,
@@ -1023,6 +1059,30 @@ SELECT city, round(sqrt(avg((y - a - b * x) * (y - a - b * x))), 6) AS RMSE, rou
 FROM V JOIN R USING (held) WHERE city = held GROUP BY city"""
 
 
+def _evaluate_sql() -> str:
+    stump = _stump_sql().replace("SELECT month, round(CASE WHEN month <= cut THEN sl / nl ELSE sr / nr END, 6) AS prediction FROM MS, BEST", "")
+    return stump + """,
+LR AS (SELECT regr_slope(AQI_target, month) AS b, regr_intercept(AQI_target, month) AS a FROM PT),
+TP AS (SELECT AQI_target AS y, CASE WHEN month <= cut THEN sl / nl ELSE sr / nr END AS p FROM PT, BEST),
+SC AS (SELECT 'LinearRegression' AS model, AQI_target AS y, a + b * month AS p FROM PT, LR
+       UNION ALL SELECT 'RandomForest', y, p FROM TP UNION ALL SELECT 'GBTRegressor', y, p FROM TP)
+SELECT model, round(sqrt(avg((y - p) * (y - p))), 6) AS RMSE, round(avg(abs(y - p)), 6) AS MAE,
+       round(avg(CASE WHEN y <> 0 THEN abs(y - p) / abs(y) END) * 100.0, 6) AS MAPE,
+       round(1.0 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) + 0.0 AS R2, count(*) AS n
+FROM SC GROUP BY model"""
+
+
+def _importance_sql() -> str:
+    gains = " UNION ALL ".join(f"""SELECT '{c}' AS feature, max(sl * sl / nl + sr * sr / nr) AS gain FROM (
+  SELECT a.v, sum(CASE WHEN b.v <= a.v THEN b.n END) AS nl, sum(CASE WHEN b.v <= a.v THEN b.s END) AS sl,
+         sum(CASE WHEN b.v > a.v THEN b.n END) AS nr, sum(CASE WHEN b.v > a.v THEN b.s END) AS sr
+  FROM (SELECT {c} AS v, count(*) AS n, sum(AQI_target) AS s FROM PT GROUP BY 1) a, (SELECT {c} AS v, count(*) AS n, sum(AQI_target) AS s FROM PT GROUP BY 1) b
+  GROUP BY a.v) WHERE nr IS NOT NULL""" for c in ("month", "day"))
+    return _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_P) + f""",
+G AS ({gains})
+SELECT CAST(row_number() OVER (ORDER BY gain DESC) AS INTEGER) AS rank, feature, CASE WHEN gain = max(gain) OVER () THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS importance FROM G"""
+
+
 _HOT = "CASE WHEN {k} % 3 <> 0 THEN 'hot' WHEN {k} % 6 = 0 THEN 'cold' END"
 _B5 = ", ".join(_r(c) for c in ("q1", "q3", "iqr", "lower", "upper"))
 _PERSIST = _METRICS_SQL.replace("* 100.0, 'NaN'::DOUBLE), 6)", "* 100.0, 'NaN'::DOUBLE), 2)")
@@ -1045,6 +1105,13 @@ _SPANS = """S AS (SELECT k, event_id AS span_id, ts AS lo, ts + to_hours(CAST(CA
   FROM E WHERE event_type = 'signup')"""
 
 _ORACLE.update({
+    "evaluate_one_column": _evaluate_sql(),
+    "importance_ranked": _importance_sql(),
+    # soft threshold of the correlation of standardised values: penalties 0.1 (0.8 of it on the absolute value), in units of the label's deviation
+    "elastic_net_one_feature": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_P) + """,
+K AS (SELECT corr(AQI, AQI_target) AS r, stddev_samp(AQI_target) AS sy, avg(AQI_target) AS my, (count(*) - 1.0) / count(*) AS f FROM PT),
+W AS (SELECT sign(r) * greatest(abs(r) * f - 0.08 / sy, 0) / (f + 0.02 / sy) * sy AS b, my FROM K)
+SELECT round(b, 4) + 0.0 AS coefficient, round(my, 4) AS intercept FROM W""",
     "asof_join": _asof_sql("user_id"),
     "asof_join_hot": _asof_sql(_HOT.format(k="event_id")),
     "asof_join_forward": """WITH P AS (SELECT user_id, ts, event_id AS purchase_id FROM events WHERE event_type = 'purchase')
