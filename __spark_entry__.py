@@ -45,6 +45,7 @@ from panelcast.operators.features import (
 from panelcast.operators.impute import fill_values, fit_medians, medians_frame
 from panelcast.operators.index import add_sub_indices, compute_aqi
 from panelcast.operators.joins import asof_join, interval_join
+from panelcast.operators.levels import metrics_by_levels, split_audit
 from panelcast.operators.outliers import filter_iqr, filter_iqr_by_group, fit_iqr_bounds, iqr_bounds_frame, within
 from panelcast.operators.sequences import fit_label_scaler, positional_split, sequence_windows
 from panelcast.operators.split import (
@@ -666,7 +667,64 @@ def q_elastic_net_one_feature(spark, d):
         F.round("coefficient", 4).alias("coefficient"), F.round("intercept", 4).alias("intercept"))
 
 
+def q_metrics_by_levels(spark, d):
+    """Metrics by (user, day of the week), by user, by event type and over all, in one pass."""
+    df = _persistence(spark, d).withColumn("weekday", F.dayofweek("ts"))
+    out = metrics_by_levels(df, [("user_id", "weekday"), ("user_id",), ("event_type",), ()], "value_target", "prediction")
+    return out.select("level", "user_id", "weekday", "event_type", *[_r6(c).alias(c) for c in ("RMSE", "MAE", "MAPE", "R2")], "n")
+
+
+def q_split_audit(spark, d):
+    """Rows that both halves of the split hold, as multisets: nulls and repeated rows included."""
+    df = _clean(spark, d)
+    df = df.withColumn("half", F.when(F.col("l_orderkey") % 2 == 0, "a").otherwise("b"))
+    cols = ["city", "month", "so2", "no2"]
+    return split_audit(df.filter("half = 'a'"), df.filter("half = 'b'"), cols)
+
+
+def q_sql_functions(spark, d):
+    """The index through SQL alone: registered functions over a view of the raw readings."""
+    from panelcast.functions.sql import register
+    register(spark)
+    staged(_readings(spark, d).select(*KEYS, "so2", "no2", "rspm", "pm2_5", "date"), "raw-readings").createOrReplaceTempView("raw_readings")
+    return spark.sql("""
+        SELECT l_orderkey, l_linenumber, l_partkey, round(aqi(number_of(so2), number_of(no2), number_of(rspm), number_of(pm2_5)), 6) AS AQI,
+               split_label(CAST(l_orderkey % 10 AS INT), 7) AS part FROM raw_readings""")
+
+
+def q_sql_breakpoints(spark, d):
+    """Readings of pm10 per segment of its breakpoints, by the table function."""
+    from panelcast.functions.sql import register
+    register(spark)
+    staged(_clean(spark, d).select("pm10"), "pm10").createOrReplaceTempView("pm10_readings")
+    return spark.sql("""SELECT b.low, b.high, count(r.pm10) AS readings FROM breakpoints('pm10') b
+        LEFT JOIN pm10_readings r ON r.pm10 >= b.low AND r.pm10 <= b.high GROUP BY b.low, b.high""")
+
+
+def _documents(spark, d):
+    """Readings as JSON text; one in thirteen is cut off."""
+    raw = lineitem_readings(spark, d)
+    text = F.to_json(F.struct("location", "date", F.create_map(*[x for c in ("so2", "no2", "pm2_5") for x in (F.lit(c), F.col(c))]).alias("readings")))
+    return raw.select(*KEYS, F.when(F.col("l_orderkey") % 13 == 0, F.substring(text, 1, 25)).otherwise(text).alias("document"))
+
+
+def q_json_readings(spark, d):
+    from panelcast.sources.documents import json_readings
+    return json_readings(_documents(spark, d), pollutants=["so2", "no2", "pm2_5"])
+
+
+def q_json_document_counts(spark, d):
+    from panelcast.sources.documents import document_counts, json_readings
+    return document_counts(json_readings(_documents(spark, d)))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "metrics_by_levels": q_metrics_by_levels,
+    "split_audit": q_split_audit,
+    "sql_functions": q_sql_functions,
+    "sql_breakpoints": q_sql_breakpoints,
+    "json_readings": q_json_readings,
+    "json_document_counts": q_json_document_counts,
     "evaluate_one_column": q_evaluate_one_column,
     "importance_ranked": q_importance_ranked,
     "elastic_net_one_feature": q_elastic_net_one_feature,
@@ -1104,7 +1162,28 @@ SELECT E.event_id, V.view_id, V.view_value FROM E ASOF LEFT JOIN V ON E.k = V.k
 _SPANS = """S AS (SELECT k, event_id AS span_id, ts AS lo, ts + to_hours(CAST(CASE WHEN event_id % 11 = 0 THEN 480 ELSE 1 + event_id % 7 END AS INTEGER)) AS hi
   FROM E WHERE event_type = 'signup')"""
 
+_JSON = """J AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey % 13 = 0 THEN left(t, 25) ELSE t END AS t FROM (
+  SELECT *, CAST(json_object('location', location, 'date', date, 'readings', json_object('so2', so2, 'no2', no2, 'pm2_5', pm2_5)) AS VARCHAR) AS t FROM L)),
+JV AS (SELECT *, NOT json_valid(t) AS bad, CASE WHEN json_valid(t) THEN t END AS ok FROM J)"""
+
 _ORACLE.update({
+    "metrics_by_levels": _with(CTE_T) + """,
+ML AS (SELECT *, CAST(dayofweek(ts) + 1 AS INTEGER) AS weekday FROM ET)
+SELECT CAST(CASE grouping(user_id, weekday, event_type) WHEN 1 THEN 0 WHEN 3 THEN 1 WHEN 6 THEN 2 ELSE 3 END AS INTEGER) AS level, user_id, weekday, event_type, """
+    + _METRICS_SQL + " FROM ML GROUP BY GROUPING SETS ((user_id, weekday), (user_id), (event_type), ())",
+    "split_audit": _with(CTE_L, CTE_C) + """,
+TA AS (SELECT city, month, so2, no2 FROM C2 WHERE l_orderkey % 2 = 0), TB AS (SELECT city, month, so2, no2 FROM C2 WHERE l_orderkey % 2 <> 0)
+SELECT (SELECT count(*) FROM TA) AS train_rows, (SELECT count(*) FROM TB) AS test_rows,
+       (SELECT count(*) FROM (SELECT * FROM TA INTERSECT ALL SELECT * FROM TB)) AS shared,
+       (SELECT count(*) FROM (SELECT * FROM TA EXCEPT ALL SELECT * FROM TB)) AS train_only,
+       (SELECT count(*) FROM (SELECT * FROM TB EXCEPT ALL SELECT * FROM TA)) AS test_only""",
+    "sql_functions": _with(CTE_L, CTE_C, CTE_I, CTE_A) + """SELECT l_orderkey, l_linenumber, l_partkey, round(AQI, 6) AS AQI,
+  CASE WHEN l_orderkey % 10 <= 7 THEN 'train' ELSE 'test' END AS part FROM A0""",
+    "sql_breakpoints": _with(CTE_L, CTE_C) + ", B AS (SELECT * FROM (VALUES " + ", ".join(f"({a}.0::DOUBLE, {b}.0::DOUBLE)" for a, b, _, _ in _SEGMENTS["pm10"])
+    + ") t(low, high)) SELECT low, high, count(pm10) AS readings FROM B LEFT JOIN C ON pm10 >= low AND pm10 <= high GROUP BY low, high",
+    "json_readings": _with(CTE_L, _JSON) + """SELECT l_orderkey, l_linenumber, l_partkey, bad, json_extract_string(ok, '$.location') AS location, json_extract_string(ok, '$.date') AS date,
+  json_extract_string(ok, '$.readings.so2') AS so2, json_extract_string(ok, '$.readings.no2') AS no2, json_extract_string(ok, '$.readings.pm2_5') AS pm2_5 FROM JV""",
+    "json_document_counts": _with(CTE_L, _JSON) + "SELECT count(*) AS documents, count(*) FILTER (WHERE bad) AS bad FROM JV",
     "evaluate_one_column": _evaluate_sql(),
     "importance_ranked": _importance_sql(),
     # soft threshold of the correlation of standardised values: penalties 0.1 (0.8 of it on the absolute value), in units of the label's deviation
