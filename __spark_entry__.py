@@ -94,12 +94,17 @@ def _indexed(spark: SparkSession, d: str, impute: bool = True) -> DataFrame:
     if not impute:
         return compute_aqi(_clean(spark, d))
     df = staged(_clean(spark, d), "clean")
-    return compute_aqi(fill_values(df, fit_medians(df, POLLUTANTS)), bind=False)
+    return compute_aqi(fill_values(df, fit_medians(df, POLLUTANTS)))
+
+
+def _with_index(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that have an index, staged: bounds and windows read them several times."""
+    return staged(drop_missing(_indexed(spark, d), "AQI"), "indexed")
 
 
 def _readings_panel(spark: SparkSession, d: str, iqr: bool = False) -> DataFrame:
     """Imputed, indexed, (IQR-filtered,) dated rows of L."""
-    df = drop_missing(_indexed(spark, d), "AQI")
+    df = _with_index(spark, d)
     if iqr:
         df = filter_iqr(df, fit_iqr_bounds(df, "AQI"), "AQI")
     return df.filter(F.col("date_parsed").isNotNull())
@@ -151,17 +156,17 @@ def q_drop_missing_aqi(spark, d):
 
 
 def q_iqr_bounds(spark, d):
-    b = iqr_bounds_frame(drop_missing(_indexed(spark, d), "AQI"), "AQI", 1.5)
+    b = iqr_bounds_frame(_with_index(spark, d), "AQI", 1.5)
     return b.select(*[_r6(c).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")])
 
 
 def q_iqr_bounds_by_entity(spark, d):
-    b = iqr_bounds_frame(drop_missing(_indexed(spark, d), "AQI"), "AQI", 1.5, by="city")
+    b = iqr_bounds_frame(_with_index(spark, d), "AQI", 1.5, by="city")
     return b.select("city", *[_r6(c).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")])
 
 
 def q_iqr_filter(spark, d):
-    df = drop_missing(_indexed(spark, d), "AQI")
+    df = _with_index(spark, d)
     return filter_iqr(df, fit_iqr_bounds(df, "AQI"), "AQI").select(*KEYS, _r6("AQI").alias("AQI"))
 
 
@@ -444,7 +449,7 @@ def q_aqi_gap_round(spark, d):
 
 
 def q_iqr_filter_by_entity(spark, d):
-    df = filter_iqr_by_group(drop_missing(_indexed(spark, d), "AQI"), "AQI", "city")
+    df = filter_iqr_by_group(_with_index(spark, d), "AQI", "city")
     return df.select(*KEYS, _r6("AQI").alias("AQI"))
 
 
@@ -454,7 +459,7 @@ def _hot(key: str):
 
 def q_iqr_bounds_hot_entity(spark, d):
     """Three groups, one with two thirds of all rows, one of them null."""
-    df = drop_missing(_indexed(spark, d), "AQI").withColumn("part", _hot("l_orderkey"))
+    df = _with_index(spark, d).withColumn("part", _hot("l_orderkey"))
     b = iqr_bounds_frame(df, "AQI", 1.5, by="part")
     return b.select("part", *[_r6(c).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")])
 
