@@ -29,8 +29,6 @@ def feats(spark):
     f, boundary, medians, bounds = build_feature_table(lineitem_readings(spark, SF001), READINGS_SPEC)
     out = f.persist()
     out.count()
-    if cached is not None:
-        cached.unpersist()
     return out, boundary, medians, bounds
 
 
