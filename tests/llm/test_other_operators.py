@@ -130,7 +130,7 @@ def test_audit_of_pages(spark):
 def test_queries_are_registered():
     import __spark_entry__ as e
     names = e.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 def test_pipeline_keeps_clean_documents(spark):
