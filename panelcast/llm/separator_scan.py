@@ -98,10 +98,12 @@ def stitch(scanned: DataFrame) -> DataFrame:
     begins = F.concat(F.array("open"), F.transform("ends", lambda e: F.col("base") + e + 1))
     ends = F.transform("ends", lambda e: F.col("base") + e)
     ends = F.when(tail, F.concat(ends, F.array(rest))).otherwise(ends)
-    spans = rows.select("file", "ordinal", F.size("ends").alias("n"), begins.alias("begins"), F.posexplode(ends).alias("k", "stop"))
-    start = F.element_at("begins", F.col("k") + 1)
+    # begin and end of each document are zipped inside the generator, once a block: no array is carried to or made anew for a document
+    both = F.arrays_zip(F.slice(begins, 1, F.size(ends)).alias("start"), ends.alias("stop"))
+    spans = rows.select("file", "ordinal", F.size("ends").alias("n"), F.posexplode(both).alias("k", "span"))
+    start, stop = F.col("span")["start"], F.col("span")["stop"]
     return spans.select("file", (F.col("ordinal") + F.col("k")).cast("long").alias("ordinal"), start.cast("long").alias("start"),
-                        (F.col("stop") - start).cast("long").alias("n_tokens"), (F.col("k") < F.col("n")).alias("closed"))
+                        (stop - start).cast("long").alias("n_tokens"), (F.col("k") < F.col("n")).alias("closed"))
 
 
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

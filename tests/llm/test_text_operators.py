@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -165,6 +166,16 @@ def test_random_access(spark, tokenizer):
         assert repair_tokens.decode_document(row, k).tolist() == _encoded(tokenizer, text[row["doc_ids"][k]])
 
 
+def test_stitching_a_block_of_many_documents(spark):
+    """100,000 empty documents in one block: work in proportion to them (each had the whole block's arrays made anew)."""
+    n = 100_000
+    data = bytearray(np.full(n, separator_scan.END_ID, "<u2").tobytes())
+    blocks = spark.createDataFrame([("a", 0, data)], "file string, block int, data binary")
+    began = time.time()
+    got = separator_scan.stitch(separator_scan.scan_blocks(blocks)).agg(F.count(F.lit(1)), F.sum("n_tokens"), F.max("start"), F.max("ordinal"), F.min("closed")).first()
+    assert tuple(got) == (n, 0, n - 1, n - 1, True) and time.time() - began < 60
+
+
 @pytest.mark.parametrize("block", [2, 6, 1 << 20])
 def test_separator_scan_stitches_blocks(spark, block):
     end = separator_scan.END_ID
