@@ -11,6 +11,7 @@ Model-fitting queries have no SQL form and get a rows-only check.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 from collections.abc import Callable
 
@@ -29,6 +30,16 @@ from panelcast.operators.clean import (
     rename_columns,
     select_existing,
 )
+from panelcast.operators.daily_stats import (
+    Period,
+    daily_stats,
+    period_iqr_bounds,
+    period_medians,
+    period_moments,
+    period_quantiles,
+    read_daily_stats,
+    write_daily_stats,
+)
 from panelcast.operators.entities import fold_sizes, top_entities
 from panelcast.operators.evaluate import comparison_table, label_stats, regression_metrics
 from panelcast.operators.features import (
@@ -639,6 +650,42 @@ def q_interval_join_hot(spark, d):
     return met.groupBy("event_id").agg(F.count(F.lit(1)).alias("spans"), F.sum("span_id").alias("span_sum"))
 
 
+_PERIODS = (Period("all"), Period("to 1997", None, dt.date(1997, 12, 31)), Period("1997 and 1998", dt.date(1997, 1, 1), dt.date(1998, 12, 31)))
+_STATED = (*POLLUTANTS, "AQI")
+
+
+def _stated(spark, d):
+    """Rows with an index and the path of their daily states, appended in three parts."""
+    df, path = _with_index(spark, d), scratch_path(spark, "daily-stats")
+    for k in range(3):
+        write_daily_stats(daily_stats(df.filter(F.col("l_orderkey") % 3 == k), "date_parsed", _STATED), path)
+    return df, path
+
+
+def q_period_moments(spark, d):
+    """A10 for three periods, from the stored states alone."""
+    out = period_moments(read_daily_stats(spark, _stated(spark, d)[1], _PERIODS), _PERIODS)
+    return out.select("period", "column", "n", "missing", *[_r6(c).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+def q_period_quantiles(spark, d):
+    """Quartiles of three periods within 1 %, from the stored states alone."""
+    out = period_quantiles(read_daily_stats(spark, _stated(spark, d)[1], _PERIODS), _PERIODS, (0.25, 0.5, 0.75))
+    return out.select("period", "column", "prob", *[_r6(c).alias(c) for c in ("value", "low", "high")], "rank", "below")
+
+
+def q_period_fits(spark, d):
+    """A1 to A3 for three periods: exact medians and bounds that start from the stored states."""
+    df, path = _stated(spark, d)
+    made = []
+    for p in _PERIODS:
+        stats = read_daily_stats(spark, path, [p])
+        medians, b = period_medians(df, "date_parsed", stats, p, POLLUTANTS), period_iqr_bounds(df, "date_parsed", stats, p)
+        made.append((p.name, *[medians.get(c) for c in POLLUTANTS], *((b.lower, b.upper) if b else (None, None))))
+    out = spark.createDataFrame(made, "period string, " + ", ".join(f"{c} double" for c in (*POLLUTANTS, "lower", "upper")))
+    return out.select("period", *POLLUTANTS, _r6("lower").alias("lower"), _r6("upper").alias("upper"))
+
+
 def q_evaluate_one_column(spark, d):
     """M8, M9: the three models of a single column through training and evaluation, every row scored."""
     from panelcast.operators.evaluate import evaluate_models
@@ -751,6 +798,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drop_missing_aqi": q_drop_missing_aqi,
     "iqr_bounds": q_iqr_bounds,
     "iqr_bounds_by_entity": q_iqr_bounds_by_entity,
+    "period_moments": q_period_moments,
+    "period_quantiles": q_period_quantiles,
+    "period_fits": q_period_fits,
     "iqr_filter": q_iqr_filter,
     "row_drop_audit": q_row_drop_audit,
     "forecast_target_events": q_forecast_target_events,
@@ -944,6 +994,12 @@ CTE_T = f"""ET AS (SELECT * FROM (SELECT *, lead(value, 1) OVER ({_EV_ORDER}) AS
        WHERE value_target IS NOT NULL)"""
 
 
+CTE_PERIODS = """T AS (SELECT * FROM A WHERE AQI IS NOT NULL),
+S AS (SELECT 'all' AS period, * FROM T UNION ALL SELECT 'to 1997', * FROM T WHERE date_parsed <= DATE '1997-12-31'
+      UNION ALL SELECT '1997 and 1998', * FROM T WHERE date_parsed BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'),
+V AS (""" + " UNION ALL ".join(f"""SELECT period, '{c}' AS "column", {c} AS x FROM S""" for c in (*POLLUTANTS, "AQI")) + ")"
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -1189,6 +1245,20 @@ SELECT (SELECT count(*) FROM TA) AS train_rows, (SELECT count(*) FROM TB) AS tes
     "json_readings": _with(CTE_L, _JSON) + """SELECT l_orderkey, l_linenumber, l_partkey, bad, json_extract_string(ok, '$.location') AS location, json_extract_string(ok, '$.date') AS date,
   json_extract_string(ok, '$.readings.so2') AS so2, json_extract_string(ok, '$.readings.no2') AS no2, json_extract_string(ok, '$.readings.pm2_5') AS pm2_5 FROM JV""",
     "json_document_counts": _with(CTE_L, _JSON) + "SELECT count(*) AS documents, count(*) FILTER (WHERE bad) AS bad FROM JV",
+    "period_moments": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_PERIODS) + """SELECT period, "column", count(x) AS n, count(*) - count(x) AS missing,
+  round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max FROM V GROUP BY 1, 2""",
+    # cells of the states: 1 % either side; all values are positive or zero
+    "period_quantiles": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_PERIODS) + """,
+K AS (SELECT period, "column", CASE WHEN x = 0 THEN 0 ELSE ceil(ln(x) / ln(1.01::DOUBLE / 0.99::DOUBLE)) + 268435456 END AS cell, count(*) AS n, min(x) AS low, max(x) AS high
+      FROM V WHERE x IS NOT NULL GROUP BY 1, 2, 3),
+U AS (SELECT *, sum(n) OVER (PARTITION BY period, "column") AS total, sum(n) OVER (PARTITION BY period, "column" ORDER BY low) AS upto FROM K),
+R AS (SELECT *, CAST(greatest(ceil(prob * total), 1) AS BIGINT) AS rank FROM U CROSS JOIN (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) p(prob))
+SELECT period, "column", prob, round(CASE WHEN low = high THEN low ELSE low * 2 / (1 + low / high) END, 6) AS value, round(low, 6) AS low, round(high, 6) AS high,
+  rank, CAST(upto - n AS BIGINT) AS below FROM R WHERE upto >= rank AND upto - n < rank""",
+    "period_fits": _with(CTE_L, CTE_C, CTE_I, CTE_A, CTE_PERIODS) + """, Q AS (SELECT period, "column", quantile_disc(x, [0.25, 0.5, 0.75]) AS q FROM V WHERE x IS NOT NULL GROUP BY 1, 2)
+SELECT period, """ + ", ".join(f"""max(q[2]) FILTER ("column" = '{c}') AS {c}""" for c in POLLUTANTS) + """,
+  round(max(q[1] - 1.5 * (q[3] - q[1])) FILTER ("column" = 'AQI'), 6) AS lower, round(max(q[3] + 1.5 * (q[3] - q[1])) FILTER ("column" = 'AQI'), 6) AS upper
+FROM Q GROUP BY period""",
     "evaluate_one_column": _evaluate_sql(),
     "importance_ranked": _importance_sql(),
     # soft threshold of the correlation of standardised values: penalties 0.1 (0.8 of it on the absolute value), in units of the label's deviation

@@ -92,27 +92,39 @@ def _summary(x: Column, kind: DataType) -> list[Column]:
     return [F.count(x), F.count(F.when(low, 1)), F.count(F.when(high, 1)), F.min(finite), F.max(finite)]
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    bins: int = BINS) -> dict[str, list]:
-    """``{column: [value per prob]}`` in the columns' own types; ``None`` for a column with no values."""
-    kinds = {c: df.schema[c].dataType for c in columns}
-    name = {c: f"_q{i}" for i, c in enumerate(columns)}
-    data = df.select(*[_ordered(F.col(c), kinds[c]).alias(name[c]) for c in columns])
+def _whole_range(data: DataFrame, columns: Sequence[str], probs: Sequence[float], kinds: dict, name: dict, settled: dict) -> dict:
+    """Per (column, place of the prob): rank, finite ends, values below; infinite quantiles go to ``settled``."""
     row = data.agg(*[e.alias(f"{name[c]}_{i}") for c in columns for i, e in enumerate(_summary(F.col(name[c]), kinds[c]))]).first()
-
-    settled, todo = {}, {}  # todo: (column, prob index) -> [rank wanted, lo, hi, rows below lo]
+    start = {}
     for c in columns:
         n, low, high, lo, hi = (row[f"{name[c]}_{i}"] for i in range(5))
         for j, p in enumerate(probs):
             k = min(max(math.ceil(p * n), 1), n) if n else 0
-            if not n:
-                settled[c, j] = None
-            elif k <= low or k > n - high:
+            if n and (k <= low or k > n - high):
                 settled[c, j] = -math.inf if k <= low else math.inf
-            elif lo == hi:
-                settled[c, j] = lo
-            else:
-                todo[c, j] = [k, lo, hi, low]
+            start[c, j] = (k, lo, hi, low) if n else None
+    return start
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], bins: int = BINS,
+                    start: dict[tuple[str, int], tuple | None] | None = None) -> dict[str, list]:
+    """``{column: [value per prob]}`` in the columns' own types; ``None`` for a column with no values.
+
+    ``start`` gives what is known of each (column, place of the prob) — rank, least and largest value that
+    occur around it, number of values below — or ``None`` without values; the first aggregate is then left out."""
+    kinds = {c: df.schema[c].dataType for c in columns}
+    name = {c: f"_q{i}" for i, c in enumerate(columns)}
+    data = df.select(*[_ordered(F.col(c), kinds[c]).alias(name[c]) for c in columns])
+    settled, todo = {}, {}  # todo: (column, prob index) -> [rank wanted, lo, hi, rows below lo]
+    if start is None:
+        start = _whole_range(data, columns, probs, kinds, name, settled)
+    for target, known in start.items():
+        if target in settled:
+            continue
+        if known is None or known[1] == known[2]:
+            settled[target] = None if known is None else known[1]
+        else:
+            todo[target] = list(known)
     while todo:
         ids = list(todo)
         cells = []
