@@ -5,7 +5,7 @@ block-max WAND and all items whose BM25 score reaches their threshold are retrie
 (no top-k). Long items are indexed in units; a retrieved unit only says where to look for
 its item. The item counts if its whole question and its whole answer are both around that
 passage: at least OVERLAP of the five-word shingles of either part. An item without an
-answer is verified as one text.
+answer is verified as one text; a part of fewer than five words must occur whole.
 
 Thresholds are a share of an item's own score, so postings are stored divided by
 them and a passage retrieves what reaches 1. Passages run over whole texts; the scan is map-only.
@@ -228,13 +228,13 @@ def _part(h: np.ndarray) -> np.ndarray:
 
 def units_of(items: list[tuple[int, str, str | None]]) -> tuple[list[Unit], list[np.ndarray]]:
     """Units of (item, question, answer) and their word hashes. Without an answer the
-    question is the whole item. Items of fewer than SHINGLE words give none: nothing in them could be verified."""
+    question is the whole item. A part of fewer than SHINGLE words is one shingle; items without a word give no unit."""
     units, words = [], []
     for item, question, answer in items:
         lists = [split_words(letter_words(pa.array([x or ""], pa.string()), digits=True)) for x in (question, answer)]
         q, a = (hash_words(d)[c] for c, _, d in lists)
         whole = np.concatenate([q, a])
-        if len(whole) < SHINGLE:
+        if not len(whole):
             continue
         row, at = Item(item, _part(q), _part(a)), 0
         for part in np.array_split(whole, -(-len(whole) // UNIT_WORDS)):

@@ -278,12 +278,19 @@ def test_planted_items_are_found(spark, edge, empty):
     rows = [(k, f"{noise(k * 37)} {t.upper().replace(' ', ',  ') if k % 2 else t} {noise(50)}") for k, t in enumerate(texts)]
     rows += [(100 + k, noise(400)) for k in range(5)] + [(200, " ".join(texts[2].split()[:20]))]
     got = dec.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, k) for k in range(5)}  # item 5 has too few words to verify
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, k) for k in range(6)}  # item 5 has four words: one shingle
     assert dec.contaminated(edge, items).count() == 0 == dec.contaminated(empty, items).count()
     assert dec.decontaminate(edge, items).count() == 10 == dec.decontaminate(edge, items.filter("false")).count()
     assert dec.contaminated(edge, items.filter("false")).count() == 0
 
 
+def test_items_under_five_words_must_occur_whole(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta"), (3, " ,; "), (4, "alpha beta alpha beta")], "item_id long, text string")
+    rows = [(10, "x Alpha, beta gamma y"), (11, "alpha gamma beta"), (12, "one DELTA two"), (13, "deltas"), (14, "alpha beta alpha beta"), (15, "gamma"), (16, None)]
+    got = dec.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(10, 1), (12, 2), (14, 4)}
+
+
 def test_block_max_wand_retrieves_all_above_the_threshold(spark):
     rng = np.random.default_rng(4)
     items = [(i, " ".join(f"t{int(x)}" for x in rng.zipf(1.3, 30) % 200), None) for i in range(60)]
