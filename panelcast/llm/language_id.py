@@ -27,9 +27,8 @@ from panelcast.llm.words import WordCache, as_strings, chunks, letter_words, mix
 
 VOCABULARY = "piece_bpe_32k.model"
 START = "▁"
-MAX_PIECE = 8
-#: Longer words are scored in parts of this many characters.
-MAX_WORD = 32
+#: Longer words take their pass in logarithms, one by one, as plain products could underflow.
+PLAIN_WORD = 32
 #: Expected documents per language the model is fitted on; all others are only predicted.
 SAMPLE_DOCS = 600
 ITERATIONS = 4
@@ -39,7 +38,7 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pieces_of(path: str) -> list[str]:
-    """Pieces of letters only, lower case, with or without the word-start mark, of at most MAX_PIECE characters."""
+    """Pieces of letters only, lower case, with or without the word-start mark."""
     import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     out = set()
@@ -48,7 +47,7 @@ def pieces_of(path: str) -> list[str]:
             continue
         p = model.id_to_piece(i)
         body = p.removeprefix(START)
-        if len(p) <= MAX_PIECE and (p == START or body.isalpha()) and p == p.lower():
+        if (p == START or body.isalpha()) and p == p.lower():
             out.add(p)
     return sorted(out)
 
@@ -64,65 +63,115 @@ def _start(n: int) -> np.ndarray:
 
 @dataclass
 class Lattice:
-    """The vocabulary as sorted 64-bit hashes of its pieces."""
+    """All prefixes of the vocabulary's pieces as sorted 64-bit hashes, with the piece each is (-1: none) and
+    whether a longer piece begins with it."""
 
     keys: np.ndarray
     ids: np.ndarray
+    more: np.ndarray
     size: int
 
     @staticmethod
     def of(pieces: Sequence[str]) -> Lattice:
-        h = np.zeros(len(pieces), np.uint64)
-        for n in range(1, MAX_PIECE + 1):
-            at = [i for i, p in enumerate(pieces) if len(p) == n]
-            if at:
-                codes, x = _codes([pieces[i] for i in at]), _start(len(at))
-                for k in range(n):
-                    x = mix64(x * _MUL + codes[:, k] + np.uint64(1))
-                h[at] = x
-        order = np.argsort(h)
-        return Lattice(h[order], order.astype(np.int32), len(pieces))
+        number = {p: i for i, p in enumerate(pieces)}
+        longer = {p[:k] for p in pieces for k in range(1, len(p))}
+        by_length: dict[int, list[str]] = {}
+        for p in sorted(longer | number.keys()):
+            by_length.setdefault(len(p), []).append(p)
+        h, ids, more = [np.zeros(0, np.uint64)], [], []
+        for n, some in by_length.items():
+            codes, x = _codes(some), _start(len(some))
+            for k in range(n):
+                x = mix64(x * _MUL + codes[:, k] + np.uint64(1))
+            h.append(x)
+            ids += [number.get(p, -1) for p in some]
+            more += [p in longer for p in some]
+        keys = np.concatenate(h)
+        order = np.argsort(keys)
+        return Lattice(keys[order], np.array(ids, np.int32)[order], np.array(more, bool)[order], len(pieces))
+
+    def look_up(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece or -1, whether a longer piece may follow) of hashed strings."""
+        if not len(self.keys):
+            return np.full(len(x), -1, np.int32), np.zeros(len(x), bool)
+        spot = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
+        known = self.keys[spot] == x
+        return np.where(known, self.ids[spot], np.int32(-1)), known & self.more[spot]
 
     def arcs(self, codes: np.ndarray):
         """(start, stop, rows, piece ids) of all pieces found in words of one length; id
         ``size`` is a character that is no piece."""
         n, length = codes.shape
         for i in range(length):
-            x = _start(n)
-            for j in range(i, min(i + MAX_PIECE, length)):
-                x = mix64(x * _MUL + codes[:, j] + np.uint64(1))
-                spot = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
-                hit = self.keys[spot] == x
-                piece = np.where(hit, self.ids[spot], self.size)
-                rows = np.arange(n) if j == i else np.flatnonzero(hit)
-                if len(rows):
-                    yield i, j + 1, rows, piece[rows]
+            x, rows = _start(n), np.arange(n)
+            for j in range(i, length):
+                x = mix64(x * _MUL + codes[rows, j] + np.uint64(1))
+                piece, more = self.look_up(x)
+                if j == i:
+                    yield i, j + 1, rows, np.where(piece < 0, self.size, piece)
+                elif (piece >= 0).any():
+                    yield i, j + 1, rows[piece >= 0], piece[piece >= 0]
+                rows, x = rows[more], x[more]
+                if not len(rows):
+                    break
+
+    def arcs_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, stops, piece ids) of all pieces found in one word, all starts at once."""
+        starts, x, found = np.arange(len(codes)), _start(len(codes)), []
+        for k in range(len(codes)):
+            x = mix64(x * _MUL + codes[starts + k] + np.uint64(1))
+            piece, more = self.look_up(x)
+            if k == 0:
+                piece = np.where(piece < 0, self.size, piece)
+            hit = piece >= 0
+            found.append((starts[hit], starts[hit] + k + 1, piece[hit]))
+            more &= starts + k + 1 < len(codes)
+            starts, x = starts[more], x[more]
+            if not len(starts):
+                break
+        return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _by_length(words: Sequence[str]):
-    """(rows, words with the start mark) of equal length; long words in parts, each a row of its own word."""
+    """(rows, words with the start mark) of equal length."""
     groups: dict[int, tuple[list[int], list[str]]] = {}
     for k, w in enumerate(words):
         w = START + w.replace("\0", "")  # numpy drops trailing zero characters
-        for at in range(0, len(w), MAX_WORD):
-            part = w[at:at + MAX_WORD]
-            rows, parts = groups.setdefault(len(part), ([], []))
-            rows.append(k)
-            parts.append(part)
-    for rows, parts in groups.values():
-        for at in range(0, len(rows), 8192):
-            yield np.array(rows[at:at + 8192]), _codes(parts[at:at + 8192])
+        rows, same = groups.setdefault(len(w), ([], []))
+        rows.append(k)
+        same.append(w)
+    for n, (rows, same) in groups.items():
+        step = 8192 if n <= PLAIN_WORD else 1
+        for at in range(0, len(rows), step):
+            yield np.array(rows[at:at + step]), _codes(same[at:at + step])
+
+
+def _log_forward(length: int, starts: np.ndarray, stops: np.ndarray, log_prob: np.ndarray) -> np.ndarray:
+    """Log of the summed products of all paths from 0 to each position (row), by column of ``log_prob`` (a row per arc)."""
+    order = np.argsort(stops, kind="stable")
+    starts, log_prob = starts[order], log_prob[order]
+    first = np.searchsorted(stops[order], np.arange(length + 2))
+    out = np.zeros((length + 1, log_prob.shape[1]))
+    for j in range(1, length + 1):
+        ways = out[starts[first[j]:first[j + 1]]] + log_prob[first[j]:first[j + 1]]
+        most = ways.max(axis=0)
+        out[j] = most + np.log(np.exp(ways - most).sum(axis=0))
+    return out
 
 
 def word_scores(lattice: Lattice, prob: np.ndarray, words: Sequence[str]) -> np.ndarray:
     """log P(word | language) for each word (row) and language (column of ``prob``)."""
     out = np.zeros((len(words), prob.shape[1]))
     for rows, codes in _by_length(words):
+        if codes.shape[1] > PLAIN_WORD:
+            starts, stops, piece = lattice.arcs_of(codes[0])
+            out[rows[0]] = _log_forward(codes.shape[1], starts, stops, np.log(prob[piece]))[-1]
+            continue
         alpha = np.zeros((codes.shape[1] + 1, len(rows), prob.shape[1]))
         alpha[0] = 1
         for i, j, at, piece in lattice.arcs(codes):
             alpha[j, at] += alpha[i, at] * prob[piece]
-        np.add.at(out, rows, np.log(alpha[-1]))
+        out[rows] = np.log(alpha[-1])
     return out
 
 
@@ -130,8 +179,16 @@ def expected_counts(lattice: Lattice, prob: np.ndarray, words: Sequence[str], co
     """Expected number of uses of every piece over all segmentations, for one language."""
     out = np.zeros(len(prob))
     for rows, codes in _by_length(words):
+        length = codes.shape[1]
+        if length > PLAIN_WORD:
+            starts, stops, piece = lattice.arcs_of(codes[0])
+            log_prob = np.log(prob[piece])
+            ahead = _log_forward(length, starts, stops, log_prob[:, None])[:, 0]
+            behind = _log_forward(length, length - stops, length - starts, log_prob[:, None])[::-1, 0]
+            out += np.bincount(piece, counts[rows[0]] * np.exp(ahead[starts] + log_prob + behind[stops] - ahead[-1]), len(prob))
+            continue
         arcs = list(lattice.arcs(codes))
-        alpha = np.zeros((codes.shape[1] + 1, len(rows)))
+        alpha = np.zeros((length + 1, len(rows)))
         beta = np.zeros_like(alpha)
         alpha[0], beta[-1] = 1, 1
         for i, j, at, piece in arcs:

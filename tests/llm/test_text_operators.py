@@ -51,6 +51,30 @@ def test_forward_sums_all_segmentations():
             assert got == pytest.approx(np.log(_segmentations("▁" + word, table)))
 
 
+def test_long_words_are_one_sum():
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "aba", "bb", "abababababab"]
+    lattice = lid.Lattice.of(pieces)
+    prob = np.random.default_rng(1).random((len(pieces) + 1, 2)) / 50
+    for word in ("ab" * 15 + "a", "ab" * 16, "abbac" * 40, "b" * 3_000):  # the first has 32 characters with its mark
+        marked, want, uses = "▁" + word, [], np.zeros(len(prob))
+        for k in range(2):
+            table = {p: prob[i, k] for i, p in enumerate(pieces)} | {"c": prob[-1, k]}
+            sums = [0.0]  # logs of the sums over all segmentations of each prefix
+            for j in range(1, len(marked) + 1):
+                ways = [sums[i] + np.log(table[marked[i:j]]) for i in range(max(0, j - 12), j) if marked[i:j] in table]
+                sums.append(np.logaddexp.reduce(ways))
+            want.append(sums[-1])
+        assert lid.word_scores(lattice, prob, ["a", word, "b"])[1] == pytest.approx(np.array(want), rel=1e-9)
+        uses = lid.expected_counts(lattice, prob[:, 0], [word], np.array([2.0]))
+        assert (uses * [len(p) for p in [*pieces, "c"]]).sum() == pytest.approx(2 * len(marked))  # every character once
+    plain, lid.PLAIN_WORD = lid.PLAIN_WORD, 0
+    try:
+        logs = lid.expected_counts(lattice, prob[:, 0], ["abab", "bbaba"], np.array([2.0, 1.0]))
+    finally:
+        lid.PLAIN_WORD = plain
+    assert logs == pytest.approx(lid.expected_counts(lattice, prob[:, 0], ["abab", "bbaba"], np.array([2.0, 1.0])))
+
+
 def test_expected_counts_match_enumeration():
     pieces = ["▁", "a", "b", "ab", "▁a"]
     lattice, prob = lid.Lattice.of(pieces), np.array([.1, .2, .3, .25, .1, .05])
