@@ -169,3 +169,36 @@ def test_cut_days_give_the_same_features(spark):
         rows = [sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in out.select(*cols).collect()) for out in (plain, cut)]
         assert rows[0] == rows[1] and rows[0]
     assert position_cells(events_panel(spark, SF001), EVENTS_SPEC)[1] == ["_pc_ke", "_pc_ne", "_pc_kb", "_pc_nb"]  # no day that big
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_entities_within_a_chunk_take_one_exchange(spark):
+    out = panel_features(events_panel(spark, SF001), EVENTS_SPEC, "value")
+    assert _exchanges(out) == 1
+
+
+def test_large_days_are_not_cut_by_an_array(spark):
+    """No row carries the cuts of its day, which grow with the day."""
+    day, spec = _one_day(spark), PanelSpec("one", "day", ("event_id",))
+    cells, _ = position_cells(day, spec, 20)
+    plan = cells._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "aggregate(" not in plan and "_pc_cuts" not in plan
+    sizes = [r["count"] for r in cells.groupBy("_pc_part").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 20
+
+
+@pytest.mark.parametrize("unit", [40, 300])
+def test_large_and_small_entities_together(spark, monkeypatch, unit):
+    """Some entities are ranked whole, some by days and ranges: the same columns as the plain plan."""
+    monkeypatch.setattr("panelcast.operators.windows.DEFAULT_CHUNK_ROWS", unit)
+    who = F.when(F.col("event_id") % 5 > 1, F.lit("hot")).when(F.col("event_id") % 5 > 0, F.concat(F.lit("u"), F.col("user_id") % 6))
+    df = events_panel(spark, SF001).withColumns({"one": who, "day": F.to_date("ts")})
+    spec = PanelSpec("one", "day", ("ts", "event_id"))
+    cols = {"lead": lambda w: F.lead("value", 1).over(w), "lag": lambda w: F.lag("value", 24).over(w), "n24": lambda w: F.count("value").over(w.rowsBetween(-23, 0))}
+    plans = [add_window_columns(df, spec, cols, 24, 1, strategy=s, chunk_rows=30, rn_col="rn", size_col="n") for s in ("plain", "chunked")]
+    pick = ["event_id", "lead", "lag", "n24", "rn", "n"]
+    rows = [sorted(map(tuple, p.select(*pick).collect())) for p in plans]
+    assert rows[0] == rows[1] and len(rows[0]) == 1000
