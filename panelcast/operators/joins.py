@@ -7,13 +7,13 @@ levels: inside runs of ``chunk_rows`` consecutive rows, and over one row per run
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, DecimalType, IntegralType, TimestampNTZType, TimestampType
 
-from panelcast.operators.windows import DEFAULT_CHUNK_ROWS, with_positions
+from panelcast.operators.windows import DEFAULT_CHUNK_ROWS, sorted_runs, with_positions
 from panelcast.panel import PanelSpec
 from panelcast.session import staged
 
@@ -75,7 +75,8 @@ def _ticks(col: Column, kind) -> Column:
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, by: str, time: str, start: str, end: str,
-                  suffix: str = "_interval", cell_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                  suffix: str = "_interval", cell_rows: int = DEFAULT_CHUNK_ROWS,
+                  totals: Mapping[str, str | None] | None = None) -> DataFrame:
     """All (point, interval) rows of equal key with ``start <= time < end``; every such pair once.
 
     An interval belongs to the level ``l`` with ``2**(l-1) < end - start <= 2**l`` (its own length sets the width of its bins) and lies in at
@@ -83,7 +84,13 @@ def interval_join(points: DataFrame, intervals: DataFrame, by: str, time: str, s
     (key, level, bin), a pair meets in one bin only, and no interval is copied more than twice. Bins that more than
     ``cell_rows`` points ask are dealt by salts, with a copy of their intervals each. Null keys and times, and intervals that end at or
     before their start, match nothing. Interval columns whose names the points have get ``suffix``.
+
+    With ``totals`` (name -> ``None`` for the number of pairs, or an integer or decimal column of the intervals for its sum)
+    every point that has a pair comes once, with these totals over its pairs. As the pairs grow with the product of both sides, none is made
+    then: the totals are running ones over points, starts and ends in order (``_interval_totals``).
     """
+    if totals is not None:
+        return _interval_totals(points, intervals, by, time, start, end, totals, cell_rows)
     kind = points.schema[time].dataType
     twice = [c for c in intervals.columns if c in points.columns]
     iv = intervals.select(*[F.col(f"`{c}`").alias(f"{c}{suffix}" if c in twice else c) for c in intervals.columns])
@@ -108,3 +115,42 @@ def interval_join(points: DataFrame, intervals: DataFrame, by: str, time: str, s
         cells = [*cells, "_salt"]
     met = asked.join(held, cells).filter((F.col("_a") <= F.col("_x")) & (F.col("_x") < F.col("_b")))
     return met.select(*[F.col(f"`{c}`") for c in points.columns], *[F.col(f"`{c}{suffix}`" if c in twice else f"`{c}`") for c in intervals.columns])
+
+
+def _interval_totals(points: DataFrame, intervals: DataFrame, by: str, time: str, start: str, end: str,
+                     totals: Mapping[str, str | None], run_rows: int) -> DataFrame:
+    """An interval adds its values at its start and takes them away at its end; a point has what has been added up
+    to its time. The running totals of a key go in two levels: within runs of ``run_rows`` rows, and over one row per run."""
+    kinds = {c: intervals.schema[c].dataType for c in totals.values() if c is not None}
+    if wrong := [c for c, k in kinds.items() if not isinstance(k, (IntegralType, DecimalType))]:
+        raise TypeError(f"running totals of {', '.join(wrong)} would not be exact: integers or decimals only")
+    wide = {c: f"decimal(38,{k.scale if isinstance(k, DecimalType) else 0})" for c, k in kinds.items()}
+    # the number of pairs, and of each column the sum and the number of its values (a sum of nulls alone is null)
+    parts = {"_n": F.lit(1).cast("long")}
+    for i, c in enumerate(kinds):
+        parts[f"_s{i}"], parts[f"_v{i}"] = F.coalesce(F.col(c).cast(wide[c]), F.lit(0).cast(wide[c])), F.col(c).isNotNull().cast("long")
+    iv = intervals.select(F.col(by).alias("_k"), _ticks(F.col(start), intervals.schema[start].dataType).alias("_a"),
+                          _ticks(F.col(end), intervals.schema[end].dataType).alias("_b"), *[e.alias(n) for n, e in parts.items()])
+    iv = iv.filter(F.col("_k").isNotNull() & (F.col("_a") < F.col("_b")))
+    steps = iv.select("_k", F.col("_a").alias("_x"), *parts).unionByName(iv.select("_k", F.col("_b").alias("_x"), *[(-F.col(n)).alias(n) for n in parts]))
+    kept = {n: wide[list(kinds)[int(n[2:])]] if n.startswith("_s") else "long" for n in parts}
+    steps = steps.groupBy("_k", "_x").agg(*[F.sum(n).cast(t).alias(n) for n, t in kept.items()]).withColumn("_side", F.lit(0))
+    asked = points.filter(F.col(by).isNotNull() & F.col(time).isNotNull()).select(
+        F.col(by).alias("_k"), _ticks(F.col(time), points.schema[time].dataType).alias("_x"), *[F.lit(0).cast(t).alias(n) for n, t in kept.items()],
+        F.lit(1).alias("_side"), F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("_point"))
+    # starts and ends of a time come before its points: start <= time < end
+    line = sorted_runs(asked.unionByName(steps, allowMissingColumns=True), [F.col(c).asc() for c in ("_k", "_x", "_side")], run_rows, "_run")
+    runs = line.groupBy("_k", "_run").agg(*[F.sum(n).cast(t).alias(n) for n, t in kept.items()])
+    earlier = Window.partitionBy("_k").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(F.col("_k").alias("_k2"), F.col("_run").alias("_run2"),
+                       *[F.coalesce(F.sum(n).over(earlier).cast(t), F.lit(0).cast(t)).alias(f"{n}_b") for n, t in kept.items()])
+    upto = Window.partitionBy("_k", "_run").orderBy("_x", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = line.select("_k", "_run", "_point", *[F.sum(n).over(upto).cast(t).alias(n) for n, t in kept.items()]).filter("_point is not null")
+    line = line.join(runs, (F.col("_k") == F.col("_k2")) & (F.col("_run") == F.col("_run2")))
+    total = {n: F.col(n) + F.col(f"{n}_b") for n in kept}
+    made = []
+    for name, c in totals.items():
+        i = list(kinds).index(c) if c is not None else None
+        value = total["_n"] if i is None else F.when(total[f"_v{i}"] > 0, total[f"_s{i}"].cast("long" if wide[c].endswith(",0)") and isinstance(kinds[c], IntegralType) else wide[c]))
+        made.append(value.alias(name))
+    return line.filter(total["_n"] > 0).select("_point.*", *made)

@@ -94,3 +94,21 @@ def test_interval_bins_of_timestamps(spark):
     assert interval_join(p, s, "k", "t", "lo", "hi").count() == 3
     days = s.select("k", F.to_date("lo").alias("lo"), F.to_date("hi").alias("hi"))
     assert interval_join(p.select("k", F.to_date("t").alias("t")), days, "k", "t", "lo", "hi").count() == 3
+
+
+@pytest.mark.parametrize("run", [3, 50, 200_000])
+def test_totals_of_the_pairs_without_the_pairs(spark, run):
+    rng = random.Random(11)
+    points = [(i, rng.choice(["hot", "hot", "a", None]), rng.choice([None, *range(-20, 80)])) for i in range(200)] + [(5, "hot", 7), (5, "hot", 7)]
+    spans = [(rng.choice([None, i]), rng.choice(["hot", "hot", "a", "b", None]), a := rng.randrange(-30, 80), a + rng.choice([0, 1, 2, 17, 64, -3])) for i in range(60)]
+    spans += [(90, "hot", None, 5), (91, "hot", 5, None), (92, "a", 10, 11), (92, "a", 10, 11), (None, "b", 0, 3)]
+    p = spark.createDataFrame([*points, (900, "b", 1)], "id long, k string, x int").repartition(3)
+    s = spark.createDataFrame(spans, "sid long, k string, a int, b int").repartition(2)
+    pairs = interval_join(p, s, "k", "x", "a", "b").groupBy("id", "k", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("sid").alias("t"))
+    made = interval_join(p, s, "k", "x", "a", "b", cell_rows=run, totals={"n": None, "t": "sid"})
+    assert made.columns == ["id", "k", "x", "n", "t"]
+    got = made.groupBy("id", "k", "x").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    order = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert order(got) == order(pairs) and any(r["t"] is None for r in got.collect())
+    with pytest.raises(TypeError):
+        interval_join(p, s.withColumn("v", F.lit(0.5)), "k", "x", "a", "b", totals={"t": "v"})
