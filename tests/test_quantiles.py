@@ -7,6 +7,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelcast.operators.quantiles import exact_group_quantiles, exact_quantiles
 
@@ -81,3 +82,26 @@ def test_a_group_above_every_former_limit(spark):
     df = spark.range(30_000).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 30_000).cast("double").alias("x"))
     got = {r["prob_idx"]: r["value"] for r in exact_group_quantiles(df, "g", "x", [0.25, 0.75]).collect()}
     assert got == {0: 7499.0, 1: 22499.0}
+
+
+@pytest.mark.parametrize("few, hot", [(100_000, 1_000_000), (0, 50), (0, 1_000_000)])
+def test_group_intervals_do_not_gather_a_group(spark, monkeypatch, few, hot):
+    import panelcast.operators.quantiles as q
+    monkeypatch.setattr(q, "BROADCAST_INTERVALS", few)
+    monkeypatch.setattr(q, "HOT_ROWS", hot)
+    df = spark.range(400).select(F.when(F.col("id") % 4 > 0, F.lit("hot")).when(F.col("id") % 8 == 0, F.lit("a")).alias("g"),
+                                 (F.pmod(F.xxhash64("id"), F.lit(1000)) / 7).alias("x"))
+    got = {(r["g"], r["prob_idx"]): r["value"] for r in q.exact_group_quantiles(df, "g", "x", [0.25, 0.9], bins=4).collect()}
+    for g in ("hot", "a", None):
+        xs = sorted(r["x"] for r in df.filter(F.col("g").eqNullSafe(F.lit(g))).collect())
+        for j, p in enumerate((0.25, 0.9)):
+            assert got[g, j] == xs[math.ceil(p * len(xs)) - 1]
+    base = df.select(F.col("g").alias("_g"), F.col("x").alias("_x"))
+    iv = spark.createDataFrame([("hot", True)], "_h string, _hot boolean")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = q._with_intervals(base, iv, True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
