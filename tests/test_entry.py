@@ -52,3 +52,11 @@ def test_oracle_parity_sf0001(spark, duck, name):
     rel = duck.sql(E.oracle_sql()[name])
     assert sorted(sdf.columns) == sorted(rel.columns)
     assert _norm(sdf.collect(), sdf.columns) == _norm(rel.fetchall(), rel.columns)
+
+
+def test_fits_read_staged_rows(spark):
+    """No fit of a model repeats the windows, and the readings are dealt without a sort."""
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "Window" not in plan(E._month_vectors(spark, SF001))
+    assert "spm" not in E._with_index(spark, SF001).columns
+    assert "RoundRobin" not in plan(E._readings(spark, SF001))

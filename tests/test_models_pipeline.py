@@ -217,3 +217,29 @@ def test_inferred_schema_mode(spark):
     assert dict(df.dtypes)["so2"] == "string"  # "NA" makes inference fall back to text
     from panelcast.operators.clean import cast_numeric
     assert [r["so2"] for r in cast_numeric(df).orderBy("location").collect()] == [None, 3.5]
+
+
+def test_forest_keeps_no_cache_of_node_ids():
+    from panelcast.plans.models import ESTIMATORS
+    forest = ESTIMATORS["RandomForest"]()
+    assert not forest.getCacheNodeIds() and forest.getNumTrees() == 100 and forest.getMaxDepth() == 10
+
+
+def test_preprocessing_reads_its_input_once(spark):
+    """The medians, the bounds and the result read staged columns: the raw rows are evaluated by one job."""
+    from panelcast.plans.pipeline import run_preprocessing
+    raw = lineitem_readings(spark, SF001)
+    seen = spark.sparkContext.accumulator(0)
+    counted = raw.mapInPandas(lambda frames: ((seen.add(len(f)), f)[1] for f in frames), raw.schema)
+    assert run_preprocessing(counted).count() > 0
+    assert seen.value == raw.count()
+
+
+def test_cross_entity_folds_read_their_input_once(spark):
+    from panelcast.operators.clean import clean_readings
+    from panelcast.plans.crossval import cross_entity_forecast
+    df = clean_readings(lineitem_readings(spark, SF001))
+    seen = spark.sparkContext.accumulator(0)
+    counted = df.mapInPandas(lambda frames: ((seen.add(len(f)), f)[1] for f in frames), df.schema)
+    out = cross_entity_forecast(counted, READINGS_SPEC, 2, "LinearRegression", ["AQI_lag1"], scale=False, params={"regParam": 0.0, "solver": "normal"})
+    assert out.count() == 2 and seen.value == df.count()
