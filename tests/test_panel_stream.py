@@ -77,3 +77,41 @@ def test_needs_the_timer_store(spark):
             panel_feature_stream(events_panel(spark, SF001), EVENTS_SPEC, "value", "1 day")
     finally:
         spark.conf.set(PROVIDER, before)
+
+
+def test_entities_share_a_bucket_and_calls(spark, rocksdb):
+    """One bucket holds all entities, several of which get rows in one call and some in none; values and ties may be null."""
+    rows = [(f"e{i % 7}", f"2024-01-{1 + (i * 5) % 20:02d} 00:00:{i % 60:02d}", i if i % 9 else None, float(i * i % 17) if i % 5 else None) for i in range(400)]
+    rows = list({r[:3]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "e string, t string, k long, v double").withColumn("t", F.col("t").cast("timestamp"))
+    cut = ["2024-01-01", "2024-01-05", "2024-01-09", "2024-01-21"]
+    parts = [df.filter(F.col("t").between(F.lit(a).cast("timestamp"), F.lit(b).cast("timestamp"))) for a, b in zip(cut, cut[1:])]
+    last = spark.createDataFrame([("end", 0, 0.0)], "e string, k long, v double").select("e", F.lit("2100-01-01").cast("timestamp").alias("t"), "k", "v")
+    spec = PanelSpec("e", "t", ("k",))
+    cols = ["e", "t", "k", "v", "v_target", "v_lag1", "v_lag24", "v_rolling_24"]
+    want = panel_features(df, spec, "v")
+    key = lambda rs: sorted(rs, key=repr)
+    for buckets in (1, 3):
+        got, _ = _stream(spark, [*parts, last], spec, "v", "1 hour", buckets=buckets)
+        assert key(_rows_any(got, cols)) == key(_rows_any(want, cols)) and want.count() > 200
+
+
+def _rows_any(df, cols):
+    return [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*cols).collect()]
+
+
+def test_a_state_serves_many_entities(spark, rocksdb):
+    """The stream is grouped by bucket, not by entity: calls and states do not grow with the entities."""
+    src = scratch_path(spark, "plan-in")
+    ev = events_panel(spark, SF001).select("user_id", "ts", "event_id", "value")
+    ev.limit(1).write.parquet(src)
+    stream = spark.readStream.schema(ev.schema).parquet(src)
+    plan = panel_feature_stream(stream, EVENTS_SPEC, "value", "1 day")._jdf.queryExecution().logical().toString()
+    assert "pc_bucket" in plan
+
+
+def test_files_a_batch():
+    from __spark_entry__ import _files_a_batch
+    assert _files_a_batch([]) == 1 and _files_a_batch([5, 100]) == 1
+    assert _files_a_batch([7_200_000, 1_200_000]) == 8
+    assert _files_a_batch([7_200_000, 20_000]) == 2
