@@ -60,3 +60,18 @@ def test_fits_read_staged_rows(spark):
     assert "Window" not in plan(E._month_vectors(spark, SF001))
     assert "spm" not in E._with_index(spark, SF001).columns
     assert "RoundRobin" not in plan(E._readings(spark, SF001))
+
+
+def test_staged_readings_are_parsed_and_indexed_without_lambdas(spark):
+    """What is written before it is filtered needs no binding, and a query that reads the index alone stages that."""
+    plan = E._indexed(spark, SF001)._jdf.queryExecution().toString()
+    assert "lambda" not in plan
+    assert E._with_index(spark, SF001, E.PANEL_COLUMNS).columns == list(E.PANEL_COLUMNS)
+
+
+def test_unbound_dates_equal_bound_ones(spark):
+    from panelcast.functions.dates import parse_date
+    texts = ["2020-01-31", "31-01-2020", "01/31/2020", "2020/01/31", " na ", "", None, "2020-13-01", "31/01/2020", "12020-01-31", "x", "2020-1-3"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    out = df.select(parse_date("s").alias("a"), parse_date("s", bind=False).alias("b")).collect()
+    assert [r["a"] for r in out] == [r["b"] for r in out] and out[0]["a"] == dt.date(2020, 1, 31)
