@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
-
+from panelcast.session import ship_package
 
 #: Rows of an Arrow batch: documents are long, and each batch is held by the JVM and by Python.
 ARROW_ROWS = 500
@@ -21,19 +16,7 @@ def ship(spark: SparkSession) -> None:
     and make Arrow batches small where the session has Spark's default."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="panelcast-py-"), "panelcast.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    context.addPyFile(path)
-    _SHIPPED.add(context.applicationId)
+    ship_package(spark)
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
