@@ -243,3 +243,15 @@ def test_cross_entity_folds_read_their_input_once(spark):
     counted = df.mapInPandas(lambda frames: ((seen.add(len(f)), f)[1] for f in frames), df.schema)
     out = cross_entity_forecast(counted, READINGS_SPEC, 2, "LinearRegression", ["AQI_lag1"], scale=False, params={"regParam": 0.0, "solver": "normal"})
     assert out.count() == 2 and seen.value == df.count()
+
+
+def test_sequences_are_gathered_only_where_read(spark, feats):
+    """The label's scaler takes no sequence, and vectors of known width are not made to learn it."""
+    from panelcast.operators.sequences import sequence_windows
+    seq = sequence_windows(feats[0], READINGS_SPEC, FEATURE_COLUMNS, LABEL_COL, 4, offset=0)
+    assert "collect_list" not in seq.select(LABEL_COL)._jdf.queryExecution().optimizedPlan().toString()
+    assert seq.select(LABEL_COL).count() == seq.filter(F.size("seq") == 4).count() > 0
+    vectors = sequence_vectors(seq, width=52)
+    assert vectors.schema["features"].metadata["ml_attr"]["num_attrs"] == 52
+    model, _ = fit_sequence_regression(seq, LABEL_COL, width=52)
+    assert model.numFeatures == 52
